@@ -8,8 +8,8 @@ document, and the fractional part is a seeded sample without replacement.
 The sample is a prefix in the order of a seeded 63-bit hash.  Where the prefix ends is found by radix descent:
 sizes are summed by source and leading digit, the digit where the source's budget runs out is kept, and its rows
 alone are summed by the next digit.  So no source, however large, is ever sorted or gathered; the driver sees
-only how many rows are left.  The last bounded group is ordered exactly, and one more document beyond the prefix
-is taken if that comes nearer to the target.
+only how many rows are left.  In the last group, which is bounded, documents are taken in order while they fit,
+and one more if that comes nearer to the target.
 
 Defined results: null text has size 0; a null source is a source of its own, ordered last; a source of size 0 has
 target 0; rows that are equal in id and text are taken together; an empty table gives an empty one.
@@ -77,8 +77,23 @@ def with_source_rows(left: DataFrame, sources: DataFrame, n_sources: int) -> Dat
     return left.withColumn("__salt", F.pmod(F.xxhash64("__u"), F.lit(HOT_SALTS)).cast("int")).join(salted, ["__k", "__salt"]).drop("__salt")
 
 
+def _fit(rows: Column, budget: Column) -> Column:
+    """Takes rows in order while they fit: what is left, the first hash that did not fit, and fitting ones after it."""
+    start = F.struct(budget.cast("double").alias("left"), F.lit(None).cast("long").alias("cut"), F.array().cast("array<bigint>").alias("extra"))
+
+    def step(state: Column, row: Column) -> Column:
+        fits = row["s"] <= state["left"]
+        return F.struct(
+            (state["left"] - F.when(fits, row["s"]).otherwise(0)).cast("double").alias("left"),
+            F.coalesce(state["cut"], F.when(~fits, row["u"])).alias("cut"),
+            F.when(fits & state["cut"].isNotNull(), F.concat(state["extra"], F.array(row["u"]))).otherwise(state["extra"]).alias("extra"),
+        )
+
+    return F.aggregate(rows, start, step)
+
+
 def plan(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
-    """For each source: whole repetitions, the hash below which a document gets one more, and one more such hash.
+    """For each source: whole repetitions, the hash below which a document gets one more, and further hashes that do.
 
     ``rows`` has ``__k, __u, size``; ``sources`` has ``__k, source_size, target``.
     """
@@ -105,22 +120,22 @@ def plan(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
         left = state.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     last = with_source_rows(rows, state.select("__k", "prefix", "budget"), n_sources).filter(F.shiftright("__u", HASH_BITS - bits) == F.col("prefix"))
     each = last.groupBy("__k", "__u").agg(F.sum("size").alias("s"), F.first("budget").alias("budget"))
-    upto = F.sum("s").over(Window.partitionBy("__k").orderBy("__u"))
-    each = each.withColumn("over", upto > F.col("budget")).withColumn("taken", F.sum(F.when(upto <= F.col("budget"), F.col("s")).otherwise(0)).over(Window.partitionBy("__k")))
-    gap = F.col("budget") - F.col("taken")
-    better = F.col("over") & (F.abs(gap - F.col("s")) < gap)
-    cuts = each.groupBy("__k").agg(
-        F.min(F.when(F.col("over"), F.col("__u"))).alias("cut"),
-        F.min(F.when(better, F.struct(F.abs(gap - F.col("s")).alias("miss"), F.col("__u").alias("u")))).alias("extra"),
-    )
+    ordered = F.sort_array(F.collect_list(F.struct(F.col("__u").alias("u"), "s")))  # at most EXACT_ROWS
+    groups = each.groupBy("__k").agg(ordered.alias("rows"), F.first("budget").alias("budget"))
+    cuts = groups.withColumn("f", _fit(F.col("rows"), F.col("budget")))
+    left_over, apart = F.col("f.left"), lambda x: F.abs(F.col("f.left") - x["s"])
+    rest = F.filter("rows", lambda x: (x["u"] >= F.col("f.cut")) & ~F.array_contains("f.extra", x["u"]) & (apart(x) < left_over))
+    nearest = F.array_min(F.transform(rest, lambda x: F.struct(apart(x).alias("miss"), x["u"].alias("u"))))
+    more = F.when(nearest.isNotNull(), F.array(nearest["u"])).otherwise(F.array().cast("array<bigint>"))
+    cuts = cuts.select("__k", F.col("f.cut").alias("cut"), F.concat("f.extra", more).alias("extra"))
     whole_prefix = F.when(F.col("prefix") >= F.lit(1 << bits), F.lit(1 << HASH_BITS)).otherwise(F.shiftleft("prefix", HASH_BITS - bits)).cast("long")
     joined = state.join(cuts, "__k", "left")
-    return cut(joined.select("__k", "source_size", "target", "whole", F.coalesce("cut", whole_prefix).alias("cut"), F.col("extra.u").alias("extra")))
+    return cut(joined.select("__k", "source_size", "target", "whole", F.coalesce("cut", whole_prefix).alias("cut"), F.coalesce("extra", F.array().cast("array<bigint>")).alias("extra")))
 
 
 def copies() -> Column:
     """Repetitions of a row with ``__u`` and its source's plan."""
-    more = (F.col("__u") < F.col("cut")) | (F.col("__u") == F.coalesce("extra", F.lit(-1)))
+    more = (F.col("__u") < F.col("cut")) | F.array_contains("extra", F.col("__u"))
     return (F.col("whole") + more.cast("long")).cast("long")
 
 

@@ -94,8 +94,8 @@ ORACLE_SQL = {
         d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex FROM p),
         bits AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS first FROM d)
         SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
-          array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-            1 + list_sum(list_transform(range(5), j ->
+          array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + list_sum(list_transform(range(5), lambda j:
               ((instr('0123456789abcdef', substr(hex, 1 + ((5 * i + j) // 4)::INT, 1)) - 1) >> (3 - (5 * i + j) % 4)::INT & 1) << (4 - j)::INT))::INT, 1)), '') AS payload_digest,
           CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
           CASE WHEN first <> page_id THEN first END AS refers_to
@@ -112,11 +112,11 @@ ORACLE_SQL = {
     "op9_quality_rules": rf"""
         WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
         win AS (SELECT doc_id, i, list_slice(words, i, i + 4) AS g FROM w, unnest(range(1, len(words) - 3)) AS t(i)),
-        rep AS (SELECT doc_id, unnest(list_concat(range(i, i + 5))) AS at FROM (
+        rep AS (SELECT doc_id, unnest(list_concat(range(i, i + 5))) AS spot FROM (
             SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
-        reps AS (SELECT doc_id, count(DISTINCT at) AS n FROM rep GROUP BY doc_id),
-        lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM w),
-        m AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS word_chars,
+        reps AS (SELECT doc_id, count(DISTINCT spot) AS n FROM rep GROUP BY doc_id),
+        lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM w),
+        m AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
             len(ls) AS n_lines, coalesce(reps.n, 0) AS n_repeat_words, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
             length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters
