@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from facetry.llm.spark_utils import BROADCAST_ROWS, HOT_SALTS, cut
 
 WORD = r"[^\x20\x09-\x0D]+"
-DIGITS = 10
+DIGITS = 6
 HASH_BITS = 60
 #: Rows of one source that are ordered in one task at the end of the descent.
 EXACT_ROWS = 2000
@@ -95,12 +95,12 @@ def _fit(rows: Column, budget: Column) -> Column:
 def plan(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
     """For each source: whole repetitions, the hash below which a document gets one more, and further hashes that do.
 
-    ``rows`` has ``__k, __u, size``; ``sources`` has ``__k, source_size, target``.
+    ``rows`` has ``__k, __u, size``; ``sources`` has ``__k, source_size, target, n``, with ``n`` its rows.
     """
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     state = sources.withColumn("whole", F.floor(epochs + 1e-12)).withColumn("budget", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     state = cut(state.withColumn("prefix", F.lit(0).cast("long")))
-    bits, left = 0, EXACT_ROWS + 1
+    bits, left = 0, sources.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     while left > EXACT_ROWS and bits + DIGITS <= HASH_BITS:
         inside = with_source_rows(rows, state.select("__k", "prefix"), n_sources).filter(F.shiftright("__u", HASH_BITS - bits) == F.col("prefix")) if bits else rows
         bits += DIGITS
@@ -145,9 +145,9 @@ def _sized(docs: DataFrame, key: str, text: str, source: str, seed: int) -> Data
 
 
 def _plan(rows: DataFrame, weights, share: float, max_epochs: float) -> tuple[DataFrame, int]:
-    sources = cut(cycled_weights(rows.groupBy("__k").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), weights))
+    sources = cut(cycled_weights(rows.groupBy("__k").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n")), weights))
     n = sources.count()
-    return plan(rows, water_fill(sources, share, max_epochs).select("__k", "source_size", "target"), n), n
+    return plan(rows, water_fill(sources, share, max_epochs).select("__k", "source_size", "target", "n"), n), n
 
 
 def mix_report(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
