@@ -3,12 +3,13 @@
 Two texts link when the Jaccard similarity of their sets of 5-word shingles is at least 0.75.
 
 1. One pass takes each text's set: size and a 128-bit signature.  Texts with equal sets form a class; one row of
-   each class (the smallest id) stands for it.  The pass also counts shingles that are frequent in a batch, over
-   all rows; it gives the global order of shingles, rare first.
-2. Two sets that link share a shingle among the rarest ``n - ceil(0.75 n) + 1`` of either.  Those postings alone
-   are dealt by shingle, packed in binary blocks, and give inverted lists.  A list never becomes pairs: its
-   members, cut where neighbouring sizes differ too much to link, are tied to its first one.  The components of
-   these ties are blocks: every link lies inside one block.
+   each class (the smallest id) stands for it.
+2. Inverted lists over all rows: shingles are dealt by their hash, packed in binary blocks.  Shingles of one set
+   only go.  The others return to their sets with their list lengths, which is the global order, rare first.  A set
+   without enough shared shingles to reach its needed overlap (T-occurrence) is done.  Of the others, two sets that
+   link share a shingle among the rarest ``n - ceil(0.75 n) + 1`` of either; those postings alone are dealt once
+   more.  A list never becomes pairs: its members, cut where neighbouring sizes differ too much to link, are tied
+   to its first one.  The components of these ties are blocks: every link lies inside one block.
 3. Each block is searched in one task by T-occurrence queries over its inverted index: the lists of a query's
    shingles are divided, the short ones merged by counting, candidates that can still reach the needed overlap
    are probed by binary search in the long ones.  A breadth-first search asks only for rows that are not yet in
@@ -36,10 +37,10 @@ from facetry.llm.spark_utils import cut, sized_broadcast, skew_safe_left_join, w
 SIZE = 5
 #: Similarity of at least PART / WHOLE.
 PART, WHOLE = 75, 100
-#: A shingle counts as frequent from this share of rows; it is only an order, so any value gives the same links.
-FREQUENT_SHARE = 1 / 1000
 BLOCK_SHINGLES = 1_500_000
-POSTINGS_BYTES = 16 << 20
+#: Packed postings that one task takes.
+POSTINGS_BYTES = 8 << 20
+POSTING = 9.5  # bytes of a packed posting, about
 _MU = 0.02
 
 
@@ -61,51 +62,52 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def _set_pass(batches):
-    """Rows of kind 0: id, set size and signature; of kind 1: a shingle that is frequent in the batch, and its count."""
+    """Id, set size and signature of each row."""
     for batch in batches:
         n = np.zeros(batch.num_rows, np.int64)
         sig = np.zeros((2, batch.num_rows), np.int64)
-        kept, seen = [], set()
         for block in K.blocks(batch.column(1)):
             for k, s in K.shingle_sets(block, SIZE):
                 at = block.first + k
                 n[at] = len(s)
-                sig[0, at], sig[1, at] = mark = signature(s)
-                if mark not in seen:  # copies count once in a batch
-                    seen.add(mark)
-                    kept.append(s)
-        yield _record(np.zeros(len(n), np.int32), batch.column(0), n, sig[0], sig[1])
-        held = np.sort(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
-        cuts = np.flatnonzero(np.append(True, held[1:] != held[:-1])) if len(held) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(cuts, len(held)))
-        often = counts >= max(3, len(kept) * FREQUENT_SHARE)
-        shingle, counts = held[cuts[often]].view(np.int64), counts[often].astype(np.int64)
-        none = np.zeros(len(counts), np.int64)
-        yield _record(np.ones(len(counts), np.int32), pa.array(none), counts, shingle, none)
-
-
-def _record(kind, ids, n, s1, s2) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind), ids.cast(pa.int64()), pa.array(n), pa.array(s1), pa.array(s2)], names=["kind", "id", "n", "s1", "s2"])
-
-
-class Order:
-    """Rare shingles first: the counts of frequent ones, 0 for all others; ties by hash."""
-
-    def __init__(self, shingles: np.ndarray, counts: np.ndarray):
-        at = np.argsort(shingles)
-        self.shingles, self.counts = shingles[at], counts[at]
-
-    def prefix(self, s: np.ndarray) -> np.ndarray:
-        """The rarest shingles of a sorted set, of which two sets that link share one."""
-        length = len(s) - least_size(len(s)) + 1
-        if not len(self.shingles):
-            return s[:length]
-        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
-        count = np.where(self.shingles[at] == s, self.counts[at], 0)
-        return s[np.argsort(count, kind="stable")[:length]] if count.any() else s[:length]
-
-
-def _postings(order: Order, buckets: int):
+                sig[0, at], sig[1, at] = signature(s)
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(sig[0]), pa.array(sig[1])], names=["id", "n", "s1", "s2"])
+
+
+_LOW = np.uint64((1 << 48) - 1)
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])), len(x)) if len(x) else np.zeros(1, np.int64)
+
+
+def _blobs(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """The rows of the columns, packed by bucket."""
+    by = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[by], [c[by] for c in columns]
+    at = _runs(bucket)
+    blobs = [b"".join(c[i:j].tobytes() for c in columns) for i, j in zip(at[:-1], at[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+
+def _unpacked(batches, *kinds) -> list[np.ndarray] | None:
+    """All rows of a partition's blobs."""
+    size, parts = sum(np.dtype(t).itemsize for t in kinds), []
+    for batch in batches:
+        for blob in batch.column(1).to_pylist():
+            k, at, part = len(blob) // size, 0, []
+            for t in kinds:
+                part.append(np.frombuffer(blob, t, k, at))
+                at += k * np.dtype(t).itemsize
+            parts.append(part)
+    return [np.concatenate([x[i] for x in parts]) for i in range(len(kinds))] if parts else None
+
+
+def _postings(bits: int):
+    """All shingles of a batch's different sets, packed by the hash's first bits: 48 bits more of each hash and the
+    set's place in the block's own table.  Two shingles that agree in those bits only make a candidate more."""
+
     def run(batches):
         for batch in batches:
             parts, seen = [], set()
@@ -113,35 +115,100 @@ def _postings(order: Order, buckets: int):
                 for _, s in K.shingle_sets(block, SIZE):
                     if len(s) and (mark := signature(s)[0]) not in seen:
                         seen.add(mark)
-                        parts.append((order.prefix(s), mark, len(s)))
-            if not parts:
-                continue
-            lengths = [len(p) for p, _, _ in parts]
-            shingle = np.concatenate([p for p, _, _ in parts])
-            mark = np.repeat(np.array([m for _, m, _ in parts], np.int64), lengths)
-            size = np.repeat(np.array([n for _, _, n in parts], np.int32), lengths)
-            bucket = (K.mix(shingle) % np.uint64(buckets)).astype(np.int32)
-            by = np.argsort(bucket, kind="stable")
-            shingle, mark, size, bucket = shingle[by], mark[by], size[by], bucket[by]
-            at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            ends = np.append(at[1:], len(bucket))
-            blobs = [shingle[i:j].tobytes() + mark[i:j].tobytes() + size[i:j].tobytes() for i, j in zip(at, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+                        parts.append((s, mark))
+            for a in range(0, len(parts), 60_000):
+                yield pack(parts[a : a + 60_000])
+
+    def pack(parts):
+        size = np.array([len(s) for s, _ in parts], np.int32)
+        mark = np.array([m for _, m in parts], np.int64)
+        shingle = np.concatenate([s for s, _ in parts])
+        row = np.repeat(np.arange(len(parts)), size)
+        bucket = (shingle >> np.uint64(64 - bits)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        shingle, row, bucket = shingle[by], row[by], bucket[by]
+        at, blobs = _runs(bucket), []
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            here = row[i:j]
+            first = _runs(here)[:-1]
+            place = np.zeros(j - i, np.uint16)
+            place[first[1:]] = 1
+            place = np.cumsum(place, dtype=np.uint16)
+            low = np.ascontiguousarray(shingle[i:j]).view(np.uint8).reshape(-1, 8)[:, :6]
+            table = here[first]
+            blobs.append(np.array([len(table), j - i], np.uint32).tobytes() + mark[table].tobytes() + size[table].tobytes() + place.tobytes() + low.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    return run
+
+
+def _shared(buckets: int):
+    """Of a partition's inverted lists those of two sets or more: each posting with its list's length, packed by set."""
+
+    def run(batches):
+        keys, marks, sizes = [], [], []
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                m, k = np.frombuffer(blob, np.uint32, 2).tolist()
+                mark, size = np.frombuffer(blob, np.int64, m, 8), np.frombuffer(blob, np.int32, m, 8 + 8 * m)
+                place = np.frombuffer(blob, np.uint16, k, 8 + 12 * m)
+                key = np.zeros((k, 8), np.uint8)
+                key[:, :6] = np.frombuffer(blob, np.uint8, 6 * k, 8 + 12 * m + 2 * k).reshape(k, 6)
+                keys.append(key.view(np.uint64).reshape(-1) | np.uint64((bucket << 48) & 0xFFFF000000000000))
+                marks.append(mark[place])
+                sizes.append(size[place])
+        if not keys:
+            return
+        key, mark, size = np.concatenate(keys), np.concatenate(marks), np.concatenate(sizes)
+        del keys, marks, sizes
+        by = np.argsort(key)
+        ordered = key[by]
+        twice = np.append(ordered[1:] == ordered[:-1], False)
+        twice[1:] |= twice[:-1]
+        by = by[twice]
+        key, mark, size = key[by], mark[by], size[by]
+        by = np.lexsort((mark, key))
+        key, mark, size = key[by], mark[by], size[by]
+        new = np.append(True, (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]))[: len(key)]  # copies of a set count once
+        key, mark, size = key[new], mark[new], size[new]
+        length = np.repeat(np.diff(_runs(key)), np.diff(_runs(key)))
+        many = length > 1
+        if many.any():
+            key, mark = key[many], mark[many]
+            yield _blobs((K.mix(mark.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), mark, size[many], length[many].astype(np.int32), key)
+
+    return run
+
+
+def _prefixes(buckets: int):
+    """For a partition's sets that can link at all: their rarest shared shingles, packed by shingle."""
+
+    def run(batches):
+        got = _unpacked(batches, np.int64, np.int32, np.int32, np.uint64)
+        if got is None:
+            return
+        mark, size, length, key = got
+        by = np.lexsort((key, length, mark))
+        mark, size, key = mark[by], size[by].astype(np.int64), key[by]
+        at = _runs(mark)
+        count = np.diff(at)
+        own = np.repeat(count, count)
+        place = np.arange(len(mark)) - np.repeat(at[:-1], count)
+        needs = -(-PART * size // WHOLE)
+        keep = (own >= needs) & (place < own - needs + 1)
+        if keep.any():
+            key = key[keep]
+            yield _blobs((K.mix(key) % np.uint64(buckets)).astype(np.int64), key, mark[keep], size[keep].astype(np.int32))
 
     return run
 
 
 def _ties(batches):
     """Inverted lists of a partition's shingles, each tied to its first member: fewest ties with those components."""
-    parts = []
-    for batch in batches:
-        for blob in batch.column(1).to_pylist():
-            k = len(blob) // 20
-            parts.append((np.frombuffer(blob, np.uint64, k), np.frombuffer(blob, np.int64, k, 8 * k), np.frombuffer(blob, np.int32, k, 16 * k)))
-    if not parts:
+    got = _unpacked(batches, np.uint64, np.int64, np.int32)
+    if got is None:
         return
-    shingle, mark, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    del parts
+    shingle, mark, size = got
     by = np.lexsort((size, shingle))
     shingle, mark, size = shingle[by], mark[by], size[by].astype(np.int64)
     new = np.append(True, (shingle[1:] != shingle[:-1]) | (WHOLE * size[:-1] < PART * size[1:]))
@@ -257,16 +324,16 @@ def _search_blocks(batches):
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row; ids are integers."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
-    seen = written(rows.mapInArrow(_set_pass, "kind int, id long, n long, s1 long, s2 long"))
-    sets = seen.filter("kind = 0").select("id", "n", "s1", "s2")
+    sets = written(rows.mapInArrow(_set_pass, "id long, n long, s1 long, s2 long"))
     total, shingles = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    frequent = seen.filter("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(8, total * FREQUENT_SHARE)).toArrow()
-    order = Order(frequent.column(0).to_numpy().view(np.uint64), frequent.column(1).to_numpy())
     classes = cut(sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")))
 
-    parts = max(8, -(-shingles * 26 // 100 * 20 // POSTINGS_BYTES))
-    postings = rows.select("t").mapInArrow(_postings(order, 16 * parts), "bucket int, blob binary")
-    ties = postings.repartition(parts, "bucket").mapInArrow(_ties, "a long, b long")
+    packed = "bucket int, blob binary"
+    parts = max(8, int(shingles * POSTING / POSTINGS_BYTES) + 1)
+    few = max(8, parts // 4)
+    lists = rows.select("t").mapInArrow(_postings(parts.bit_length() + 1), packed).repartition(parts, "bucket")
+    orders = lists.mapInArrow(_shared(8 * few), packed).repartition(few, "bucket")
+    ties = orders.mapInArrow(_prefixes(8 * few), packed).repartition(few, "bucket").mapInArrow(_ties, "a long, b long")
     blocks = components(ties).withColumnRenamed("node", "s1")
     members = cut(classes.filter("rep is not null").join(blocks, "s1").select(F.col("rep").alias("id"), "n", "root"))
     weights = members.groupBy("root").agg(F.sum("n").alias("w"), F.count("*").alias("m")).filter("m > 1")
