@@ -4,12 +4,13 @@ Two texts link when the Jaccard similarity of their sets of 5-word shingles is a
 
 1. One pass takes each text's set: size and a 128-bit signature.  Texts with equal sets form a class; one row of
    each class (the smallest id) stands for it.
-2. Inverted lists over all rows: shingles are dealt by their hash, packed in binary blocks.  Shingles of one set
-   only go.  The others return to their sets with their list lengths, which is the global order, rare first.  A set
-   without enough shared shingles to reach its needed overlap (T-occurrence) is done.  Of the others, two sets that
-   link share a shingle among the rarest ``n - ceil(0.75 n) + 1`` of either; those postings alone are dealt once
-   more.  A list never becomes pairs: its members, cut where neighbouring sizes differ too much to link, are tied
-   to its first one.  The components of these ties are blocks: every link lies inside one block.
+2. Inverted lists over all rows: shingles are dealt by their hash, packed in binary blocks.  Each list's task tells
+   only how many shingles of a set some other set has too.  A set with too few of them for its needed overlap
+   (T-occurrence over all lists at once) is done; most texts are.  The others' shingles are dealt once more, and
+   return with the lengths of their lists, which is the global order, rare first: two sets that link share a
+   shingle among the rarest ``n - ceil(0.75 n) + 1`` of either.  The lists of those never become pairs: a list's
+   members, cut where neighbouring sizes differ too much to link, are tied to its first one.  The components of
+   these ties are blocks: every link lies inside one block.
 3. Each block is searched in one task by T-occurrence queries over its inverted index: the lists of a query's
    shingles are divided, the short ones merged by counting, candidates that can still reach the needed overlap
    are probed by binary search in the long ones.  A breadth-first search asks only for rows that are not yet in
@@ -40,6 +41,7 @@ PART, WHOLE = 75, 100
 BLOCK_SHINGLES = 1_500_000
 #: Packed postings that one task takes.
 POSTINGS_BYTES = 8 << 20
+PACK_SHINGLES = 1_000_000
 POSTING = 9.5  # bytes of a packed posting, about
 _MU = 0.02
 
@@ -116,8 +118,13 @@ def _postings(bits: int):
                     if len(s) and (mark := signature(s)[0]) not in seen:
                         seen.add(mark)
                         parts.append((s, mark))
-            for a in range(0, len(parts), 60_000):
-                yield pack(parts[a : a + 60_000])
+                if sum(len(s) for s, _ in parts) >= PACK_SHINGLES:
+                    yield from packs(parts)
+                    parts = []
+            yield from packs(parts)
+
+    def packs(parts):
+        return (pack(parts[a : a + 60_000]) for a in range(0, len(parts), 60_000))
 
     def pack(parts):
         size = np.array([len(s) for s, _ in parts], np.int32)
@@ -142,40 +149,72 @@ def _postings(bits: int):
     return run
 
 
-def _shared(buckets: int):
-    """Of a partition's inverted lists those of two sets or more: each posting with its list's length, packed by set."""
+def _lists(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """The inverted lists of two sets or more in a partition: shingle, set, set size and list length of each posting."""
+    keys, marks, sizes = [], [], []
+    for batch in batches:
+        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            m, k = np.frombuffer(blob, np.uint32, 2).tolist()
+            mark, size = np.frombuffer(blob, np.int64, m, 8), np.frombuffer(blob, np.int32, m, 8 + 8 * m)
+            place = np.frombuffer(blob, np.uint16, k, 8 + 12 * m)
+            key = np.zeros((k, 8), np.uint8)
+            key[:, :6] = np.frombuffer(blob, np.uint8, 6 * k, 8 + 12 * m + 2 * k).reshape(k, 6)
+            keys.append(key.view(np.uint64).reshape(-1) | np.uint64((bucket << 48) & 0xFFFF000000000000))
+            marks.append(mark[place])
+            sizes.append(size[place])
+    if not keys:
+        return None
+    key, mark, size = np.concatenate(keys), np.concatenate(marks), np.concatenate(sizes)
+    del keys, marks, sizes
+    by = np.argsort(key)
+    ordered = key[by]
+    twice = np.append(ordered[1:] == ordered[:-1], False)
+    twice[1:] |= twice[:-1]
+    by = by[twice]
+    key, mark, size = key[by], mark[by], size[by]
+    by = np.lexsort((mark, key))
+    key, mark, size = key[by], mark[by], size[by]
+    new = np.append(True, (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]))[: len(key)]  # copies of a set count once
+    key, mark, size = key[new], mark[new], size[new]
+    at = _runs(key)
+    length = np.repeat(np.diff(at), np.diff(at))
+    many = length > 1
+    return (key[many], mark[many], size[many], length[many].astype(np.int32)) if many.any() else None
+
+
+def _set_bucket(mark: np.ndarray, buckets: int) -> np.ndarray:
+    return (K.mix(mark.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _counts(buckets: int):
+    """How many shingles of each set are in lists of this partition, packed by set."""
 
     def run(batches):
-        keys, marks, sizes = [], [], []
-        for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                m, k = np.frombuffer(blob, np.uint32, 2).tolist()
-                mark, size = np.frombuffer(blob, np.int64, m, 8), np.frombuffer(blob, np.int32, m, 8 + 8 * m)
-                place = np.frombuffer(blob, np.uint16, k, 8 + 12 * m)
-                key = np.zeros((k, 8), np.uint8)
-                key[:, :6] = np.frombuffer(blob, np.uint8, 6 * k, 8 + 12 * m + 2 * k).reshape(k, 6)
-                keys.append(key.view(np.uint64).reshape(-1) | np.uint64((bucket << 48) & 0xFFFF000000000000))
-                marks.append(mark[place])
-                sizes.append(size[place])
-        if not keys:
-            return
-        key, mark, size = np.concatenate(keys), np.concatenate(marks), np.concatenate(sizes)
-        del keys, marks, sizes
-        by = np.argsort(key)
-        ordered = key[by]
-        twice = np.append(ordered[1:] == ordered[:-1], False)
-        twice[1:] |= twice[:-1]
-        by = by[twice]
-        key, mark, size = key[by], mark[by], size[by]
-        by = np.lexsort((mark, key))
-        key, mark, size = key[by], mark[by], size[by]
-        new = np.append(True, (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]))[: len(key)]  # copies of a set count once
-        key, mark, size = key[new], mark[new], size[new]
-        length = np.repeat(np.diff(_runs(key)), np.diff(_runs(key)))
-        many = length > 1
-        if many.any():
-            key, mark = key[many], mark[many]
-            yield _blobs((K.mix(mark.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), mark, size[many], length[many].astype(np.int32), key)
+        got = _lists(batches)
+        if got is not None:
+            mark, n = np.unique(got[1], return_counts=True)
+            yield _blobs(_set_bucket(mark, buckets), mark, n.astype(np.int32))
+
+    return run
+
+
+def _sum_counts(batches):
+    got = _unpacked(batches, np.int64, np.int32)
+    if got is not None:
+        by = np.argsort(got[0], kind="stable")
+        at = _runs(got[0][by])[:-1]
+        mark, total = got[0][by][at], np.add.reduceat(got[1][by].astype(np.int64), at)
+        yield pa.RecordBatch.from_arrays([pa.array(mark), pa.array(total)], names=["s1", "shared"])
+
+
+def _orders(buckets: int):
+    """Each posting of a partition's lists with its list's length, packed by set."""
+
+    def run(batches):
+        got = _lists(batches)
+        if got is not None:
+            key, mark, size, length = got
+            yield _blobs(_set_bucket(mark, buckets), mark, size, length, key)
 
     return run
 
@@ -332,10 +371,18 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
     parts = max(8, int(shingles * POSTING / POSTINGS_BYTES) + 1)
     few = max(8, parts // 4)
     lists = rows.select("t").mapInArrow(_postings(parts.bit_length() + 1), packed).repartition(parts, "bucket")
-    orders = lists.mapInArrow(_shared(8 * few), packed).repartition(few, "bucket")
-    ties = orders.mapInArrow(_prefixes(8 * few), packed).repartition(few, "bucket").mapInArrow(_ties, "a long, b long")
+    shared = lists.mapInArrow(_counts(8 * few), packed).repartition(few, "bucket").mapInArrow(_sum_counts, "s1 long, shared long")
+    able = classes.filter("rep is not null").join(shared.groupBy("s1").agg(F.sum("shared").alias("shared")), "s1")
+    able = cut(able.filter(WHOLE * F.col("shared") >= PART * F.col("n")).select(F.col("rep").alias("id"), "s1", "n"))
+
+    n_able, shingles = able.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts = max(8, int(shingles * POSTING / POSTINGS_BYTES) + 1)
+    texts = rows.join(sized_broadcast(able.select("id"), n_able), "id").select("t")
+    lists = texts.mapInArrow(_postings(parts.bit_length() + 1), packed).repartition(parts, "bucket")
+    orders = lists.mapInArrow(_orders(8 * parts), packed).repartition(parts, "bucket")
+    ties = orders.mapInArrow(_prefixes(8 * parts), packed).repartition(parts, "bucket").mapInArrow(_ties, "a long, b long")
     blocks = components(ties).withColumnRenamed("node", "s1")
-    members = cut(classes.filter("rep is not null").join(blocks, "s1").select(F.col("rep").alias("id"), "n", "root"))
+    members = cut(able.join(blocks, "s1").select("id", "n", "root"))
     weights = members.groupBy("root").agg(F.sum("n").alias("w"), F.count("*").alias("m")).filter("m > 1")
     dealt = members.join(weights, "root").select("id", "root", F.ceil(F.col("w") / block_shingles).alias("chunks"), "n")
     other = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("chunks") - 2)))
