@@ -40,7 +40,7 @@ SIZE = 5
 PART, WHOLE = 75, 100
 BLOCK_SHINGLES = 1_500_000
 #: Packed postings that one task takes.
-POSTINGS_BYTES = 8 << 20
+POSTINGS_BYTES = 24 << 20
 PACK_SHINGLES = 1_000_000
 POSTING = 9.5  # bytes of a packed posting, about
 _MU = 0.02
@@ -76,9 +76,6 @@ def _set_pass(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(sig[0]), pa.array(sig[1])], names=["id", "n", "s1", "s2"])
 
 
-_LOW = np.uint64((1 << 48) - 1)
-
-
 def _runs(x: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin, and the end."""
     return np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])), len(x)) if len(x) else np.zeros(1, np.int64)
@@ -106,9 +103,9 @@ def _unpacked(batches, *kinds) -> list[np.ndarray] | None:
     return [np.concatenate([x[i] for x in parts]) for i in range(len(kinds))] if parts else None
 
 
-def _postings(bits: int):
-    """All shingles of a batch's different sets, packed by the hash's first bits: 48 bits more of each hash and the
-    set's place in the block's own table.  Two shingles that agree in those bits only make a candidate more."""
+def _postings(buckets: int):
+    """All shingles of a batch's different sets, packed by range of the hash: its low 48 bits and the set's
+    place in the pack's own table.  Two shingles that agree in those bits only make a candidate more."""
 
     def run(batches):
         for batch in batches:
@@ -131,7 +128,7 @@ def _postings(bits: int):
         mark = np.array([m for _, m in parts], np.int64)
         shingle = np.concatenate([s for s, _ in parts])
         row = np.repeat(np.arange(len(parts)), size)
-        bucket = (shingle >> np.uint64(64 - bits)).astype(np.int64)
+        bucket = ((shingle >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         shingle, row, bucket = shingle[by], row[by], bucket[by]
         at, blobs = _runs(bucket), []
@@ -153,13 +150,13 @@ def _lists(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | N
     """The inverted lists of two sets or more in a partition: shingle, set, set size and list length of each posting."""
     keys, marks, sizes = [], [], []
     for batch in batches:
-        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for blob in batch.column(1).to_pylist():
             m, k = np.frombuffer(blob, np.uint32, 2).tolist()
             mark, size = np.frombuffer(blob, np.int64, m, 8), np.frombuffer(blob, np.int32, m, 8 + 8 * m)
             place = np.frombuffer(blob, np.uint16, k, 8 + 12 * m)
             key = np.zeros((k, 8), np.uint8)
             key[:, :6] = np.frombuffer(blob, np.uint8, 6 * k, 8 + 12 * m + 2 * k).reshape(k, 6)
-            keys.append(key.view(np.uint64).reshape(-1) | np.uint64((bucket << 48) & 0xFFFF000000000000))
+            keys.append(key.view(np.uint64).reshape(-1))
             marks.append(mark[place])
             sizes.append(size[place])
     if not keys:
@@ -370,17 +367,17 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
     packed = "bucket int, blob binary"
     parts = max(8, int(shingles * POSTING / POSTINGS_BYTES) + 1)
     few = max(8, parts // 4)
-    lists = rows.select("t").mapInArrow(_postings(parts.bit_length() + 1), packed).repartition(parts, "bucket")
-    shared = lists.mapInArrow(_counts(8 * few), packed).repartition(few, "bucket").mapInArrow(_sum_counts, "s1 long, shared long")
+    lists = rows.select("t").mapInArrow(_postings(parts), packed).repartitionById(parts, "bucket")
+    shared = lists.mapInArrow(_counts(few), packed).repartitionById(few, "bucket").mapInArrow(_sum_counts, "s1 long, shared long")
     able = classes.filter("rep is not null").join(shared.groupBy("s1").agg(F.sum("shared").alias("shared")), "s1")
     able = cut(able.filter(WHOLE * F.col("shared") >= PART * F.col("n")).select(F.col("rep").alias("id"), "s1", "n"))
 
     n_able, shingles = able.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     parts = max(8, int(shingles * POSTING / POSTINGS_BYTES) + 1)
     texts = rows.join(sized_broadcast(able.select("id"), n_able), "id").select("t")
-    lists = texts.mapInArrow(_postings(parts.bit_length() + 1), packed).repartition(parts, "bucket")
-    orders = lists.mapInArrow(_orders(8 * parts), packed).repartition(parts, "bucket")
-    ties = orders.mapInArrow(_prefixes(8 * parts), packed).repartition(parts, "bucket").mapInArrow(_ties, "a long, b long")
+    lists = texts.mapInArrow(_postings(parts), packed).repartitionById(parts, "bucket")
+    orders = lists.mapInArrow(_orders(parts), packed).repartitionById(parts, "bucket")
+    ties = orders.mapInArrow(_prefixes(parts), packed).repartitionById(parts, "bucket").mapInArrow(_ties, "a long, b long")
     blocks = components(ties).withColumnRenamed("node", "s1")
     members = cut(able.join(blocks, "s1").select("id", "n", "root"))
     weights = members.groupBy("root").agg(F.sum("n").alias("w"), F.count("*").alias("m")).filter("m > 1")
