@@ -1,0 +1 @@
+"""facetry: document search and faceted analytics as Spark DataFrame plans."""
