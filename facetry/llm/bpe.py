@@ -29,9 +29,11 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from facetry.llm.kernels import release_memory
+
 NONE = np.int32(np.iinfo(np.int32).max)
-BLOCK_CHARS = 6_000_000
-CACHE_PIECES = 300_000
+BLOCK_CHARS = 2_500_000
+CACHE_PIECES = 120_000
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -192,6 +194,7 @@ class Vocabulary:
                 for p in new:
                     del self.cache[p]
             a = b
+        release_memory()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))

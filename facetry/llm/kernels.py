@@ -6,6 +6,7 @@ whole rows of about ``BLOCK_BYTES`` bytes; one longer row is a block of its own,
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 
@@ -26,6 +27,14 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: Python workers live on between stages and would keep their peaks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), element by element."""
     x = x ^ (x >> np.uint64(30))
@@ -81,6 +90,7 @@ def blocks(col: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         b = max(a + 1, int(np.searchsorted(off, off[a] + limit, side="right")) - 1)
         yield Block(a, b - a, data[off[a] : off[b]], off[a : b + 1] - off[a])
         a = b
+    release_memory()
 
 
 def _bounds(block: Block, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
