@@ -15,9 +15,6 @@ from facetry.llm import bpe, jaccard, langid, mixing, quality
 from facetry.llm.queries import TOKENIZER, held_out
 from facetry.llm.spark_utils import written
 
-#: Below this share of the n-gram hits the language counts as unsure; the share of a clean text is about 0.75.
-LEAST_LANGUAGE_SCORE = 0.35
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that a rule of policy ``v1`` rejects go."""
@@ -25,10 +22,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of no recognisable language go."""
+    """Rows of no recognisable language go: no letters, or no n-gram that any language has."""
     filters = langid.fit(docs.filter(~held_out()).select("doc_id", "text", "lang"))
     held = docs.withColumn("__p", langid.identify(filters, F.col("text")))
-    known = (F.col("__p.lang_pred") != langid.UNKNOWN) & (F.col("__p.score") >= LEAST_LANGUAGE_SCORE)
+    known = (F.col("__p.lang_pred") != langid.UNKNOWN) & (F.col("__p.score") > 0)
     return held.filter(known).drop("__p")
 
 

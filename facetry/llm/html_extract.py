@@ -32,7 +32,7 @@ GROUP_PAGES = 400
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|</?[a-zA-Z!?/][^>]*\Z", re.S)
 _RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg")}
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_SPACE = re.compile(r"[ \t\n\r\f\v ]+")
+_SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split()
@@ -69,7 +69,7 @@ def lines_of(html: str | None) -> list[tuple[str, int]]:
 
     def end_line() -> None:
         if parts:
-            line = _SPACE.sub(" ", unescape("".join(parts))).strip(" ")
+            line = _SPACE.sub(" ", unescape("".join(parts))).strip()
             parts.clear()
             if line:
                 lines.append((line, kind))
