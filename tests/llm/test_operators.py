@@ -244,7 +244,7 @@ def test_page_lines_and_main_text():
     <header>Site</header><nav><ul><li><a href="/x">Menu</a></li></ul></nav><!-- c <p>x</p> --><div class="ad">Buy</div>
     <div id="cookie-notice">OK?</div><article><h1>Title &amp; more</h1><p>One <b>bold
      word</b>.<br><p>Two&nbsp;x &#233;<div class="comments">I say</div><form>f</form></article><aside>side</aside><footer>&copy; me</footer>"""
-    assert html_extract.main_text(html_extract.lines_of(page), None) == "Title & more\nOne bold word.\nTwo x é"
+    assert html_extract.main_text(html_extract.lines_of(page), None) == "Title & more\nOne bold word.\nTwo x é"
     assert html_extract.lines_of(None) == [] and html_extract.lines_of("plain < text &am") == [("plain < text &am", 0)]
 
 
