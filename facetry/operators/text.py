@@ -3,8 +3,8 @@
 A query is a small tree.  Compiling it lists its leaves: each becomes one narrow column (a term's frequency, a
 phrase's frequency, or whether some token matches).  A first projection keeps those and the field lengths only; one
 aggregate over all rows gives the document frequencies and mean lengths; matching and scoring are then Column
-expressions over a table of numbers.  Tokens are read once for the statistics and once for the scores, and never
-shuffled.
+expressions over a table of numbers.  That table is persisted (memory, then disk): texts are tokenised once, and
+tokens are never shuffled.  ``spark.catalog.clearCache()`` or the end of the session frees it.
 """
 
 from __future__ import annotations
@@ -373,7 +373,8 @@ def score(docs: DataFrame, schema: SearchSchema, node, keep: list[str] | None =
     if not leaves.exprs:
         match, points = _Scores(leaves, schema.k1, schema.b).of(node)
         return docs.select(*kept, points.alias("_score")).filter(match)
-    slim = tokenised.select(*kept, *[e.alias(n) for n, e in leaves.exprs.items()])
+    # kept, so that neither the statistics nor a filter that moves below them tokenises again
+    slim = tokenised.select(*kept, *[e.alias(n) for n, e in leaves.exprs.items()]).persist()
     counts = []
     for what, name in leaves.columns.items():
         if what[0] == "dl":
