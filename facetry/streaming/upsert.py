@@ -15,8 +15,12 @@ from facetry.sources.collection import Collection
 
 
 def append_operations(spark: SparkSession, folder: str, ops: DataFrame) -> None:
-    """Appends to the log; the files appear when they are whole."""
-    ops.select(*[f.name for f in ingest.OPERATION]).write.mode("append").json(folder)
+    """Appends to the log: one file for each call, so that batches, which take files by age, keep the log's order.
+
+    A call is one request's operations; the file appears when it is whole.
+    """
+    ordered = ops.select(*[f.name for f in ingest.OPERATION]).coalesce(1).sortWithinPartitions("seq")
+    ordered.write.mode("append").json(folder)
 
 
 def read_operations(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
