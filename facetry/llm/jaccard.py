@@ -12,10 +12,10 @@ Two texts link when the Jaccard similarity of their sets of 5-word shingles is a
    members, cut where neighbouring sizes differ too much to link, are tied to its first one.  The components of
    these ties are blocks: every link lies inside one block.
 3. Each block is searched in one task by T-occurrence queries over its inverted index: the lists of a query's
-   shingles are divided, the short ones merged by counting, candidates that can still reach the needed overlap
-   are probed by binary search in the long ones.  A breadth-first search asks only for rows that are not yet in
-   a component, and lists lose the rows that are, so a group of near copies costs about its own size.
-   The merge of the short lists counts them in one vectorised pass in place of a heap; it finds the same counts.
+   shingles are divided, the short ones merged by a heap that skips rows which too few lists can still hold,
+   candidates that can still reach the needed overlap are probed by binary search in the long ones.  A
+   breadth-first search asks only for rows that are not yet in a component, and lists lose the rows that are, so
+   a group of near copies costs about its own size.
 4. A block above ``BLOCK_SHINGLES`` is cut by a hash of the id into chunks, and each pair of chunks is searched;
    components of the results join them.  No case is dropped.
 
@@ -26,6 +26,9 @@ take the smallest id of their component, or null.  Extra columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +47,8 @@ POSTINGS_BYTES = 24 << 20
 PACK_SHINGLES = 1_000_000
 POSTING = 9.5  # bytes of a packed posting, about
 _MU = 0.02
+#: Lists are divided where the longest has as many rows.
+LONG = 16
 
 
 def least_size(n: int) -> int:
@@ -255,6 +260,41 @@ def _ties(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], names=["a", "b"])
 
 
+def merge_skip(members: memoryview, begin: list[int], end: list[int], least: int) -> tuple[list[int], list[int]]:
+    """Rows in at least ``least`` of the sorted lists ``members[begin:end]``, and in how many.
+
+    A heap holds each list's first open row.  A row on too few lists goes together with all rows before the
+    ``least``-th list's: those lists jump there by binary search.
+    """
+    n = len(begin)
+    at, rows, counts = list(begin), [], []
+    heap = [members[b] * n + k for k, b in enumerate(begin)]
+    heapify(heap)
+    while len(heap) >= least:
+        row = heap[0] // n
+        beyond, popped = (row + 1) * n, []
+        while heap and heap[0] < beyond:
+            popped.append(heappop(heap) % n)
+        if len(popped) >= least:
+            rows.append(row)
+            counts.append(len(popped))
+            for k in popped:
+                at[k] += 1
+                if at[k] < end[k]:
+                    heappush(heap, members[at[k]] * n + k)
+            continue
+        while heap and len(popped) < least - 1:
+            popped.append(heappop(heap) % n)
+        if not heap:
+            break
+        target = heap[0] // n
+        for k in popped:
+            at[k] = bisect_left(members, target, at[k], end[k])
+            if at[k] < end[k]:
+                heappush(heap, members[at[k]] * n + k)
+    return rows, counts
+
+
 class Index:
     """Inverted lists of some rows' sets, without shingles that only one row has."""
 
@@ -271,6 +311,7 @@ class Index:
     def _lists(self, row: np.ndarray, token: np.ndarray, n: int) -> None:
         by = np.argsort(token, kind="stable")
         self.members = row[by]
+        self._open = memoryview(np.ascontiguousarray(self.members, np.int64))
         self.begin = np.searchsorted(token[by], np.arange(n + 1))
         self._row, self._token, self._n = row, token, n
 
@@ -290,14 +331,13 @@ class Index:
             return np.zeros(0, np.int64)
         by = np.argsort(length, kind="stable")
         tokens, length = tokens[by], length[by]
-        n_long = min(least - 1, int(least / (_MU * np.log2(length[-1] + 1) + 1))) if length[-1] >= 64 else 0
+        n_long = min(least - 1, int(least / (_MU * np.log2(length[-1] + 1) + 1))) if length[-1] >= LONG else 0
         short, long = tokens[: len(tokens) - n_long], tokens[len(tokens) - n_long :]
-        ends = np.cumsum(self.begin[short + 1] - self.begin[short])
-        at = np.arange(ends[-1]) + np.repeat(self.begin[short + 1] - ends, self.begin[short + 1] - self.begin[short])
-        counts = np.bincount(self.members[at], minlength=len(self.sizes))
-        found = np.flatnonzero((counts >= max(1, least - n_long)) & alive)
-        found = found[(WHOLE * self.sizes[found] >= PART * n) & (WHOLE * n >= PART * self.sizes[found])]
-        total, need = counts[found], needed(n, self.sizes[found])
+        rows, counts = merge_skip(self._open, self.begin[short].tolist(), self.begin[short + 1].tolist(), max(1, least - n_long))
+        found, total = np.array(rows, np.int64), np.array(counts, np.int64)
+        fits = alive[found] & (WHOLE * self.sizes[found] >= PART * n) & (WHOLE * n >= PART * self.sizes[found])
+        found, total = found[fits], total[fits]
+        need = needed(n, self.sizes[found])
         for k, t in enumerate(long):  # longest last; rows that cannot reach the overlap any more go
             if not len(found):
                 break

@@ -157,6 +157,17 @@ def test_search_divides_lists_and_misses_nothing():
         assert [j for j in index.search(x, alive).tolist() if j != x] == expected
 
 
+def test_heap_merge_skips_and_counts():
+    rnd = np.random.default_rng(6)
+    for _ in range(60):
+        lists = [np.sort(rnd.choice(120, rnd.integers(1, 50), replace=False)) for _ in range(rnd.integers(1, 12))]
+        ends = np.cumsum([len(x) for x in lists])
+        seen = collections.Counter(np.concatenate(lists).tolist())
+        for least in range(1, len(lists) + 2):
+            rows, counts = jaccard.merge_skip(memoryview(np.concatenate(lists)), [0, *ends[:-1].tolist()], ends.tolist(), least)
+            assert list(zip(rows, counts, strict=True)) == sorted((r, n) for r, n in seen.items() if n >= least)
+
+
 def test_components_by_contraction(spark):
     rnd = np.random.default_rng(4)
     a, b = rnd.integers(-(1 << 40), 1 << 40, 300), rnd.integers(-(1 << 40), 1 << 40, 300)
