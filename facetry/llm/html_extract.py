@@ -4,10 +4,11 @@ Pages of a host are sorted by URL path, and each is paired with the neighbour wh
 beginning.  Both are turned into text lines (one for each block element), the lines are aligned by their longest
 common subsequence, and shared lines are deleted: what a site repeats on neighbouring pages is its template.
 
-Differencing alone has two faults, which an exact check after it mends.  Neighbours may carry copies of one
-article, so shared lines inside the page's ``article`` or ``main`` element are kept.  Adverts, notices and the like
-may differ from page to page, so lines inside elements that name themselves as such (by tag, role, class or id)
-are deleted though they are not shared; if a page has an ``article`` or ``main`` element, lines outside go too.
+Differencing decides inside a page's ``article`` or ``main`` element too.  Structure corrects two faults of it.
+Neighbours may carry copies of one article: if more than half of the element's text is shared, the neighbour says
+nothing about the template, and the element stays whole.  Adverts, notices and the like may differ from page to
+page, so lines inside elements that name themselves as such (by tag, role, class or id) are deleted though they are
+not shared; if a page has an ``article`` or ``main`` element, lines outside go too.
 
 Pages are dealt by host and directory; directories with many pages are split by a hash of the URL, and small ones
 stay with their host.  One task holds two pages at a time.
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from facetry.llm.spark_utils import skew_safe_left_join
 
 GROUP_PAGES = 400
+#: Neighbours whose articles share more than this part of the text (in characters) carry one article.
+SAME_ARTICLE = 0.5
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|</?[a-zA-Z!?/][^>]*\Z", re.S)
 _RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg")}
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -152,11 +155,26 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
+def _content(page: list[tuple[str, int]]) -> list[int]:
+    """Positions of the lines that may be main text by structure."""
+    place = MAIN if any(kind == MAIN for _, kind in page) else OUTSIDE
+    return [k for k, (_, kind) in enumerate(page) if kind == place]
+
+
+def template_lines(page: list[tuple[str, int]], neighbour: list[tuple[str, int]]) -> set[int] | None:
+    """Positions of the lines that both pages have; None if the neighbour carries the same article."""
+    shared = shared_lines([x for x, _ in page], [x for x, _ in neighbour])
+    content = _content(page)
+    if content and page[content[0]][1] == MAIN:
+        n, same = (sum(len(page[k][0]) for k in ks) for ks in (content, [k for k in content if k in shared]))
+        if same > SAME_ARTICLE * n:
+            return None
+    return shared
+
+
 def main_text(page: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None) -> str:
-    shared = shared_lines([x for x, _ in page], [x for x, _ in neighbour]) if neighbour else set()
-    has_main = any(kind == MAIN for _, kind in page)
-    kept = [line for k, (line, kind) in enumerate(page) if kind == MAIN or (kind == OUTSIDE and k not in shared and not has_main)]
-    return "\n".join(kept)
+    shared = (template_lines(page, neighbour) if neighbour else None) or ()
+    return "\n".join(page[k][0] for k in _content(page) if k not in shared)
 
 
 def _common(a: str, b: str) -> int:

@@ -282,6 +282,14 @@ def test_differencing_deletes_a_template_without_landmarks(spark, nothing):
     assert html_extract.extract(pages.filter("page_id < 0")).count() == 0
 
 
+def test_differencing_decides_inside_an_article():
+    page = lambda *own: html_extract.lines_of("<article>" + "".join(f"<p>{x}</p>" for x in ("Share", *own, "Read more")) + "</article>Imprint")
+    one, other = page("The first article's own text.", "Its end."), page("Quite another story, told at length.")
+    assert html_extract.main_text(one, other) == "The first article's own text.\nIts end."
+    revised = page("The first article's own text.", "Its end, revised.")
+    assert html_extract.main_text(one, revised) == html_extract.main_text(one, None) == "Share\nThe first article's own text.\nIts end.\nRead more"
+
+
 def test_urls(spark):
     urls = {
         1: "https://WWW.Example.com/en/x?y#z", 2: "http://a.example.com/en/", 3: "http://example.com/fr/", 4: "http://x.net/es/1", 5: "http://net/es", 6: None, 7: "no scheme",
