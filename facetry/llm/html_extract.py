@@ -7,8 +7,8 @@ common subsequence, and shared lines are deleted: what a site repeats on neighbo
 Differencing decides inside a page's ``article`` or ``main`` element too.  Structure corrects two faults of it.
 Neighbours may carry copies of one article: if more than half of the element's text is shared, the neighbour says
 nothing about the template, and the element stays whole.  Adverts, notices and the like may differ from page to
-page, so lines inside elements that name themselves as such (by tag, role, class or id) are deleted though they are
-not shared; if a page has an ``article`` or ``main`` element, lines outside go too.
+page, so lines inside elements that name themselves as such (by tag, or a whole token of role, class or id) are deleted
+though they are not shared, but never an ``article`` or ``main`` inside a wrapper of such a name; if a page has an ``article`` or ``main`` element, lines outside go too.
 
 Pages are dealt by host and directory; directories with many pages are split by a hash of the URL, and small ones
 stay with their host.  One task holds two pages at a time.
@@ -45,24 +45,40 @@ _BOILER_WORDS = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent notice notices alert popup modal newsletter subscribe subscription signup login search breadcrumb breadcrumbs pagination pager share sharing social related recommended comment comments reply replies respond discussion disqus widget toolbar contentinfo complementary".split()
 )
 _MAIN_TAGS = frozenset(("article", "main"))
-_WORD = re.compile(r"[A-Za-z]+")
+#: By a word of theirs these are never boilerplate: the page itself, its article, and headings, whose ids name topics.
+_NEVER_BY_WORD = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+#: An article inside one of these is a teaser, not the page's own.
+_TEASER_TAGS = frozenset("nav aside footer menu dialog select button".split())
+_PART = re.compile(r"[-_]+")
+#: Words that leave the meaning of a boilerplate word beside them: site-footer, ad-slot, comment-list.
+_NEUTRAL_WORDS = frozenset("site main top bottom slot unit box block list links form bar".split())
 _CLOSES = {"p": frozenset(("p",)), "li": frozenset(("li",)), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "tr": frozenset(("tr", "td", "th")), "option": frozenset(("option",)), "dd": frozenset(("dd", "dt")), "dt": frozenset(("dd", "dt"))}
 
 #: What a line is by structure.
 OUTSIDE, MAIN, BOILER = 0, 1, 2
 
 
+def _names_boiler(token: str) -> bool:
+    """By the whole token: sidebar, cookie-notice and site-footer, but not has-sidebar or related-work."""
+    parts = {p for p in _PART.split(token.lower()) if p} - _NEUTRAL_WORDS
+    return bool(parts) and parts <= _BOILER_WORDS
+
+
 def _is_boiler(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in _BOILER_TAGS and not (tag == "header" and in_main):
         return True
-    if attributes and tag not in ("html", "body"):
+    if attributes and tag not in _NEVER_BY_WORD:
         for m in _NAMED.finditer(attributes):
-            value = m[1] or m[2] or m[3] or ""
-            if not _BOILER_WORDS.isdisjoint(w.lower() for w in _WORD.findall(value)):
+            if any(map(_names_boiler, (m[1] or m[2] or m[3] or "").split())):
                 return True
     return False
 
 
+def _restores(tag: str, stack: list[tuple[str, int]]) -> bool:
+    """Whether a ``main`` or ``article`` inside boilerplate is the page's own: comments on an article and teasers are not."""
+    return tag == "main" or not any(t == "article" or t in _TEASER_TAGS for t, _ in stack[:-1])
+
+
 def lines_of(html: str | None) -> list[tuple[str, int]]:
     """The text lines of a page, in order, with what each is by structure."""
     lines: list[tuple[str, int]] = []
@@ -109,7 +125,11 @@ def lines_of(html: str | None) -> list[tuple[str, int]]:
                     end_line()
                     kind = BOILER
                 elif tag in _MAIN_TAGS:
+                    end_line()
                     kind = MAIN
+            elif tag in _MAIN_TAGS and _restores(tag, stack):
+                end_line()
+                kind = MAIN
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:

@@ -290,6 +290,17 @@ def test_differencing_decides_inside_an_article():
     assert html_extract.main_text(one, revised) == html_extract.main_text(one, None) == "Share\nThe first article's own text.\nIts end.\nRead more"
 
 
+def test_a_word_in_a_name_does_not_lose_the_article():
+    text = lambda html: html_extract.main_text(html_extract.lines_of(html), None)
+    for wrapper in ("site has-sidebar", "no-sidebar", "sidebar", "page comments-open"):
+        assert text(f'<div class="{wrapper}"><p>menu</p><article class="post comments-open"><p>Own</p></article></div>') == "Own"
+        assert text(f'<form><div id="{wrapper}"><main role="search"><p>Own</p></main></div></form>') == "Own"
+    inside = '<h1 class="header">A</h1><section id="related-work"><h2 id="search">B</h2><p>C</p></section>'
+    assert text(f"<article>{inside}</article>") == "A\nB\nC"
+    assert text('<div class="no-sidebar"><p>Own</p></div><div class="sidebar">s</div><div id="cookie-notice">c</div><div class="site-footer">f</div>') == "Own"
+    assert text('<article>Own<section class="comments"><article>I say</article></section></article><aside><article>Teaser</article></aside>') == "Own"
+
+
 def test_urls(spark):
     urls = {
         1: "https://WWW.Example.com/en/x?y#z", 2: "http://a.example.com/en/", 3: "http://example.com/fr/", 4: "http://x.net/es/1", 5: "http://net/es", 6: None, 7: "no scheme",
