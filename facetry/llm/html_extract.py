@@ -1,26 +1,32 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages of a host are sorted by URL path, and each is paired with the neighbour whose path shares the longer
-beginning.  Both are turned into text lines (one for each block element), the lines are aligned by their longest
-common subsequence, and shared lines are deleted: what a site repeats on neighbouring pages is its template.
+Pages of a host are sorted by URL path, and each is paired with the page whose path shares the longest beginning
+and whose content differs.  Both are turned into text lines (one for each block element), the lines are aligned by
+their longest common subsequence, and shared lines are deleted: what a site repeats on pages of different content is
+its template.
 
-Differencing decides inside a page's ``article`` or ``main`` element too.  Structure corrects two faults of it.
-Neighbours may carry copies of one article: if more than half of the element's text is shared, the neighbour says
-nothing about the template, and the element stays whole.  Adverts, notices and the like may differ from page to
-page, so lines inside elements that name themselves as such (by tag, or a whole token of role, class or id) are deleted
-though they are not shared, but never an ``article`` or ``main`` inside a wrapper of such a name; if a page has an ``article`` or ``main`` element, lines outside go too.
+Copies say nothing about the template, so differencing alone would lose their text.  A page is passed over as a copy
+if it has more than half of the text of an ``article`` or ``main`` element, or nine tenths of a page without one.
+It looks through eight runs of equal pages on either side; where all of them are copies the page stays whole, unless
+two pages that differ from each other have all of it: then it is nothing but template.
+
+Differencing decides inside an ``article`` or ``main`` element too; structure corrects it.  Adverts, notices and the
+like may differ from page to page, so lines inside elements that name themselves as such (by tag, or a whole token of
+role, class or id) are deleted though they are not shared, but never an ``article`` or ``main`` inside a wrapper of
+such a name; if a page has an ``article`` or ``main`` element, lines outside go too.
 
 Pages are dealt by host and directory; directories with many pages are split by a hash of the URL, and small ones
-stay with their host.  One task holds two pages at a time.
+stay with their host.  One task holds the runs within reach at a time.
 
 Defined results: null html is an empty page with empty text; pages without a URL are one host; a page that is cut
-off in the middle gives what came before; repeated rows get equal results up to their neighbours' template lines.
+off in the middle gives what came before; repeated rows get equal results.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -32,6 +38,10 @@ from facetry.llm.spark_utils import skew_safe_left_join
 GROUP_PAGES = 400
 #: Neighbours whose articles share more than this part of the text (in characters) carry one article.
 SAME_ARTICLE = 0.5
+#: As much of pages without such an element makes them copies: template lines may be most of a page.
+SAME_PAGE = 0.9
+#: So many runs of equal pages are looked through on either side for a page of other content.
+REACH = 8
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|</?[a-zA-Z!?/][^>]*\Z", re.S)
 _RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg")}
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -181,20 +191,48 @@ def _content(page: list[tuple[str, int]]) -> list[int]:
     return [k for k, (_, kind) in enumerate(page) if kind == place]
 
 
-def template_lines(page: list[tuple[str, int]], neighbour: list[tuple[str, int]]) -> set[int] | None:
-    """Positions of the lines that both pages have; None if the neighbour carries the same article."""
+def _compared(page: list[tuple[str, int]], neighbour: list[tuple[str, int]]) -> tuple[set[int], bool, bool]:
+    """Positions of the lines that both have, and whether these are nearly all of the page, and of the neighbour."""
     shared = shared_lines([x for x, _ in page], [x for x, _ in neighbour])
     content = _content(page)
-    if content and page[content[0]][1] == MAIN:
-        n, same = (sum(len(page[k][0]) for k in ks) for ks in (content, [k for k in content if k in shared]))
-        if same > SAME_ARTICLE * n:
-            return None
-    return shared
+    limit = SAME_ARTICLE if content and page[content[0]][1] == MAIN else SAME_PAGE
+    same = sum(len(page[k][0]) for k in content if k in shared)
+    return shared, *(same > limit * sum(len(x[k][0]) for k in _content(x)) for x in (page, neighbour))
+
+
+def differenced(page: list[tuple[str, int]], neighbours: Iterable[list[tuple[str, int]]], compared=_compared) -> str:
+    """The page's text after its difference to the nearest neighbour of other content; ``neighbours`` are nearest first.
+
+    A page of template lines only is found by two neighbours that have all of it, and other content than each other.
+    """
+    content = _content(page)
+    shared, around = set(), []
+    for neighbour in neighbours if content else ():
+        found, is_page, is_neighbour = compared(page, neighbour)
+        if not is_page:
+            shared = found
+            break
+        if not is_neighbour and page[content[0]][1] != MAIN and len(around) < 2:
+            if not around or not any(_compared(neighbour, around[0][1])[1:]):
+                around.append((found, neighbour))
+    else:
+        if len(around) == 2:
+            shared = around[0][0]
+    return "\n".join(page[k][0] for k in content if k not in shared)
+
+
+def main_text(page: list[tuple[str, int]], *neighbours: list[tuple[str, int]] | None) -> str:
+    return differenced(page, filter(None, neighbours))
+
 
+class _Run:
+    """Consecutive pages of one html."""
 
-def main_text(page: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None) -> str:
-    shared = (template_lines(page, neighbour) if neighbour else None) or ()
-    return "\n".join(page[k][0] for k in _content(page) if k not in shared)
+    __slots__ = ("html", "lines", "first", "last", "pages")
+
+    def __init__(self, html: str | None, lines: list[tuple[str, int]], path: str):
+        self.html, self.lines, self.first, self.last = html, lines, path, path
+        self.pages: list[tuple] = []
 
 
 def _common(a: str, b: str) -> int:
@@ -206,6 +244,34 @@ def _common(a: str, b: str) -> int:
     return n
 
 
+def _by_nearness(path: str, before: list[_Run], after: list[_Run]) -> Iterator[_Run]:
+    """Runs by the beginning that their paths share with ``path``; in sorted order it only gets shorter with distance."""
+    left, right = iter(before), iter(after)
+    a, b = next(left, None), next(right, None)
+    while a or b:
+        if b is None or (a and _common(a.last, path) >= _common(b.first, path)):
+            yield a
+            a = next(left, None)
+        else:
+            yield b
+            b = next(right, None)
+
+
+def _texts(run: _Run, before: list[_Run], after: list[_Run]) -> Iterator[tuple]:
+    """Rows (id, url, text, length) of a run's pages."""
+    known: dict[int, tuple] = {}
+
+    def compared(page, neighbour):
+        if id(neighbour) not in known:
+            known[id(neighbour)] = _compared(page, neighbour)
+        return known[id(neighbour)]
+
+    for path, key, url in run.pages:
+        near = (x.lines for x in _by_nearness(path, before, after) if x.lines)
+        text = differenced(run.lines, near, compared)
+        yield key, url, text, len(text)
+
+
 def _difference(batches):
     """Rows (group, path, id, url, html) sorted by group and path."""
 
@@ -214,24 +280,34 @@ def _difference(batches):
             yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
 
     out: list[tuple] = []
-
-    def emit(before, page, after):
-        near = [x for x in (before, after) if x is not None and x[0] == page[0]]
-        best = max(near, key=lambda x: _common(x[1], page[1]), default=None)
-        text = main_text(page[4], best[4] if best else None)
-        out.append((page[2], page[3], text, len(text)))
-
-    before = page = None
-    for row in rows():
-        after = (*row[:4], lines_of(row[4]))
-        if page is not None:
-            emit(before, page, after)
-        before, page = page, after
+    runs: list[_Run] = []  # of one group: those before the run at ``at``, that run, and those after it
+    at = 0
+
+    def advance(least: int):
+        nonlocal at
+        while len(runs) - at > least:
+            out.extend(_texts(runs[at], runs[max(0, at - REACH) : at][::-1], runs[at + 1 : at + 1 + REACH]))
+            runs[at].pages.clear()
+            at += 1
+            if at > REACH:
+                del runs[0]
+                at -= 1
+
+    group = None
+    for g, path, key, url, html in rows():
+        if g != group:
+            advance(0)
+            runs.clear()
+            group, at = g, 0
+        if not runs or runs[-1].html != html:
+            advance(REACH)
+            runs.append(_Run(html, lines_of(html), path))
+        runs[-1].last = path
+        runs[-1].pages.append((path, key, url))
         if len(out) >= 1000:
             yield _batch(out)
             out.clear()
-    if page is not None:
-        emit(before, page, None)
+    advance(0)
     if out:
         yield _batch(out)
 

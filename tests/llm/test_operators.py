@@ -290,6 +290,19 @@ def test_differencing_decides_inside_an_article():
     assert html_extract.main_text(one, revised) == html_extract.main_text(one, None) == "Share\nThe first article's own text.\nIts end.\nRead more"
 
 
+def test_copies_without_landmarks_keep_their_text(spark):
+    page = lambda *own: "".join(f"<div>{x}</div>" for x in ("Home", "News", *own, "Imprint"))
+    long = "A text of some length that is copied under neighbouring paths, with much more to say than the site's menu. " * 3
+    rows = [(k, f"http://h.example/a/{k:03}", page(long.strip())) for k in range(30)]
+    rows += [(k, f"http://h.example/a/{k:03}", page(long.strip(), f"Copy {k}")) for k in range(30, 33)]
+    rows += [(40, "http://h.example/b/1", page("Another text.")), (41, "http://h.example/b/2", page()), (42, "http://h.example/b/3", page("A third one."))]
+    rows += [(k, f"http://only.example/{k}", "<p>Nothing but copies</p>") for k in (50, 51)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert all(got[k] == long.strip() for k in range(30)) and all(got[k] == f"{long.strip()}\nCopy {k}" for k in range(30, 33))
+    assert [got[k] for k in (40, 41, 42, 50, 51)] == ["Another text.", "", "A third one.", "Nothing but copies", "Nothing but copies"]
+
+
 def test_a_word_in_a_name_does_not_lose_the_article():
     text = lambda html: html_extract.main_text(html_extract.lines_of(html), None)
     for wrapper in ("site has-sidebar", "no-sidebar", "sidebar", "page comments-open"):
