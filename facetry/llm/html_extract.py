@@ -15,8 +15,9 @@ like may differ from page to page, so lines inside elements that name themselves
 role, class or id) are deleted though they are not shared, but never an ``article`` or ``main`` inside a wrapper of
 such a name; if a page has an ``article`` or ``main`` element, lines outside go too.
 
-Pages are dealt by host and directory; directories with many pages are split by a hash of the URL, and small ones
-stay with their host.  One task holds the runs within reach at a time.
+Pages are dealt by ranges of (host, path), found over a narrow table of addresses and digests first.  Each range is
+handed the pages of the nearest runs outside it, so the pairs do not depend on the number of pages or ranges.  One
+task holds the runs within reach at a time.
 
 Defined results: null html is an empty page with empty text; pages without a URL are one host; a page that is cut
 off in the middle gives what came before; repeated rows get equal results.
@@ -25,17 +26,16 @@ off in the middle gives what came before; repeated rows get equal results.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetry.llm.spark_utils import skew_safe_left_join
-
-GROUP_PAGES = 400
 #: Neighbours whose articles share more than this part of the text (in characters) carry one article.
 SAME_ARTICLE = 0.5
 #: As much of pages without such an element makes them copies: template lines may be most of a page.
@@ -272,15 +272,15 @@ def _texts(run: _Run, before: list[_Run], after: list[_Run]) -> Iterator[tuple]:
         yield key, url, text, len(text)
 
 
-def _difference(batches):
-    """Rows (group, path, id, url, html) sorted by group and path."""
+def _rows(batches) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
 
-    def rows():
-        for batch in batches:
-            yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
 
+def _difference(batches):
+    """Rows (own, host, path, id, url, html) sorted by host and path; only own rows are given out."""
     out: list[tuple] = []
-    runs: list[_Run] = []  # of one group: those before the run at ``at``, that run, and those after it
+    runs: list[_Run] = []  # of one host: those before the run at ``at``, that run, and those after it
     at = 0
 
     def advance(least: int):
@@ -293,17 +293,18 @@ def _difference(batches):
                 del runs[0]
                 at -= 1
 
-    group = None
-    for g, path, key, url, html in rows():
-        if g != group:
+    host = None
+    for own, h, path, key, url, html in _rows(batches):
+        if h != host:
             advance(0)
             runs.clear()
-            group, at = g, 0
+            host, at = h, 0
         if not runs or runs[-1].html != html:
             advance(REACH)
             runs.append(_Run(html, lines_of(html), path))
         runs[-1].last = path
-        runs[-1].pages.append((path, key, url))
+        if own:
+            runs[-1].pages.append((path, key, url))
         if len(out) >= 1000:
             yield _batch(out)
             out.clear()
@@ -317,18 +318,83 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def _ends(batches):
+    """Of a range's rows (host, path, id, digest), sorted: the first pages of the first runs of its first host, and the
+    last pages of the last runs of its last host."""
+    head: list[tuple] = []
+    tail: deque[tuple] = deque(maxlen=REACH + 1)
+    one_host, before = True, None
+    for row in _rows(batches):
+        if before is not None and row[0] != before[0]:
+            one_host = False
+            tail.clear()
+        if not tail or row[3] != tail[-1][3]:
+            tail.append(row)
+            if one_host and len(head) <= REACH:
+                head.append(row)
+        tail[-1] = before = row
+    if head:
+        part = TaskContext.get().partitionId()
+        ends = [(part, one_host, side, k, *row) for side, rows in ((0, head), (1, tail)) for k, row in enumerate(rows)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*ends, strict=True)], names=["part", "one_host", "side", "k", "host", "path", "key", "digest"])
+
+
+def _outer(ranges: list[tuple[bool, list, list]], at: int, step: int) -> list[tuple]:
+    """Pages of the nearest runs outside a range, of the host at its end, from as many ranges as it takes."""
+    host, found = ranges[at][1 if step < 0 else 2][0 if step < 0 else -1][0], []
+    at += step
+    while 0 <= at < len(ranges):
+        one_host, head, tail = ranges[at]
+        for row in tail[::-1] if step < 0 else head:
+            if row[0] != host or len(found) > REACH:
+                return found
+            if not found or found[-1][3] != row[3]:
+                found.append(row)
+        if not one_host:
+            break
+        at += step
+    return found
+
+
+def _dealing(keys: DataFrame, parts: int) -> tuple[list[tuple], dict[tuple, list[int]]]:
+    """The first key of each range of ``keys``, and for pages near its ends the other ranges that need them."""
+    order = ("host", "path", "key", "digest")
+    kinds = "part long, one_host boolean, side long, k long, host string, path string, key long, digest long"
+    ends: dict[int, tuple[bool, list, list]] = {}
+    for r in sorted(map(tuple, keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_ends, kinds).collect())):
+        ends.setdefault(r[0], (r[1], [], []))[1 + r[2]].append(r[4:])
+    ranges = sorted(ends.values(), key=lambda x: x[1][0])
+    handed: dict[tuple, list[int]] = {}
+    for k in range(len(ranges)):
+        for row in (*_outer(ranges, k, -1), *_outer(ranges, k, 1)):
+            handed.setdefault(row, []).append(k)
+    return [head[0] for _, head, _ in ranges], handed
+
+
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", parts: int | None = None) -> DataFrame:
     """``page_id, url, text, n_chars`` for each page; keys are integers."""
     address = F.coalesce(F.col(url).cast("string"), F.lit(""))
+    body = F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = pages.select(
         F.regexp_extract(address, r"(?s)^(?:[^/?#]*://)?([^/?#]*)", 1).alias("host"),
         F.regexp_extract(address, r"(?s)^(?:[^/?#]*://)?[^/?#]*([^?#]*)", 1).alias("path"),
-        F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"),
-    ).withColumn("folder", F.regexp_extract("path", r"(?s)^(.*/)", 1))
-    counts = rows.groupBy("host", "folder").agg(F.count("*").alias("n"))
-    large = counts.filter(F.col("n") > GROUP_PAGES).withColumn("split", F.ceil(F.col("n") / GROUP_PAGES))
-    dealt = skew_safe_left_join(rows, large.select("host", "folder", "n", "split"), ["host", "folder"], "n", pages.count())
-    apart = F.col("split").isNotNull()
-    group = F.xxhash64("host", F.when(apart, F.col("folder")), F.when(apart, F.pmod(F.xxhash64("path"), "split")))
-    ready = dealt.select(group.alias("group"), "path", "id", "url", "html").repartition("group").sortWithinPartitions("group", "path", "id")
-    return ready.mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
+        F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("key"), F.xxhash64(body).alias("digest"),
+        F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), body.alias("html"),
+    )
+    parts = parts or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    starts, handed = _dealing(rows.select("host", "path", "key", "digest"), parts)
+
+    @F.arrow_udf("array<int>")
+    def dealt(host: pa.Array, path: pa.Array, key: pa.Array, digest: pa.Array) -> pa.Array:
+        """Twice the range, and one more where it is the row's own."""
+        out = []
+        for row in zip(*(c.to_pylist() for c in (host, path, key, digest)), strict=True):
+            own = max(0, bisect_right(starts, row) - 1)
+            out.append([2 * own + 1, *(2 * k for k in handed.get(row, ()) if k != own)])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    order = ("host", "path", "key", "digest")
+    copied = rows.withColumn("range", F.explode(dealt(*order)))
+    ready = copied.repartitionById(max(1, len(starts)), F.expr("range div 2").cast("int")).sortWithinPartitions(F.expr("range div 2"), *order)
+    own = (F.col("range") % 2 == 1).alias("own")
+    return ready.select(own, "host", "path", "id", "url", "html").mapInArrow(_difference, "page_id long, url string, text string, n_chars long")

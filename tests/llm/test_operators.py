@@ -303,6 +303,17 @@ def test_copies_without_landmarks_keep_their_text(spark):
     assert [got[k] for k in (40, 41, 42, 50, 51)] == ["Another text.", "", "A third one.", "Nothing but copies", "Nothing but copies"]
 
 
+def test_pairs_do_not_depend_on_the_number_of_pages_or_ranges(spark):
+    sibling = lambda k: f"<div>Home</div><div>Section {k // 2}</div><p>Own text of page {k}</p>"
+    rows = [(k, f"http://h.example/a/{k // 2:03}-{k % 2}", sibling(k)) for k in range(500)]
+    rows += [(k, f"http://h.example/b/{k}", "<div>Home</div><p>A copied text of more length than the menu</p>") for k in range(1000, 1100)] + [(1100, "http://h.example/c/", "<div>Home</div><p>Last</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = lambda **more: {r["page_id"]: r["text"] for r in html_extract.extract(pages, **more).collect()}
+    first = found()
+    assert first == {k: f"Own text of page {k}" for k in range(500)} | dict.fromkeys(range(1000, 1100), "A copied text of more length than the menu") | {1100: "Last"}
+    assert found(parts=1) == found(parts=23) == first
+
+
 def test_a_word_in_a_name_does_not_lose_the_article():
     text = lambda html: html_extract.main_text(html_extract.lines_of(html), None)
     for wrapper in ("site has-sidebar", "no-sidebar", "sidebar", "page comments-open"):
