@@ -287,13 +287,20 @@ _add("project_source_fields", _projected, f"SELECT id AS doc_id, props, round(va
 # ---- analysis ----
 
 
-def _analysed(name: str) -> Query:
-    return lambda s, d: texts(s, d).select(F.explode(analysis.tokens(name, F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(500)
+def _analysed(name: str, most: int | None = None) -> Query:
+    """Counts of all tokens, or of the ``most`` frequent ones."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        counts = texts(s, d).select(F.explode(analysis.tokens(name, F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+        return counts.orderBy(F.desc("n"), "token").limit(most) if most else counts
+
+    return query
 
 
 _STANDARD = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+(?:[''’.][\p{{L}}\p{{N}}_]+)*')"
 for _name, _expr in (("standard", _STANDARD.format("text")), ("simple", r"regexp_extract_all(lower(text), '\p{L}+')"), ("keyword", "[text]"), ("whitespace", r"list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')")):
-    _add(f"analyze_{_name}", _analysed(_name), f"SELECT token, count(*) AS n FROM (SELECT unnest({_expr}) AS token FROM documents) GROUP BY token ORDER BY n DESC, token LIMIT 500")
+    _add(f"analyze_{_name}_all", _analysed(_name), f"SELECT token, count(*) AS n FROM (SELECT unnest({_expr}) AS token FROM documents) GROUP BY token")
+    _add(f"analyze_{_name}", _analysed(_name, 500), f"SELECT token, count(*) AS n FROM (SELECT unnest({_expr}) AS token FROM documents) GROUP BY token ORDER BY n DESC, token LIMIT 500")
 _add("analyze_language", _analysed("lucene.en"))
 
 # ---- full text ----

@@ -1,11 +1,13 @@
 """Registered queries against their SQL, on the smallest tables."""
 
+import collections
 import os
 
 import duckdb
 import pytest
 
 from facetry import queries
+from facetry.functions import analysis
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,6 +35,22 @@ def test_query_equals_sql(spark, name):
     assert values(df.collect(), names) == values(expected, names)
 
 
+@pytest.mark.parametrize("name", ["standard", "simple", "keyword", "whitespace"])
+def test_all_token_counts_equal_sql(spark, name):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    got = [tuple(r) for r in queries.QUERIES[f"analyze_{name}_all"](spark, DATA).select("token", "n").collect()]
+    top = queries.QUERIES[f"analyze_{name}"](spark, DATA).count()
+    assert sorted(got) == sorted(con.sql(queries.SQL[f"analyze_{name}_all"]).fetchall()) and len(got) >= top
+
+
+def test_language_analyzer_counts_all_tokens(spark):
+    texts = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    plain = collections.Counter(t for text in texts for t in analysis.query_tokens("lucene.en", text or ""))
+    assert len(plain) > 500
+    assert {r["token"]: r["n"] for r in queries.QUERIES["analyze_language"](spark, DATA).collect()} == plain
+
+
 def test_filters_reach_the_scan(spark):
     plan = queries.QUERIES["filter_range_int_incl"](spark, DATA)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(p_size), GreaterThanOrEqual(p_size,10)" in plan and "ReadSchema: struct<p_partkey:bigint,p_size:int>" in plan
