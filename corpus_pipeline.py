@@ -22,10 +22,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of no recognisable language go: no letters, or no n-gram that any language has."""
+    """Rows of no learned language go: no letters, or too few n-grams that the best language knows."""
     filters = langid.fit(docs.filter(~held_out()).select("doc_id", "text", "lang"))
     held = docs.withColumn("__p", langid.identify(filters, F.col("text")))
-    known = (F.col("__p.lang_pred") != langid.UNKNOWN) & (F.col("__p.score") > 0)
+    known = (F.col("__p.lang_pred") != langid.UNKNOWN) & (F.col("__p.known") >= langid.KNOWN_SHARE)
     return held.filter(known).drop("__p")
 
 

@@ -32,3 +32,18 @@ def test_stages(spark):
         else:
             assert kept.columns == columns
     assert pipeline.run(spark, DATA).count() == kept.count()
+
+
+def test_language_stage_rejects_unlearned_languages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    foreign = [
+        "Kot śpi na kanapie, podczas gdy deszcz powoli pada na miasto, a ludzie szybko chodzą pod parasolami",
+        "Kedi kanepede uyurken yağmur yavaşça şehrin üzerine yağıyor ve insanlar hızla yürüyor her sabah",
+        "Kissa nukkuu sohvalla, kun sade putoaa hitaasti kaupungin ylle ja ihmiset kävelevät nopeasti",
+        "Paka analala kwenye kochi wakati mvua inanyesha polepole juu ya mji na watu wanatembea haraka",
+    ]
+    clean = [(r["doc_id"], r["text"]) for r in pipeline.quality_stage(spark, docs, DATA).collect()]
+    odd = spark.createDataFrame([(10**9 + k, t) for k, t in enumerate([*foreign, "1234 5678 !!", None])], "doc_id long, text string")
+    given = docs.unionByName(odd, allowMissingColumns=True)
+    kept = {r["doc_id"] for r in pipeline.language_stage(spark, given, DATA).collect()}
+    assert clean and kept >= {i for i, _ in clean} and not any(i >= 10**9 for i in kept)
