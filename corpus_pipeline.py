@@ -17,8 +17,8 @@ from facetry.llm.spark_utils import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that a rule of policy ``v1`` rejects go."""
-    return quality.apply_policy(docs, "v1")
+    """Rows that a rule of policy ``v2`` rejects go."""
+    return quality.apply_policy(docs, "v2")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

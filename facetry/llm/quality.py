@@ -11,7 +11,9 @@ ledgers; an empty table gives an empty ledger; a column of the input named like
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +46,21 @@ RULES = (
     Rule(5, "short_words", lambda m: m["word_chars"] < 2 * m["n_words"]),
     Rule(6, "shouting", lambda m: 2 * m["n_upper"] > m["n_letters"]),
 )
+#: Rules for any script, which later policies put in the place of ``long_words`` and ``shouting``; SQL has the rules above.
+ANY_SCRIPT_RULES = (
+    Rule(7, "long_spaced_words", lambda m: m["word_chars"] - m["n_unspaced"] > 15 * m["n_words"]),
+    Rule(8, "shouting_any_script", lambda m: (2 * m["n_any_upper"] > m["n_any_letters"]) & (m["n_any_letters"] >= 20)),
+)
 #: Versions only ever gain entries.
 POLICIES = {
     "base": ("too_few_words", "repeated_windows"),
     "v1": ("too_few_words", "repeated_windows", "symbol_share", "duplicate_lines", "long_words", "short_words", "shouting"),
+    "v2": ("too_few_words", "repeated_windows", "symbol_share", "duplicate_lines", "long_spaced_words", "short_words", "shouting_any_script"),
 }
 
 
 def mask_of(policy: str) -> int:
-    bits = {r.name: r.bit for r in RULES}
+    bits = {r.name: r.bit for r in RULES + ANY_SCRIPT_RULES}
     return sum(1 << bits[name] for name in POLICIES[policy])
 
 
@@ -112,32 +120,66 @@ def _repeated(words: K.Words, salt: np.ndarray) -> np.ndarray:
     return np.diff(total[words.rows])
 
 
-def measure_batch(text: pa.Array) -> dict[str, np.ndarray]:
-    parts = [measure_block(b) for b in K.blocks(text)]
-    return {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in MEASURES}
+#: Code points of scripts that do not separate words by spaces, with their punctuation: Thai, Lao, Tibetan, Burmese,
+#: Khmer, Japanese and Chinese.
+_UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x30FF), (0x31F0, 0x9FFF), (0xF900, 0xFAFF), (0xFF00, 0xFFEF), (0x1AFF0, 0x1B16F), (0x20000, 0x323AF))
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """By code point: 1 for a letter, 2 for a capital, 4 for a script without spaces between words."""
+    kinds = np.zeros(0x110000, dtype=np.uint8)
+    for c in range(0x110000):
+        category = unicodedata.category(chr(c))
+        if category[0] == "L":
+            kinds[c] = 3 if category in ("Lu", "Lt") else 1
+    for first, last in _UNSPACED:
+        kinds[first : last + 1] |= 4
+    return kinds
+
+
+def _any_script_block(block: K.Block) -> dict[str, np.ndarray]:
+    data = np.ascontiguousarray(block.data)
+    points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    before = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum(K.LEAD[data], out=before[1:])
+    kinds, rows = _kinds()[points], before[block.off]
+
+    def per_row(bit: int) -> np.ndarray:
+        total = np.zeros(len(kinds) + 1, dtype=np.int64)
+        np.cumsum((kinds & bit) > 0, out=total[1:])
+        return np.diff(total[rows])
+
+    return {"n_any_letters": per_row(1), "n_any_upper": per_row(2), "n_unspaced": per_row(4)}
+
+
+def measure_batch(text: pa.Array, any_script: bool = False) -> dict[str, np.ndarray]:
+    parts = [measure_block(b) | (_any_script_block(b) if any_script else {}) for b in K.blocks(text)]
+    names = MEASURES + (("n_any_letters", "n_any_upper", "n_unspaced") if any_script else ())
+    return {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in names}
 
 
-def _ledger_batch(text: pa.Array) -> pa.Array:
-    m = measure_batch(text)
+def _ledger_batch(text: pa.Array, any_script: bool = False) -> pa.Array:
+    m = measure_batch(text, any_script)
     failed = np.zeros(len(text), dtype=np.int64)
-    for rule in RULES:
+    for rule in RULES + (ANY_SCRIPT_RULES if any_script else ()):
         failed |= np.asarray(rule.fails(m)).astype(np.int64) << rule.bit
     return pa.StructArray.from_arrays([pa.array(m[k]) for k in MEASURES] + [pa.array(failed)], names=[*MEASURES, "failed"])
 
 
-def ledger(text: Column) -> Column:
-    """A struct of all measurements and the failure bits of one text."""
+def ledger(text: Column, any_script: bool = False) -> Column:
+    """A struct of all measurements and the failure bits of one text, on request with those of the rules for any script."""
     kind = ", ".join(f"{k} bigint" for k in (*MEASURES, "failed"))
 
     @F.arrow_udf(f"struct<{kind.replace(' bigint', ':bigint')}>")
     def evaluate(t: pa.Array) -> pa.Array:
-        return _ledger_batch(t)
+        return _ledger_batch(t, any_script)
 
     return evaluate.asNondeterministic()(text.cast("string"))  # once for each row, however often it is used
 
 
-def with_ledger(docs: DataFrame, text: str = "text", name: str = "ledger") -> DataFrame:
-    return docs.withColumn(name, ledger(F.col(text)))
+def with_ledger(docs: DataFrame, text: str = "text", name: str = "ledger", any_script: bool = False) -> DataFrame:
+    return docs.withColumn(name, ledger(F.col(text), any_script))
 
 
 def passes(failed: Column, policy: str) -> Column:
@@ -146,7 +188,7 @@ def passes(failed: Column, policy: str) -> Column:
 
 def apply_policy(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
     """The rows that no rule of the policy rejects, with the columns they came with."""
-    held = with_ledger(docs, text, "__ledger")
+    held = with_ledger(docs, text, "__ledger", any_script=any(r.name in POLICIES[policy] for r in ANY_SCRIPT_RULES))
     return held.filter(passes(F.col("__ledger.failed"), policy)).drop("__ledger")
 
 
@@ -155,7 +197,7 @@ def ablation(ledgers: DataFrame, policy: str = "v1", failed: str = "ledger.faile
 
     One pass: counts are kept for each distinct bitmask (at most 2 ** rules of them), never for each row.
     """
-    mask, bits = mask_of(policy), {r.name: r.bit for r in RULES}
+    mask, bits = mask_of(policy), {r.name: r.bit for r in RULES + ANY_SCRIPT_RULES}
     by_mask = ledgers.groupBy(F.col(failed).bitwiseAND(F.lit(mask)).alias("bits")).agg(F.count("*").alias("n"))
     rules = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(1 << bits[name]).alias("bit")) for name in POLICIES[policy]])
     each = by_mask.select("bits", "n", F.explode(rules).alias("r"))

@@ -84,6 +84,22 @@ def test_policy_and_ablation(docs):
         assert (r["n_failed"], r["n_only"], r["n_kept_without"]) == (sum(b & bit > 0 for b in bits), sum(b == bit for b in bits), sum(b & ~bit == 0 for b in bits))
 
 
+def test_policy_v2_judges_any_script(spark):
+    clean = {
+        1: "Компания IBM сегодня сообщила что новые машины будут готовы к концу этого года и очень дёшевы",
+        2: "Η εταιρεία IBM ανακοίνωσε σήμερα ότι οι νέες μηχανές θα είναι έτοιμες στο τέλος του χρόνου",
+        3: " ".join(f"{k}今天天气很好我们一起去公园散步然后回家吃饭。" for k in range(12)),
+        4: " ".join(f"{k}วันนี้อากาศดีเราไปเดินเล่นที่สวนสาธารณะด้วยกัน" for k in range(12)),
+    }
+    bad = {5: clean[1].upper(), 6: "THIS TEXT IS SHOUTED FROM ITS FIRST TO ITS VERY LAST WORD", 7: " ".join("x" * 20 + str(k) for k in range(12))}
+    rows = spark.createDataFrame(list((clean | bad).items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in quality.apply_policy(rows, "v2").collect()} == set(clean)
+    assert quality.with_ledger(rows, any_script=False).filter("ledger.failed >= 128").count() == 0
+    import corpus_pipeline
+
+    assert {r["doc_id"] for r in corpus_pipeline.quality_stage(spark, rows, "").collect()} == set(clean)
+
+
 # ---- language ----
 
 
