@@ -13,7 +13,9 @@ The block is the corpus: pieces are shared within a block and, through a bounded
 same Python worker.  A global table of pieces would have to be joined back to every occurrence, which shuffles
 more than the texts themselves.
 
-Defined results: null text is empty text, which has no tokens; repeated rows get equal results.
+Defined results: null text is empty text, which has no tokens; null ids decode to null; repeated rows get equal
+results; a text of any length is encoded whole, its pieces in parts of ``BLOCK_CHARS``; an empty table gives an empty
+one.  The functions are of one column, so no other column clashes.
 """
 
 from __future__ import annotations
@@ -29,11 +31,16 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from facetry.llm.kernels import release_memory
+from facetry.llm.kernels import parts, release_memory
 
 NONE = np.int32(np.iinfo(np.int32).max)
-BLOCK_CHARS = 2_500_000
+#: Characters that are replayed together; a longer text comes in several parts.
+BLOCK_CHARS = 2_000_000
+#: Pieces that stay for later blocks, and their characters.
 CACHE_PIECES = 120_000
+CACHE_CHARS = 1_000_000
+#: Bytes of a batch that are Python strings at a time.
+PART_BYTES = 2 << 20
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -52,7 +59,7 @@ class Vocabulary:
             self.token[r] = t
         self.number = [b"%d" % k for k in range(size)]
         self.ids = list(range(size))  # one int object for each id
-        self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         a, b, c = [], [], []
         for t, r in ranks.items():
             for cut in range(1, len(t)):
@@ -65,6 +72,7 @@ class Vocabulary:
         by = np.argsort(keys)
         self.size, self.keys, self.values = size, keys[by], np.array(c, np.int32)[by]
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.cached = 0
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Vocabulary:
@@ -72,7 +80,7 @@ class Vocabulary:
             return cls({base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}, pattern)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * self.size + right
+        key = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.values[at], NONE)
 
@@ -82,8 +90,8 @@ class Vocabulary:
         begin = np.append(0, np.cumsum(lengths))
         n = int(begin[-1])
         tok = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
-        piece = np.repeat(np.arange(len(pieces)), lengths)
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         nxt[begin[1:] - 1] = -1
         prv[begin[:-1]] = -1
         rank = np.full(n, NONE, np.int32)
@@ -126,7 +134,7 @@ class Vocabulary:
                     p = p[(k - np.maximum.accumulate(np.where(joined, 0, k))) % 2 == 0]
             q = nxt[p]
             after, before = nxt[q], prv[p]
-            merged = np.full(len(p), r, np.int64)
+            merged = np.full(len(p), r, np.int32)
             chained = np.append(False, before[1:] == q[:-1])
             low = np.zeros(len(p), bool)
             has = after >= 0
@@ -177,29 +185,62 @@ class Vocabulary:
                 self.cache[p] = tuple([ids[t] for t in tokens[at[k] : at[k + 1]]])
         return new
 
-    def encode_batch(self, texts: list[str]):
+    def _split(self, text: str):
+        """A text's pieces in lists of at most about BLOCK_CHARS characters, and whether the text ends there."""
+        if len(text) <= BLOCK_CHARS:
+            yield self.pattern.findall(text), True
+            return
+        pieces, chars = [], 0
+        for m in self.pattern.finditer(text):
+            pieces.append(m[0])
+            chars += len(m[0])
+            if chars >= BLOCK_CHARS:
+                yield pieces, False
+                pieces, chars = [], 0
+        yield pieces, True
+
+    def encode_batch(self, texts):
         """The ids of each text, in order."""
-        a = 0
-        while a < len(texts):
-            b, chars, split = a, 0, []
-            while b < len(texts) and (b == a or chars + len(texts[b]) <= BLOCK_CHARS):
-                chars += len(texts[b])
-                split.append(self.pattern.findall(texts[b]))
-                b += 1
-            new = self.encode_pieces(set().union(*split))
+        block, chars, ids = [], 0, []
+
+        def flush():
+            nonlocal ids
+            new = self.encode_pieces(set().union(*[pieces for pieces, _ in block]))
             of = self.cache.__getitem__
-            for pieces in split:
-                yield list(chain.from_iterable(map(of, pieces)))
-            if len(self.cache) > CACHE_PIECES:  # pieces that came early, mostly frequent ones, stay
+            for pieces, ends in block:
+                ids += chain.from_iterable(map(of, pieces))
+                if ends:
+                    yield ids
+                    ids = []
+            block.clear()
+            self.cached += sum(map(len, new))
+            if len(self.cache) > CACHE_PIECES or self.cached > CACHE_CHARS:  # pieces that came early, mostly frequent ones, stay
                 for p in new:
                     del self.cache[p]
-            a = b
+                self.cached -= sum(map(len, new))
+
+        for text in texts:
+            for pieces, ends in self._split(text):
+                block.append((pieces, ends))
+                chars += min(len(text), BLOCK_CHARS)
+                if chars >= BLOCK_CHARS:
+                    yield from flush()
+                    chars = 0
+        if block:
+            yield from flush()
         release_memory()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
+def _strings(t: pa.Array):
+    """Texts of a batch, null as empty; few of them are Python strings at a time."""
+    for part in parts(t, PART_BYTES):
+        for x in part.to_pylist():
+            yield x or ""
+
+
 _LOADED: dict[tuple[str, str], Vocabulary] = {}
 
 
@@ -215,8 +256,11 @@ def encode(text: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def run(t: pa.Array) -> pa.Array:
-        ids = vocabulary(path, pattern).encode_batch([x or "" for x in t.to_pylist()])
-        return pa.array(ids, pa.list_(pa.int32()))
+        ids, ends = [np.zeros(0, np.int32)], [0]
+        for x in vocabulary(path, pattern).encode_batch(_strings(t)):
+            ids.append(np.array(x, np.int32))
+            ends.append(ends[-1] + len(x))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
 
     return run.asNondeterministic()(text.cast("string"))
 
@@ -227,7 +271,7 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def run(t: pa.Array) -> pa.Array:
         v = vocabulary(path, pattern)
-        return pa.array([None if x is None else v.decode(x) for x in t.to_pylist()], pa.binary())
+        return pa.array([None if not x.is_valid else v.decode(x.values.to_pylist()) for x in t], pa.binary())
 
     return run.asNondeterministic()(ids)
 
@@ -242,7 +286,7 @@ def round_trip(text: Column, path: str, pattern: str) -> Column:
     def run(t: pa.Array) -> pa.Array:
         v = vocabulary(path, pattern)
         n, first, second = [], [], []
-        for ids in v.encode_batch([x or "" for x in t.to_pylist()]):
+        for ids in v.encode_batch(_strings(t)):
             n.append(len(ids))
             first.append(hashlib.sha256(b",".join(map(v.number.__getitem__, ids))).hexdigest())
             second.append(hashlib.sha256(v.decode(ids)).hexdigest())

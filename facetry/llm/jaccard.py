@@ -113,17 +113,18 @@ def _postings(buckets: int):
     place in the pack's own table.  Two shingles that agree in those bits only make a candidate more."""
 
     def run(batches):
+        parts, seen, held = [], set(), 0
         for batch in batches:
-            parts, seen = [], set()
             for block in K.blocks(batch.column(0)):
                 for _, s in K.shingle_sets(block, SIZE):
                     if len(s) and (mark := signature(s)[0]) not in seen:
                         seen.add(mark)
                         parts.append((s, mark))
-                if sum(len(s) for s, _ in parts) >= PACK_SHINGLES:
+                        held += len(s)
+                if held >= PACK_SHINGLES:
                     yield from packs(parts)
-                    parts = []
-            yield from packs(parts)
+                    parts, seen, held = [], set(), 0
+        yield from packs(parts)
 
     def packs(parts):
         return (pack(parts[a : a + 60_000]) for a in range(0, len(parts), 60_000))

@@ -47,17 +47,49 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BYTE_FOLDED = _BYTE[FOLD]
-_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+#: Bytes that are hashed at a time, so that the tables of powers stay small however long a text is.
+WINDOW = 1 << 17
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for k, base in enumerate((_MULT, _INV)):
-            step = np.full(size, base, dtype=np.uint64)
-            step[0] = 1
-            _POWERS[k] = np.cumprod(step, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _powers(base: int) -> np.ndarray:
+    step = np.full(WINDOW + 1, base, dtype=np.uint64)
+    step[0] = 1
+    return np.cumprod(step, dtype=np.uint64)
+
+
+_POWER, _INVERSE = _powers(_MULT), _powers(_INV)
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+    """A 64-bit hash of each of the byte ranges, which are sorted and do not overlap.
+
+    The hash is a polynomial of the bytes; the data is walked in windows, and a range over several of them adds up.
+    """
+    value, total = _BYTE_FOLDED if fold else _BYTE, np.zeros(len(starts), dtype=np.uint64)
+    for at in range(0, len(data), WINDOW):
+        first, past = int(np.searchsorted(ends, at, side="right")), int(np.searchsorted(starts, at + WINDOW))
+        if first == past:
+            continue
+        here = value[data[at : at + WINDOW]]
+        sums = np.zeros(len(here) + 1, dtype=np.uint64)
+        np.cumsum(here * _POWER[: len(here)], out=sums[1:])
+        begin, end = starts[first:past] - at, np.minimum(ends[first:past] - at, len(here))
+        inside = np.maximum(begin, 0)
+        part = (sums[end] - sums[inside]) * _INVERSE[inside]
+        if begin[0] < 0:  # only the first range can have begun in an earlier window
+            part[:1] *= np.uint64(pow(_MULT, -int(begin[0]), 1 << 64))
+        total[first:past] += part
+    return mix(total + (ends - starts).astype(np.uint64))
+
+
+def parts(col: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[pa.Array]:
+    """Whole rows of a string or binary column in slices of about ``limit`` bytes; a longer row is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(col):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, side="right")))
+        yield col.slice(a, b - a)
+        a = b
 
 
 @dataclass
@@ -95,19 +127,15 @@ def blocks(col: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
 
 def _bounds(block: Block, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of runs of True, which never cross rows."""
-    n = len(member)
-    before = np.zeros(n + 1, dtype=bool)
-    before[1:] = member
-    inner = block.off[block.off < n]
-    after = np.zeros(n + 1, dtype=bool)
-    after[:-1] = member
-    cut = before.copy()
-    cut[inner] = False
-    starts = np.flatnonzero(member & ~cut[:-1])
-    after = after[1:]
-    after[inner[inner > 0] - 1] = False
-    ends = np.flatnonzero(member & ~after) + 1
-    return starts, ends
+    if not len(member):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    change = member[1:] != member[:-1]
+    inner = block.off[(block.off > 0) & (block.off < len(member))]
+    change[inner - 1] = True
+    at = np.flatnonzero(change) + 1
+    starts = np.append(0, at)
+    keep = member[starts]
+    return starts[keep], np.append(at, len(member))[keep]
 
 
 class Words:
@@ -115,17 +143,10 @@ class Words:
 
     def __init__(self, block: Block, fold: bool = False, member: np.ndarray | None = None):
         self.block = block
-        data = block.data
-        self.starts, self.ends = _bounds(block, (NOT_SPACE if member is None else member)[data])
+        self.starts, self.ends = _bounds(block, (NOT_SPACE if member is None else member)[block.data])
         self.rows = np.searchsorted(self.starts, block.off)
         self.counts = np.diff(self.rows)
-        power, self._inverse = _powers(len(data) + 1)
-        self._sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((_BYTE_FOLDED if fold else _BYTE)[data] * power[:-1], out=self._sums[1:])
-        self.hashes = self.hash_of(self.starts, self.ends)
-
-    def hash_of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self._sums[ends] - self._sums[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64))
+        self.hashes = range_hashes(block.data, self.starts, self.ends, fold)
 
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.block.n), self.counts)
@@ -158,9 +179,11 @@ def _odd(k: int) -> int:
 
 def per_row(block: Block, member: np.ndarray) -> np.ndarray:
     """How many bytes of each row are members."""
-    total = np.zeros(len(member) + 1, dtype=np.int64)
-    np.cumsum(member, out=total[1:])
-    return np.diff(total[block.off])
+    out = np.zeros(block.n, dtype=np.int64)
+    some = np.flatnonzero(np.diff(block.off))
+    if len(some):
+        out[some] = np.add.reduceat(member, block.off[some], dtype=np.int64)
+    return out
 
 
 def shingle_sets(block: Block, size: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -6,7 +6,8 @@ report (what each rule rejects alone, and what no other rule of the policy would
 the ledger, without a second look at any text.
 
 Defined results: null text counts as empty (no words, so ``too_few_words`` fails); repeated rows get equal
-ledgers; an empty table gives an empty ledger; a column of the input named like the ledger column is replaced.
+ledgers; an empty table gives an empty ledger; a text of any length is measured whole, at about ten times its bytes of
+memory; ``with_ledger`` replaces a column of the input named like the ledger column, ``apply_policy`` keeps all.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetry.llm import kernels as K
+from facetry.llm.spark_utils import whole_row
 
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters",
@@ -89,7 +91,7 @@ def measure_block(block: K.Block) -> dict[str, np.ndarray]:
     ends = np.minimum(block.off[row + 1], np.append(breaks, len(data))[np.searchsorted(breaks, begins)])
     with_word = np.searchsorted(words.starts, ends) > np.searchsorted(words.starts, begins)
     row = row[with_word]
-    keys = words.hash_of(begins[with_word], ends[with_word]) ^ salt[row]
+    keys = K.range_hashes(data, begins[with_word], ends[with_word]) ^ salt[row]
     out["n_lines"] = np.bincount(row, minlength=n).astype(np.int64)
     _, at = np.unique(keys, return_index=True)
     out["n_dup_lines"] = out["n_lines"] - np.bincount(row[at], minlength=n)
@@ -188,8 +190,9 @@ def passes(failed: Column, policy: str) -> Column:
 
 def apply_policy(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
     """The rows that no rule of the policy rejects, with the columns they came with."""
-    held = with_ledger(docs, text, "__ledger", any_script=any(r.name in POLICIES[policy] for r in ANY_SCRIPT_RULES))
-    return held.filter(passes(F.col("__ledger.failed"), policy)).drop("__ledger")
+    any_script = any(r.name in POLICIES[policy] for r in ANY_SCRIPT_RULES)
+    held = docs.select(whole_row(docs), ledger(F.col(text), any_script).alias("ledger"))
+    return held.filter(passes(F.col("ledger.failed"), policy)).select("row.*")
 
 
 def ablation(ledgers: DataFrame, policy: str = "v1", failed: str = "ledger.failed") -> DataFrame:

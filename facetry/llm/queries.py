@@ -7,17 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.llm import bpe, html_extract, jaccard, langid, mixing, quality, telephony, toxicity, urlfilter, warc
-from facetry.llm.spark_utils import written
-
-TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+from facetry.llm import pipeline as corpus
+from facetry.llm.pipeline import TOKENIZER, held_out
+from facetry.llm.spark_utils import small_batches, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def held_out():
-    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,16 +70,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {
     "op1_language_id": op1_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_mixing": op3_mixing, "op4_html_extraction": op4_html_extraction,
     "op5_telephony_audio": op5_telephony_audio, "op6_warc_bundles": op6_warc_bundles, "op7_ngram_jaccard": op7_ngram_jaccard,
-    "op8_url_filters": op8_url_filters, "op9_quality_rules": op9_quality_rules, "op10_toxicity": op10_toxicity, "pipeline": pipeline,
+    "op8_url_filters": op8_url_filters, "op9_quality_rules": op9_quality_rules, "op10_toxicity": op10_toxicity, "pipeline": corpus.run,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

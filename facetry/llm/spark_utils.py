@@ -1,11 +1,12 @@
-"""Checkpoints in the shared folder, and joins that survive hot keys."""
+"""Checkpoints in the shared folder, joins that survive hot keys, and Arrow batches bounded by bytes."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it has at most so many (narrow) rows; beyond that the join shuffles.
@@ -15,14 +16,44 @@ HOT_SHARE = 1 / 1000
 HOT_SALTS = 64
 
 
+#: Bytes of an Arrow batch: Spark bounds batches by 10,000 rows or 64 MB, of which a worker and its executor hold several copies.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of this context: the one that the cluster names, or a local one where none is set."""
+    """The checkpoint folder of this context: the one that the cluster names.  Only a local master gets one of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The table itself; from now on the session hands Arrow batches of at most ``BATCH_BYTES`` to Python workers."""
+    conf = df.sparkSession.conf
+    held = re.fullmatch(r"(\d+)b?", conf.get(_BATCH_SETTING))
+    if held and not 0 < int(held[1]) <= BATCH_BYTES:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` has not, whatever its letters' case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct ``row``, so that added columns clash with none; ``select("row.*")`` gives them back."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias("row")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes a narrow table once and cuts its lineage: a lost executor costs a read, not a recomputation."""
     shared_dir(df.sparkSession)

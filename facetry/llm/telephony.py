@@ -6,7 +6,9 @@ blocks: step ``k`` handles sample ``k`` of every block of the batch at once.  De
 16-bit PCM.
 
 Defined results: a null payload is an empty one (padded to one unit of 64 zero bytes where text is stored); bytes that
-are not one of these containers give null; equal bytes give equal results.
+are not one of these containers give null; equal bytes give equal results; a payload of any length is one file, up to
+the 4 GB that the container can say; an empty table gives an empty one.  The functions are of one column, so no other
+column clashes.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from facetry.llm import kernels as K
+
 RATE, OUT_RATE = 8000, 16000
 UNIT = 64
 #: WAVE format tags.
@@ -164,15 +168,8 @@ def _feature(tag: int, samples: np.ndarray) -> str:
     return f"{NAMES[tag]};n={len(x)};power={power};crossings={crossings};peak={peak}"
 
 
-def _pieces(values: list, size, limit: int = 4 << 20):
-    a = 0
-    while a < len(values):
-        b, total = a, 0
-        while b < len(values) and (b == a or total + size(values[b]) <= limit):
-            total += size(values[b])
-            b += 1
-        yield a, b
-        a = b
+#: Bytes of media that are decoded together; decoded and resampled samples take up to eight times as much.
+PART_BYTES = 1 << 20
 
 
 def stored(text: Column) -> Column:
@@ -181,49 +178,59 @@ def stored(text: Column) -> Column:
     @F.arrow_udf("struct<n_bytes:bigint,media:binary>")
     def run(t: pa.Array) -> pa.Array:
         n, media = [], []
-        for x in t.to_pylist():
-            length, payload = payload_of(x)
-            n.append(length)
-            media.append(store(payload))
+        for part in K.parts(t, PART_BYTES):
+            for x in part.to_pylist():
+                length, payload = payload_of(x)
+                n.append(length)
+                media.append(store(payload))
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(media, pa.binary())], names=["n_bytes", "media"])
 
     return run.asNondeterministic()(text.cast("string"))
 
 
+def _decoded(t: pa.Array):
+    """Each file's bytes, its parsed form, and its samples."""
+    for part in K.parts(t, PART_BYTES):
+        raw = part.to_pylist()
+        files = [parse_wave(x) if x else None for x in raw]
+        yield from zip(raw, files, decode_all(files), strict=True)
+    K.release_memory()
+
+
 def pcm(media: Column) -> Column:
     """The stored media decoded, resampled, and stored as a PCM WAVE file."""
 
     @F.arrow_udf("binary")
     def run(t: pa.Array) -> pa.Array:
-        raw, out = t.to_pylist(), []
-        for a, b in _pieces(raw, lambda x: len(x or b"")):
-            files = [parse_wave(x) if x else None for x in raw[a:b]]
-            out += [None if s is None else to_pcm(s, f[1]) for f, s in zip(files, decode_all(files), strict=True)]
-        return pa.array(out, pa.binary())
+        return pa.array([None if s is None else to_pcm(s, f[1]) for _, f, s in _decoded(t)], pa.binary())
 
     return run.asNondeterministic()(media)
 
 
 _FIELDS = (
     ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()),
-    ("media_sha256", pa.string()), ("feature", pa.string()), ("pcm_bytes", pa.int64()), ("pcm_sha256", pa.string()),
+    ("media_sha256", pa.string()), ("feature", pa.string()), ("pcm_bytes", pa.int64()), ("pcm_sha256", pa.string()), ("pcm", pa.binary()),
 )
+_SQL_KIND = {pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary"}
 
 
-def digest(media: Column) -> Column:
-    """What the stored bytes hold, read back: payload, its digests, features of the audio and of its PCM form."""
+def digest(media: Column, with_pcm: bool = False) -> Column:
+    """What the stored bytes hold, read back: payload, its digests, features of the audio, and its resampled PCM form.
+
+    ``with_pcm`` stores that form too, as a WAVE file; else its length and digest are all that is kept of it.
+    """
+    fields = _FIELDS if with_pcm else _FIELDS[:-1]
 
-    @F.arrow_udf("struct<" + ",".join(f"{k}:{'bigint' if t == pa.int64() else 'string'}" for k, t in _FIELDS) + ">")
+    @F.arrow_udf("struct<" + ",".join(f"{k}:{_SQL_KIND[t]}" for k, t in fields) + ">")
     def run(t: pa.Array) -> pa.Array:
-        raw, rows = t.to_pylist(), []
-        for a, b in _pieces(raw, lambda x: len(x or b"")):
-            files = [parse_wave(x) if x else None for x in raw[a:b]]
-            for x, f, s in zip(raw[a:b], files, decode_all(files), strict=True):
-                if f is None or s is None or f[0] not in NAMES:
-                    rows.append((None,) * len(_FIELDS))
-                    continue
-                data, wav = f[3], to_pcm(s, f[1])
-                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(x), hashlib.sha256(x).hexdigest(), _feature(f[0], s), len(wav), hashlib.sha256(wav).hexdigest()))
-        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(_FIELDS)], names=[k for k, _ in _FIELDS])
+        rows = []
+        for x, f, s in _decoded(t):
+            if f is None or s is None or f[0] not in NAMES:
+                rows.append((None,) * len(fields))
+                continue
+            data, wav = f[3], to_pcm(s, f[1])
+            found = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(x), hashlib.sha256(x).hexdigest(), _feature(f[0], s), len(wav), hashlib.sha256(wav).hexdigest(), wav)
+            rows.append(found[: len(fields)])
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(fields)], names=[k for k, _ in fields])
 
     return run.asNondeterministic()(media)

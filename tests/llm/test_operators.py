@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from facetry.llm import bpe, html_extract, jaccard, langid, mixing, quality, telephony, toxicity, urlfilter, warc
+from facetry.llm import bpe, html_extract, jaccard, langid, mixing, pipeline, quality, telephony, toxicity, urlfilter, warc
 from facetry.llm import kernels as K
 from facetry.llm.connected import components, local_components
 
@@ -95,9 +95,7 @@ def test_policy_v2_judges_any_script(spark):
     rows = spark.createDataFrame(list((clean | bad).items()), "doc_id long, text string")
     assert {r["doc_id"] for r in quality.apply_policy(rows, "v2").collect()} == set(clean)
     assert quality.with_ledger(rows, any_script=False).filter("ledger.failed >= 128").count() == 0
-    import corpus_pipeline
-
-    assert {r["doc_id"] for r in corpus_pipeline.quality_stage(spark, rows, "").collect()} == set(clean)
+    assert {r["doc_id"] for r in pipeline.quality_stage(spark, rows, "").collect()} == set(clean)
 
 
 # ---- language ----

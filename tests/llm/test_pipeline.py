@@ -4,9 +4,8 @@ import collections
 import importlib.util
 import os
 
-import pytest
+from facetry.llm import pipeline
 
-pipeline = pytest.importorskip("corpus_pipeline")
 DATA = "/root/testdata/sf0.001"
 _spec = importlib.util.spec_from_file_location("plain", os.path.join(os.path.dirname(__file__), "test_operators.py"))
 plain = importlib.util.module_from_spec(_spec)
