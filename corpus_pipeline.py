@@ -1,64 +1,9 @@
-"""From raw documents to token ids: quality rules, language, near copies, source weights, byte-level BPE.
+"""The corpus pipeline: its stages are in ``facetry.llm.pipeline``, and this module belongs to that subpackage.
 
-Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the stage before kept.  ``run`` writes each
-stage's rows as Parquet into the shared folder and reads them again, so a lost executor never costs more than one
-stage.  All stages but the last return the columns of their input.
+``STAGES`` lists (name, function); each function takes ``(spark, docs, sf_dir)`` and returns the next one's rows.
+``run(spark, sf_dir)`` applies them to ``documents``.
 """
 
-from __future__ import annotations
+from facetry.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from facetry.llm import bpe, jaccard, langid, mixing, quality
-from facetry.llm.queries import TOKENIZER, held_out
-from facetry.llm.spark_utils import written
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that a rule of policy ``v2`` rejects go."""
-    return quality.apply_policy(docs, "v2")
-
-
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of no learned language go: no letters, or too few n-grams that the best language knows."""
-    filters = langid.fit(docs.filter(~held_out()).select("doc_id", "text", "lang"))
-    held = docs.withColumn("__p", langid.identify(filters, F.col("text")))
-    known = (F.col("__p.lang_pred") != langid.UNKNOWN) & (F.col("__p.known") >= langid.KNOWN_SHARE)
-    return held.filter(known).drop("__p")
-
-
-def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest id stays."""
-    return jaccard.one_of_each(docs)
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are repeated or left out so that sources reach their target weights."""
-    return mixing.mix(docs)
-
-
-def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every row."""
-    path = str(public_tokenizers.path(TOKENIZER))
-    coded = docs.select("doc_id", bpe.round_trip(F.col("text"), path, public_tokenizers.PATTERN).alias("c"))
-    return coded.select("doc_id", "c.n_tokens", "c.ids_sha256", "c.decoded_sha256")
-
-
-STAGES = [
-    ("quality rules", quality_stage), ("language", language_stage), ("near copies", near_copy_stage), ("mixing", mixing_stage),
-    ("byte-level BPE", token_stage),
-]
-
-#: SQL has no tokenizer, no learned language filter and no seeded mix: tests hold the stages against plain versions.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
