@@ -6,12 +6,17 @@ languages that contain the n-gram, in one look for all of them.  A text's score
 its n-grams with that bit, corrected for the false positives which that filter's fill makes certain:
 ``(hits - n * p) / (1 - p)`` with ``p = fill ** hashes``.  The largest corrected count decides.
 
-An n-gram enters the filter of every language in which it is at least ``SHARE`` times as frequent as in the
-language that uses it most.  The fit reads at most about ``max_docs`` labelled texts of each language, picked by
-a hash of the id; it gathers n-gram counts only, at most ``CAPACITY`` for each language.
+An n-gram enters the filter of every language in which its rate is at least ``SHARE`` times that in the language that
+uses it most, if it is among the ``capacity`` most frequent ones of some language.  So a language with few texts
+keeps n-grams of its own beside one with many.  The fit reads at most about ``max_docs`` labelled texts of each
+language, picked by a hash of the id, and gathers n-gram counts only.
 
-Defined results: null text or text without a letter gives ``und`` with score 0; without any labelled text every
-text gives ``und``; repeated rows get equal results.  At most 64 languages.
+Masks are 64 languages wide; more languages take more mask words for each position.
+
+Defined results: null text or text without a letter gives ``und`` with score 0; without any labelled text every text
+gives ``und``, and an empty table gives an empty one; of languages with equal counts the first by name wins; a text of
+any length is judged whole; repeated rows get equal results; more than ``MAX_LANGUAGES`` labels are an error.  Only
+the columns named are looked at.
 """
 
 from __future__ import annotations
@@ -21,10 +26,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.llm import kernels as K
+from facetry.llm.spark_utils import cut
 
 GRAM = 4
 SHARE = 0.3
@@ -32,6 +38,7 @@ CAPACITY = 60_000
 HASHES = 3
 BITS = 1 << 20
 UNKNOWN = "und"
+MAX_LANGUAGES = 1024
 #: A text is in a learned language if the language knows at least this share of its n-grams.  Measured on sf0.1: texts of
 #: the four languages have 0.53 to 1, sentences of eight other languages in Latin letters at most 0.23.
 KNOWN_SHARE = 0.28
@@ -90,25 +97,32 @@ class LanguageFilters:
 
     @classmethod
     def build(cls, languages: list[str], grams: np.ndarray, masks: np.ndarray, bits: int = BITS) -> LanguageFilters:
-        kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if max(1, len(languages)) <= n)
-        table = np.zeros(bits, dtype=kind)
+        """``masks`` has one word of 64 languages for each n-gram, or several in columns."""
+        masks = masks.reshape(len(grams), masks.shape[1] if masks.ndim > 1 else 1).astype(np.uint64)
+        kind = next((t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(languages) <= n), np.uint64)
+        table = np.zeros((max(1, masks.shape[1]), bits), dtype=kind)
         for at in _positions(grams, bits):
-            np.bitwise_or.at(table, at, masks.astype(kind))
-        fill = np.array([((table >> kind(k)) & kind(1)).mean() for k in range(len(languages))])
+            for word in range(masks.shape[1]):
+                np.bitwise_or.at(table[word], at, masks[:, word].astype(kind))
+        fill = np.array([((table[k // 64] >> kind(k % 64)) & kind(1)).mean() for k in range(len(languages))])
         return cls(languages, table, fill**HASHES)
 
+    def lookup(self, grams: np.ndarray) -> np.ndarray:
+        """Which languages contain each n-gram: rows of mask words."""
+        at = _positions(grams, self.table.shape[1])
+        return np.stack([np.bitwise_and.reduce([word[p] for p in at]) for word in self.table])
+
     def counts(self, block: K.Block) -> tuple[np.ndarray, np.ndarray]:
         """Corrected n-gram counts by row and language, and n-grams by row, for padded texts."""
         g = _grams(block)
-        hit = self.table[:1].copy()
-        for k, at in enumerate(_positions(g, len(self.table))):
-            hit = self.table[at] if not k else hit & self.table[at]
+        hit = self.lookup(g)
         begin, end = _bounds(block, len(g))
         n = (end - begin).astype(np.float64)
         out = np.zeros((block.n, len(self.languages)))
-        total = np.zeros(len(hit) + 1, dtype=np.int32)
+        total = np.zeros(len(g) + 1, dtype=np.int32)
         for k, p in enumerate(self.false_positive):
-            np.cumsum((hit >> hit.dtype.type(k)) & hit.dtype.type(1), out=total[1:], dtype=np.int32)
+            word = hit[k // 64]
+            np.cumsum((word >> word.dtype.type(k % 64)) & word.dtype.type(1), out=total[1:], dtype=np.int32)
             out[:, k] = np.maximum(0, ((total[end] - total[begin]) - n * p) / max(1e-9, 1 - p))
         return out, n
 
@@ -135,42 +149,48 @@ class LanguageFilters:
         return names, scores, known_share
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 4000) -> LanguageFilters:
+def _count(batches):
+    """Rows (text, language) to counts of n-grams by language, block by block."""
+    for batch in batches:
+        which = batch.column(1).to_numpy(zero_copy_only=False)
+        for k in np.unique(which):
+            for block in K.blocks(_padded(batch.column(0).filter(pa.array(which == k)))):
+                g = _grams(block)
+                inside = np.ones(len(g), dtype=bool)
+                for back in range(1, GRAM):
+                    across = block.off[1:-1] - back
+                    inside[across[(across >= 0) & (across < len(g))]] = False
+                value, n = np.unique(g[inside], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(np.full(len(value), k, np.int32)), pa.array(n.astype(np.int64))], names=["g", "l", "n"])
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 4000, capacity: int = CAPACITY) -> LanguageFilters:
     """Filters from the labelled rows given: at most about ``max_docs`` whole texts of each language."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang).alias("l")).count().orderBy("l").limit(65).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang).alias("l")).count().orderBy("l").limit(MAX_LANGUAGES + 1).collect()}
     languages = sorted(sizes)
-    if len(languages) > 64:
-        raise ValueError("at most 64 languages")
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not languages:
-        return LanguageFilters.build([], np.zeros(0, np.uint32), np.zeros(0, np.uint64))
+        return LanguageFilters.build([], np.zeros(0, np.uint32), np.zeros((0, 1), np.uint64))
     share = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, max_docs / sizes[name]))])
     number = F.create_map(*[F.lit(x) for k, name in enumerate(languages) for x in (name, k)])
     pick = F.pmod(F.xxhash64(F.lit("langid"), F.col(key)), F.lit(1 << 30)) < share[F.col(lang)] * (1 << 30)
     sample = rows.filter(pick).select(F.col(text).cast("string").alias("t"), number[F.col(lang)].alias("l"))
 
-    def count(batches):
-        for batch in batches:
-            which = batch.column(1).to_numpy(zero_copy_only=False)
-            for k in np.unique(which):
-                for block in K.blocks(_padded(batch.column(0).filter(pa.array(which == k)))):
-                    g = _grams(block)
-                    inside = np.ones(len(g), dtype=bool)
-                    for back in range(1, GRAM):
-                        cut = block.off[1:-1] - back
-                        inside[cut[(cut >= 0) & (cut < len(g))]] = False
-                    value, n = np.unique(g[inside], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(np.full(len(value), k, np.int32)), pa.array(n.astype(np.int64))], names=["g", "l", "n"])
-
-    found = sample.mapInArrow(count, "g long, l int, n long").groupBy("g").pivot("l", list(range(len(languages)))).agg(F.sum("n"))
-    each = [F.coalesce(F.col(str(k)), F.lit(0)).alias(f"n{k}") for k in range(len(languages))]
-    most = F.greatest(*each) if len(each) > 1 else each[0]
-    table = found.select("g", *each).filter(most >= 2).orderBy(most.desc(), "g").limit(CAPACITY * len(languages)).toArrow()
-    n = np.stack([table.column(k + 1).to_numpy().astype(np.float64) for k in range(len(languages))])
-    rate = n / np.maximum(1, n.sum(axis=1, keepdims=True))
-    member = (rate > 0) & (rate >= SHARE * rate.max(axis=0, keepdims=True))
-    masks = (member.astype(np.uint64) << np.arange(len(languages), dtype=np.uint64)[:, None]).sum(axis=0, dtype=np.uint64)
-    return LanguageFilters.build(languages, table.column(0).to_numpy().astype(np.uint32), masks)
+    # Counts of a bounded sample: at most 256 ** GRAM n-grams of each language, whatever the corpus.
+    found = cut(sample.mapInArrow(_count, "g long, l int, n long").groupBy("g", "l").agg(F.sum("n").alias("n")))
+    total = found.groupBy("l").agg(F.sum("n").alias("total"))
+    frequent = Window.partitionBy("l").orderBy(F.col("n").desc(), "g")
+    wanted = found.withColumn("place", F.row_number().over(frequent)).filter(F.col("place") <= capacity).select("g").distinct()
+    rates = found.join(wanted, "g", "left_semi").join(F.broadcast(total), "l").withColumn("rate", F.col("n") / F.col("total"))
+    member = rates.withColumn("most", F.max("rate").over(Window.partitionBy("g"))).filter(F.col("rate") >= SHARE * F.col("most"))
+    words = -(-len(languages) // 64)
+    bit = F.expr("shiftleft(1L, l % 64)")
+    masks = [F.coalesce(F.bit_or(F.when(F.floor(F.col("l") / 64) == w, bit)), F.lit(0).cast("long")).alias(f"m{w}") for w in range(words)]
+    table = member.groupBy("g").agg(*masks).toArrow()  # at most ``capacity`` rows for each language
+    grams = table.column(0).to_numpy().astype(np.uint32)
+    return LanguageFilters.build(languages, grams, np.stack([table.column(w + 1).to_numpy().view(np.uint64) for w in range(words)], axis=1))
 
 
 def identify(filters: LanguageFilters, text: Column) -> Column:
