@@ -11,8 +11,9 @@ alone are summed by the next digit.  So no source, however large, is ever sorted
 only how many rows are left.  In the last group, which is bounded, documents are taken in order while they fit,
 and one more if that comes nearer to the target.
 
-Defined results: null text has size 0; a null source is a source of its own, ordered last; a source of size 0 has
-target 0; rows that are equal in id and text are taken together; an empty table gives an empty one.
+Defined results: null text has size 0, and a text of size 0 is never taken, as it adds nothing; a null source is a
+source of its own, ordered last; a source of size 0 has target 0; rows that are equal in id and text are taken
+together; an empty table gives an empty one; texts of any length count whole; columns of the table may have any names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetry.llm.spark_utils import BROADCAST_ROWS, HOT_SALTS, cut
+from facetry.llm.spark_utils import BROADCAST_ROWS, HOT_SALTS, cut, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 DIGITS = 6
@@ -134,9 +135,9 @@ def plan(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
 
 
 def copies() -> Column:
-    """Repetitions of a row with ``__u`` and its source's plan."""
+    """Repetitions of a row with ``__u``, ``size`` and its source's plan."""
     more = (F.col("__u") < F.col("cut")) | F.array_contains("extra", F.col("__u"))
-    return (F.col("whole") + more.cast("long")).cast("long")
+    return F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(0).cast("long")
 
 
 def _sized(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
@@ -162,6 +163,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """The mixed rows themselves, each as often as it is taken, with the columns they came with."""
     rows = cut(_sized(docs, key, text, source, seed))
     decided, n = _plan(rows, weights, share, max_epochs)
-    marked = docs.withColumn("__k", _key(F.col(source))).withColumn("__u", _order(seed, F.col(key), F.col(text).cast("string")))
+    t = F.col(text).cast("string")
+    marked = docs.select(whole_row(docs), _key(F.col(source)).alias("__k"), _order(seed, F.col(key), t).alias("__u"), word_count(t).alias("size"))
     taken = with_source_rows(marked, decided.drop("source_size", "target"), n).withColumn("__c", copies().cast("int")).filter("__c > 0")
-    return taken.withColumn("__r", F.explode(F.sequence(F.lit(1), F.col("__c")))).select(*docs.columns)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("__c"))).alias("__r")).select("row.*")
