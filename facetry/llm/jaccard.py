@@ -20,8 +20,10 @@ Two texts link when the Jaccard similarity of their sets of 5-word shingles is a
    components of the results join them.  No case is dropped.
 
 Defined results: a text with fewer than five words has one shingle, its whole sequence; without words it has none
-and links with nothing (its component is its own id).  Rows that share an id are one node.  Rows without an id
-take the smallest id of their component, or null.  Extra columns are ignored.
+and links with nothing (its component is its own id).  Rows that share an id are one node.  Rows without an id are
+nodes by their text, above all ids (which are below 2 ** 62): they take the smallest id of their component, or null
+where no row of it has one.  An empty table gives an empty one; texts of any length are taken whole.  Other columns
+are not looked at, and ``one_of_each`` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -31,14 +33,16 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetry.llm import kernels as K
 from facetry.llm.connected import components, forest
-from facetry.llm.spark_utils import cut, sized_broadcast, skew_safe_left_join, written
+from facetry.llm.spark_utils import cut, sized_broadcast, skew_safe_left_join, whole_row, written
 
 SIZE = 5
+#: Nodes of rows without an id begin here.
+NO_ID = 1 << 62
 #: Similarity of at least PART / WHOLE.
 PART, WHOLE = 75, 100
 BLOCK_SHINGLES = 1_500_000
@@ -398,9 +402,21 @@ def _search_blocks(batches):
     yield from flush()
 
 
+def _node(key: str, text: str) -> Column:
+    """A row's node: its id, or a number of its text."""
+    of_text = F.shiftrightunsigned(F.xxhash64(F.col(text).cast("string")), 2) + F.lit(NO_ID)
+    return F.coalesce(F.col(key).cast("long"), of_text)
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row; ids are integers."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
+    known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return _components(docs, key, text, block_shingles).select(known("id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
+
+
+def _components(docs: DataFrame, key: str, text: str, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """``id, n, component`` for each row, in nodes."""
+    rows = docs.select(_node(key, text).alias("id"), F.col(text).cast("string").alias("t"))
     sets = written(rows.mapInArrow(_set_pass, "id long, n long, s1 long, s2 long"))
     total, shingles = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     classes = cut(sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")))
@@ -410,7 +426,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
     few = max(8, parts // 4)
     lists = rows.select("t").mapInArrow(_postings(parts), packed).repartitionById(parts, "bucket")
     shared = lists.mapInArrow(_counts(few), packed).repartitionById(few, "bucket").mapInArrow(_sum_counts, "s1 long, shared long")
-    able = classes.filter("rep is not null").join(shared.groupBy("s1").agg(F.sum("shared").alias("shared")), "s1")
+    able = classes.join(shared.groupBy("s1").agg(F.sum("shared").alias("shared")), "s1")
     able = cut(able.filter(WHOLE * F.col("shared") >= PART * F.col("n")).select(F.col("rep").alias("id"), "s1", "n"))
 
     n_able, shingles = able.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -443,11 +459,11 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
     known = classes.join(roots, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     known = known.filter((F.col("copies") > 1) | (F.col("component") != F.col("rep"))).select("s1", "s2", "copies", "component")
     joined = skew_safe_left_join(sets, known, ["s1", "s2"], "copies", total)
-    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return joined.select("id", "n", F.coalesce("component", "id").alias("component"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row with the smallest id of each component, with its columns; rows without words all stay."""
-    groups = near_copies(docs, key, text).filter("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("__id")).distinct()
-    held = cut(groups)
-    return docs.join(sized_broadcast(held, held.count()), docs[key].cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of the smallest node of each component, with their columns; rows without words all stay."""
+    held = cut(_components(docs, key, text).filter("component = id").select("id").distinct())
+    rows = docs.select(whole_row(docs), _node(key, text).alias("id"))
+    return rows.join(sized_broadcast(held, held.count()), "id", "left_semi").select("row.*")
