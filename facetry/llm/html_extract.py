@@ -26,10 +26,11 @@ off in the middle gives what came before; repeated rows get equal results.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
-from collections import deque
+from bisect import bisect_right
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 from html import unescape
+from math import isqrt
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -84,9 +85,9 @@ def _is_boiler(tag: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
-def _restores(tag: str, stack: list[tuple[str, int]]) -> bool:
+def _restores(tag: str, around: Counter) -> bool:
     """Whether a ``main`` or ``article`` inside boilerplate is the page's own: comments on an article and teasers are not."""
-    return tag == "main" or not any(t == "article" or t in _TEASER_TAGS for t, _ in stack[:-1])
+    return tag == "main" or not (around["article"] or any(around[t] for t in _TEASER_TAGS))
 
 
 def lines_of(html: str | None) -> list[tuple[str, int]]:
@@ -94,6 +95,7 @@ def lines_of(html: str | None) -> list[tuple[str, int]]:
     lines: list[tuple[str, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []
+    around: Counter = Counter()  # open tags
     kind, at, text = OUTSIDE, 0, html or ""
 
     def end_line() -> None:
@@ -126,10 +128,13 @@ def lines_of(html: str | None) -> list[tuple[str, int]]:
                 end_line()
                 closes = _CLOSES.get(tag)
                 while closes and stack and stack[-1][0] in closes:
-                    kind = stack.pop()[1]
+                    closed, kind = stack.pop()
+                    around[closed] -= 1
             if tag in _VOID or (m[3] or "").rstrip().endswith("/"):
                 continue
+            own = kind == BOILER and tag in _MAIN_TAGS and _restores(tag, around)
             stack.append((tag, kind))
+            around[tag] += 1
             if kind != BOILER:
                 if _is_boiler(tag, m[3] or "", kind == MAIN):
                     end_line()
@@ -137,26 +142,30 @@ def lines_of(html: str | None) -> list[tuple[str, int]]:
                 elif tag in _MAIN_TAGS:
                     end_line()
                     kind = MAIN
-            elif tag in _MAIN_TAGS and _restores(tag, stack):
+            elif own:
                 end_line()
                 kind = MAIN
-        else:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag in _BLOCK or stack[k][1] != kind:
-                        end_line()
-                    kind = stack[k][1]
-                    del stack[k:]
-                    break
-            else:
-                if tag in _BLOCK:
-                    end_line()
+        elif around[tag]:
+            closed, outer = "", kind
+            while closed != tag:  # with all that was left open inside
+                closed, outer = stack.pop()
+                around[closed] -= 1
+            if tag in _BLOCK or outer != kind:
+                end_line()
+            kind = outer
+        elif tag in _BLOCK:
+            end_line()
     end_line()
     return lines
 
 
 def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b`` (Hunt and Szymanski's method)."""
+    """Positions in ``a`` of a longest common subsequence with ``b``.
+
+    Bit-parallel: after each line of ``a`` one whole number holds, as its zero bits, where in ``b`` the length of the
+    common subsequence grows.  Rows are kept at every ``step``-th line and made again between two of these on the way back, so n
+    lines against m take n * m / 64 machine steps, and room for about two square roots of n rows.
+    """
     start, end_a, end_b = 0, len(a), len(b)
     while start < min(end_a, end_b) and a[start] == b[start]:
         start += 1
@@ -164,27 +173,55 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
         end_a -= 1
         end_b -= 1
     found = {*range(start), *range(end_a, len(a))}
-    places: dict[str, list[int]] = {}
-    for j in range(end_b - 1, start - 1, -1):
-        places.setdefault(b[j], []).append(j)
-    tails: list[int] = []
-    links: list[tuple[int, object]] = []
-    for i in range(start, end_a):
-        for j in places.get(a[i], ()):
-            k = bisect_left(tails, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                links.append(link)
-            else:
-                tails[k], links[k] = j, link
-    link = links[-1] if links else None
-    while link is not None:
-        found.add(link[0])
-        link = link[1]
+    places = _places(b[start:end_b])
+    lines = [(k, places[a[k]]) for k in range(start, end_a) if a[k] in places]  # others are in no common subsequence
+    if not lines:
+        return found
+    full = (1 << (end_b - start)) - 1
+
+    def rows(row: int, some: list[tuple[int, int]]) -> list[int]:
+        out = [row]
+        for _, mask in some:
+            both = row & mask
+            row = ((row + both) | (row - both)) & full
+            out.append(row)
+        return out
+
+    step, kept, row = isqrt(len(lines)) + 1, [], full
+    for k in range(0, len(lines), step):
+        kept.append(row)
+        row = rows(row, lines[k : k + step])[-1]
+    at = (row ^ full).bit_length() - 1  # the last growth
+    for block in range(len(kept) - 1, -1, -1):
+        here = lines[block * step : (block + 1) * step]
+        made = rows(kept[block], here)
+        for k in range(len(here) - 1, -1, -1):
+            if at < 0:
+                return found
+            before = made[k]
+            if before >> at & 1:  # without this line it does not grow there: the line is matched
+                found.add(here[k][0])
+                at = ((before ^ full) & ((1 << at) - 1)).bit_length() - 1
     return found
 
 
+def _places(lines: list[str]) -> dict[str, int]:
+    """Bits of the positions of each line."""
+    at: dict[str, list[int]] = {}
+    for k, line in enumerate(lines):
+        at.setdefault(line, []).append(k)
+    out = {}
+    for line, spots in at.items():
+        if len(spots) == 1:
+            out[line] = 1 << spots[0]
+        else:
+            bits = bytearray(spots[-1] // 8 + 1)
+            for k in spots:
+                bits[k // 8] |= 1 << k % 8
+            out[line] = int.from_bytes(bits, "little")
+    return out
+
+
 def _content(page: list[tuple[str, int]]) -> list[int]:
     """Positions of the lines that may be main text by structure."""
     place = MAIN if any(kind == MAIN for _, kind in page) else OUTSIDE
