@@ -41,7 +41,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     kept = written(docs.select("doc_id", telephony.stored(F.col("text")).alias("s")).select("doc_id", "s.n_bytes", "s.media"))
-    return kept.select("doc_id", "n_bytes", telephony.digest(F.col("media")).alias("d")).select("doc_id", "n_bytes", "d.*")
+    return kept.select("doc_id", "n_bytes", telephony.digest(F.col("media"), with_pcm=True).alias("d")).select("doc_id", "n_bytes", "d.*")
 
 
 def op6_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", *measures, (~quality.passes(failed, "base")).alias("base_failed"), quality.passes(failed, "v1").alias("kept"), failed.alias("failed_bits"))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy ``v1`` rejects, alone and beside the others, from the ledger's bits."""
+    return quality.ablation(quality.with_ledger(_table(spark, sf_dir, "documents").select("doc_id", "text")), "v1")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
     model = toxicity.fit(docs.filter(~held_out()), labels.filter(~held_out()).select("doc_id", "toxic"))
@@ -73,7 +78,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_mixing": op3_mixing, "op4_html_extraction": op4_html_extraction,
     "op5_telephony_audio": op5_telephony_audio, "op6_warc_bundles": op6_warc_bundles, "op7_ngram_jaccard": op7_ngram_jaccard,
-    "op8_url_filters": op8_url_filters, "op9_quality_rules": op9_quality_rules, "op10_toxicity": op10_toxicity, "pipeline": corpus.run,
+    "op8_url_filters": op8_url_filters, "op9_quality_rules": op9_quality_rules, "op10_toxicity": op10_toxicity,
+    "quality_ablation": quality_ablation, "pipeline": corpus.run,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -117,3 +123,8 @@ ORACLE_SQL = {
         SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
             n_repeat_words::BIGINT AS n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM f""",
 }
+_V1 = {r.name: 1 << r.bit for r in quality.RULES}
+ORACLE_SQL["quality_ablation"] = f"""
+        WITH q AS ({ORACLE_SQL["op9_quality_rules"]}), r(rule, bit) AS (VALUES {", ".join(f"('{n}', {b})" for n, b in _V1.items())})
+        SELECT rule, count(*) FILTER (failed_bits & bit <> 0) AS n_failed, count(*) FILTER (failed_bits = bit) AS n_only,
+            count(*) FILTER (failed_bits & {sum(_V1.values())} & ~bit = 0) AS n_kept_without FROM q, r GROUP BY rule"""
