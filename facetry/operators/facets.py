@@ -1,11 +1,13 @@
-"""Facets: exact counts over all matching rows.
+"""Facets: exact counts over all matching rows, those of a request in one pass.
 
-Every facet is ``value, count, from, to``; ``from`` and ``to`` are null for terms and dates.
+A row gives one small entry (field, bucket) for each facet and value; one aggregate counts them, and what is left to
+do (labels, order, the first ones) is done on the buckets.  A facet is ``value, count, from, to``; ``from`` and ``to``
+are null for terms and dates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.request import Facet
@@ -17,19 +19,11 @@ ORDERS = ("COUNT_DESC", "COUNT_ASC", "VALUE_ASC", "VALUE_DESC")
 DATE_LABELS = {"MINUTE": "yyyy-MM-dd'T'HH:mm'Z'", "HOUR": "yyyy-MM-dd'T'HH:mm'Z'", "DAY": "yyyy-MM-dd", "MONTH": "yyyy-MM", "YEAR": "yyyy"}
 
 
-def _values(matched: DataFrame, f: Field) -> DataFrame:
-    c = F.col(f.name)
-    if f.is_collection:  # texts count once for each row, numbers as often as they occur
-        c = F.explode(c if f.is_numeric else F.array_distinct(c))
-    return matched.select(c.alias("v")).filter(F.col("v").isNotNull())
-
-
 def _number(v: Column, is_double: bool) -> Column:
     return v.cast("string") if is_double else v.cast("long").cast("string")
 
 
-def _label(f: Field) -> Column:
-    v = F.col("v")
+def _label(f: Field, v: Column) -> Column:
     if f.base == "BOOLEAN":
         return F.when(v, "T").otherwise("F")
     if f.base == "DOUBLE":
@@ -37,50 +31,7 @@ def _label(f: Field) -> Column:
     return v.cast("string")
 
 
-def terms(matched: DataFrame, f: Field, spec: Facet) -> DataFrame:
-    counts = _values(matched, f).groupBy("v").agg(F.count("*").alias("count")).withColumn("value", _label(f))
-    if spec.values:
-        counts = counts.filter(F.col("value").isin(list(spec.values)))
-    value = F.col("value").cast("double") if f.base in ("INT32", "INT64", "DATE_TIME_OFFSET") else F.col("value")
-    order = {
-        "COUNT_DESC": [F.desc("count"), value.asc()], "COUNT_ASC": [F.asc("count"), value.asc()], "VALUE_ASC": [value.asc()],
-        "VALUE_DESC": [value.desc()],
-    }[spec.sort]
-    best = counts.orderBy(*order).limit(spec.count if spec.count > 0 else DEFAULT_COUNT)
-    return best.select("value", "count", F.lit(None).cast("string").alias("from"), F.lit(None).cast("string").alias("to"))
-
-
-def ranges(matched: DataFrame, f: Field, spec: Facet) -> DataFrame:
-    """Buckets of one width from the smallest value; the value at the last upper bound is in none."""
-    width, double = F.lit(float(spec.interval)), f.base == "DOUBLE"
-    values = _values(matched, f).select(F.col("v").cast("double").alias("v"))
-    start = F.floor(F.min("v") / width) * width
-    ends = values.agg(start.alias("start"), F.greatest(F.lit(1), F.ceil((F.max("v") - start) / width)).alias("n"))
-    checked = F.when(F.col("n") > MAX_RANGES, F.raise_error(F.lit(f"more than {MAX_RANGES} buckets; use a larger interval")).cast("long")).otherwise(F.col("n"))
-    ends = ends.select("start", checked.alias("n"))  # one row
-    at = values.crossJoin(F.broadcast(ends)).withColumn("i", ((F.col("v") - F.col("start")) / width).cast("long"))
-    counts = at.filter("i >= 0 and i < n").groupBy("start", "i").agg(F.count("*").alias("count"))
-    low = F.col("start") + F.col("i") * width
-    text = counts.select("i", "count", _number(low, double).alias("from"), _number(low + width, double).alias("to"))
-    return text.orderBy("i").select(F.concat("from", F.lit("-"), "to").alias("value"), "count", "from", "to")
-
-
-def dates(matched: DataFrame, f: Field, spec: Facet) -> DataFrame:
-    """Calendar buckets in UTC, the earliest ones."""
-    unit = spec.date_interval if spec.date_interval in DATE_LABELS else "DAY"
-    ms = {"MINUTE": 60_000, "HOUR": 3_600_000, "DAY": 86_400_000}.get(unit)
-    v = F.col("v")
-    epoch = F.lit("1970-01-01").cast("date")
-    day = F.date_add(epoch, F.floor(v / 86_400_000).cast("int"))
-    key = F.floor(v / ms) * ms if ms else F.date_diff(F.trunc(day, unit), epoch).cast("long") * 86_400_000
-    counts = _values(matched, f).groupBy(key.alias("k")).agg(F.count("*").alias("count"))
-    first = counts.orderBy("k").limit(spec.count if spec.count > 0 else DEFAULT_COUNT)
-    moment = F.timestamp_millis(F.col("k")).cast("timestamp_ntz") if unit in ("MINUTE", "HOUR") else F.date_add(epoch, F.floor(F.col("k") / 86_400_000).cast("int"))
-    none = F.lit(None).cast("string")
-    return first.orderBy("k").select(F.date_format(moment, DATE_LABELS[unit]).alias("value"), "count", none.alias("from"), none.alias("to"))
-
-
-def facet(matched: DataFrame, schema: SearchSchema, spec: Facet) -> DataFrame:
+def check(schema: SearchSchema, spec: Facet) -> Field:
     f = schema.get(spec.field)
     if not f.facetable:
         raise ValueError(f"Field {f.name} is not facetable")
@@ -90,20 +41,119 @@ def facet(matched: DataFrame, schema: SearchSchema, spec: Facet) -> DataFrame:
         raise ValueError(f"Unknown facet order {spec.sort}")
     if spec.values and (spec.interval > 0 or spec.date_interval):
         raise ValueError("values and interval exclude each other")
-    if spec.date_interval and f.base == "DATE_TIME_OFFSET":
-        return dates(matched, f, spec)
-    if spec.interval > 0 and f.is_numeric:
-        return ranges(matched, f, spec)
-    return terms(matched, f, spec)
+    return f
+
+
+def _is_date(f: Field, spec: Facet) -> bool:
+    return bool(spec.date_interval) and f.base == "DATE_TIME_OFFSET"
+
+
+def _is_range(f: Field, spec: Facet) -> bool:
+    return not _is_date(f, spec) and spec.interval > 0 and f.is_numeric
 
 
-def facets(matched: DataFrame, schema: SearchSchema, specs) -> dict[str, DataFrame]:
-    """One for each field; of two on one field the last counts."""
-    return {s.field: facet(matched, schema, s) for s in specs}
+_MS = {"MINUTE": 60_000, "HOUR": 3_600_000, "DAY": 86_400_000}
+_EPOCH = "1970-01-01"
 
 
-def term_facets_at_once(matched: DataFrame, schema: SearchSchema, names: list[str]) -> DataFrame:
-    """``field, value, count`` of several single-valued fields in one pass over the rows."""
-    fields = [schema.get(n) for n in names]
-    pairs = F.array(*[F.struct(F.lit(f.name).alias("field"), F.col(f.name).cast("string").alias("value")) for f in fields])
-    return matched.select(F.explode(pairs).alias("p")).filter("p.value is not null").groupBy("p.field", "p.value").agg(F.count("*").alias("count"))
+def _unit(spec: Facet) -> str:
+    return spec.date_interval if spec.date_interval in DATE_LABELS else "DAY"
+
+
+def _day(ms: Column) -> Column:
+    return F.date_add(F.lit(_EPOCH).cast("date"), F.floor(ms / 86_400_000).cast("int"))
+
+
+def _bucket(f: Field, spec: Facet, v: Column) -> Column:
+    """A value's entry: text of a term, number of a range or date bucket, and the value as a number."""
+    text, at, number = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("double")
+    if _is_date(f, spec):
+        unit = _unit(spec)
+        at = F.floor(v / _MS[unit]) * _MS[unit] if unit in _MS else F.date_diff(F.trunc(_day(v), unit), F.lit(_EPOCH).cast("date")).cast("long") * 86_400_000
+    elif _is_range(f, spec):
+        number = v.cast("double")
+        at = F.floor(number / F.lit(float(spec.interval)))
+    else:
+        text = _label(f, v)
+        if f.base in ("INT32", "INT64", "DATE_TIME_OFFSET"):
+            number = v.cast("double")
+    return F.struct(F.lit(spec.field).alias("field"), text.alias("s"), at.cast("long").alias("at"), number.alias("x"))
+
+
+def _entries(f: Field, spec: Facet) -> Column:
+    """The entries of a row; texts of a collection count once for each row, numbers as often as they occur."""
+    c = F.col(f.name)
+    values = F.array(c) if not f.is_collection else c if f.is_numeric else F.array_distinct(c)
+    return F.transform(F.filter(F.coalesce(values, F.array()) if f.is_collection else values, lambda v: v.isNotNull()), lambda v: _bucket(f, spec, v))
+
+
+def _for(specs: list[tuple[Field, Facet]], value, otherwise=None) -> Column:
+    """A Column by field."""
+    out = F.lit(otherwise)
+    for f, spec in specs:
+        out = F.when(F.col("field") == f.name, value(f, spec)).otherwise(out)
+    return out
+
+
+def _first(spec: Facet) -> int:
+    return spec.count if spec.count > 0 else DEFAULT_COUNT
+
+
+def _counted(matched: DataFrame, chosen: list[tuple[Field, Facet]]) -> tuple[DataFrame, list[Column], list[Column]]:
+    """Buckets of all facets with their counts, the order within a field, and the columns of a result."""
+    entries = F.concat(*[_entries(f, s) for f, s in chosen])
+    buckets = matched.select(F.explode(entries).alias("e")).groupBy("e.field", "e.s", "e.at")
+    counts = buckets.agg(F.count("*").alias("count"), F.min("e.x").alias("low"), F.max("e.x").alias("high"))
+    terms = [(f, s) for f, s in chosen if not _is_date(f, s) and not _is_range(f, s)]
+    dates = [(f, s) for f, s in chosen if _is_date(f, s)]
+    ranged = [(f, s) for f, s in chosen if _is_range(f, s)]
+    if any(s.values for _, s in terms):
+        wanted = _for([x for x in terms if x[1].values], lambda _, s: F.col("s").isin(list(s.values)))
+        counts = counts.filter(F.coalesce(wanted, F.lit(True)))
+    value, begins, ends = F.col("s"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    if dates:
+        moment = lambda s: F.timestamp_millis("at").cast("timestamp_ntz") if _unit(s) in ("MINUTE", "HOUR") else _day(F.col("at"))
+        value = F.coalesce(value, _for(dates, lambda _, s: F.date_format(moment(s), DATE_LABELS[_unit(s)])))
+    if ranged:
+        # Buckets lie on multiples of the width; the value at the last upper bound, alone in its bucket, is in none.
+        # By text too, so that the many terms of other facets are not gathered.
+        whole, width = Window.partitionBy("field", "s"), _for(ranged, lambda _, s: F.lit(float(s.interval)))
+        counts = counts.withColumn("w", width).withColumn("first", F.min("at").over(whole)).withColumn("top", F.max("high").over(whole))
+        n = F.greatest(F.lit(1), F.ceil((F.col("top") - F.col("first") * F.col("w")) / F.col("w")))
+        n = F.when(n > MAX_RANGES, F.raise_error(F.lit(f"more than {MAX_RANGES} buckets; use a larger interval")).cast("long")).otherwise(n)
+        counts = counts.filter(F.col("w").isNull() | (F.col("at") - F.col("first") < n))
+        begin = F.col("at") * F.col("w")
+        begins, ends = (_for(ranged, lambda f, _, v=v: _number(v, f.base == "DOUBLE")) for v in (begin, begin + F.col("w")))
+        value = F.coalesce(value, F.concat(begins, F.lit("-"), ends))
+    sign = {"COUNT_DESC": -1, "COUNT_ASC": 1}
+    by_count = _for(terms, lambda _, s: F.col("count") * sign.get(s.sort, 0)) if terms else F.col("count") * 0
+    down = _for([x for x in terms if x[1].sort == "VALUE_DESC"], lambda _, s: F.lit(True), False)
+    number = F.coalesce(F.col("at").cast("double"), "low")
+    order = [by_count.asc(), F.when(down, -number).otherwise(number).asc(), F.when(~down, F.col("s")).asc(), F.when(down, F.col("s")).desc()]
+    return counts, order, [value.alias("value"), F.col("count"), begins.alias("from"), ends.alias("to")]
+
+
+def facets(matched: DataFrame, schema: SearchSchema, specs) -> DataFrame:
+    """``field, place, value, count, from, to`` of all facets; of two on one field the last counts."""
+    chosen = [(check(schema, s), s) for s in {s.field: s for s in specs}.values()]
+    counts, order, columns = _counted(matched, chosen)
+    own = {s.field: MAX_RANGES if _is_range(f, s) else _first(s) for f, s in chosen}
+    placed = counts.withColumn("place", F.row_number().over(Window.partitionBy("field").orderBy(*order)))
+    # The first bound, one number, cuts before the shuffle.
+    best = placed.filter(F.col("place") <= max(own.values())).filter(F.col("place") <= _for(chosen, lambda _, s: F.lit(own[s.field])))
+    return best.select("field", "place", *columns)
+
+
+def facet(matched: DataFrame, schema: SearchSchema, spec: Facet) -> DataFrame:
+    """``value, count, from, to`` of one facet, in order, by one top-k pass over its buckets."""
+    f = check(schema, spec)
+    counts, order, columns = _counted(matched, [(f, spec)])
+    return counts.orderBy(*order).limit(MAX_RANGES if _is_range(f, spec) else _first(spec)).select(*columns)
+
+
+def by_field(rows: list, specs) -> dict[str, list]:
+    """Collected rows of ``facets`` as lists by field."""
+    out: dict[str, list] = {s.field: [] for s in specs}
+    for r in sorted(rows, key=lambda r: r["place"]):
+        out[r["field"]].append(r)
+    return out

@@ -1,10 +1,12 @@
-"""Full-text queries as expressions over token arrays, scored by BM25.
+"""Full-text queries as expressions over leaf columns, scored by BM25.
 
-A query is a small tree.  Compiling it lists its leaves: each becomes one narrow column (a term's frequency, a
-phrase's frequency, or whether some token matches).  A first projection keeps those and the field lengths only; one
-aggregate over all rows gives the document frequencies and mean lengths; matching and scoring are then Column
-expressions over a table of numbers.  That table is persisted (memory, then disk): texts are tokenised once, and
-tokens are never shuffled.  ``spark.catalog.clearCache()`` or the end of the session frees it.
+A query is a small tree.  Compiling it lists its leaves: each becomes one narrow column (a term's frequency, a phrase's
+frequency, or whether some token matches).  Matching and scoring are then Column expressions over a table of numbers.
+
+With an index, a row's leaves are an aggregate of its postings: the scan reads the postings of the query's terms only,
+and document frequencies and mean lengths come from the dictionary.  Without one, a projection over token arrays gives
+the leaves of every row and one aggregate the statistics; that table of row numbers and leaves is persisted, so that texts are
+tokenised once, and listed in ``held`` for the caller to release.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from facetry.functions import analysis
 from facetry.request import SearchRequest
 from facetry.schema import SearchSchema
+from facetry.sources.postings import TextIndex, among
 
 MAX_EXPANSIONS = 50
 
@@ -161,19 +164,15 @@ def _term_frequency(tokens: Column, term: str) -> Column:
     return F.size(F.filter(tokens, lambda t: t == F.lit(term)))
 
 
-def _phrase_frequency(tokens: Column, terms: tuple[str, ...]) -> Column:
-    m = len(terms)
-    starts = F.when(F.size(tokens) >= m, F.sequence(F.lit(1), F.size(tokens) - (m - 1))).otherwise(F.array().cast("array<int>"))
-    here = lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(tokens, i - 1 + k) == F.lit(t), F.lit(False)) for k, t in enumerate(terms)])
-    return F.size(F.filter(starts, here)).cast("double")
-
+def sloppy_frequency(places: list[list[int]] | None, slop: int) -> float:
+    """Sum of 1 / (1 + width) over matches whose places, less their place in the phrase, differ by at most slop.
 
-def sloppy_frequency(tokens: list[str] | None, terms: tuple[str, ...], slop: int) -> float:
-    """Sum of 1 / (1 + width) over matches whose positions, less their place in the phrase, differ by at most slop."""
-    places = [[i - k for i, t in enumerate(tokens or ()) if t == term] for k, term in enumerate(terms)]
-    if not all(places):
+    ``places`` has for each word of the phrase where it stands.
+    """
+    places = [[i - k for i in at] for k, at in enumerate(places or ())]
+    if not places or not all(places):
         return 0.0
-    at, total, best, shown = [0] * len(terms), 0.0, None, None
+    at, total, best, shown = [0] * len(places), 0.0, None, None
     while True:
         now = [p[i] for p, i in zip(places, at, strict=True)]
         real = {x + k for k, x in enumerate(now)}
@@ -189,13 +188,25 @@ def sloppy_frequency(tokens: list[str] | None, terms: tuple[str, ...], slop: int
             return total + (1 / (1 + best) if best is not None else 0.0)
 
 
-def _sloppy(tokens: Column, terms: tuple[str, ...], slop: int) -> Column:
+def _places(tokens: Column, term: str) -> Column:
+    return F.filter(F.transform(tokens, lambda t, i: F.when(t == F.lit(term), i)), lambda i: i.isNotNull())
+
+
+def _shifted(places: Column, by: int) -> Column:
+    return F.transform(places, lambda i: i - by)
+
+
+def _phrase(places: list[Column], slop: int) -> Column:
+    """A phrase's frequency from the places of its words; null where a word is missing."""
+    if not slop:
+        return F.size(reduce(F.array_intersect, [_shifted(at, k) for k, at in enumerate(places)])).cast("double")
+
     @F.arrow_udf("double")
     def run(t: pa.Array) -> pa.Array:
-        return pa.array([sloppy_frequency(x, terms, slop) for x in t.to_pylist()], pa.float64())
+        return pa.array([sloppy_frequency(x, slop) for x in t.to_pylist()], pa.float64())
 
-    has_all = reduce(lambda a, b: a & b, [F.array_contains(tokens, x) for x in terms])
-    return F.coalesce(run(F.when(has_all, tokens)), F.lit(0.0))  # other rows send nothing to Python
+    has_all = reduce(lambda a, b: a & b, [F.coalesce(F.size(at) > 0, F.lit(False)) for at in places])
+    return run(F.when(has_all, F.array(*places)))  # other rows send nothing to Python
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -213,35 +224,43 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return min(one[-1], most + 1)
 
 
-def expand_fuzzy(docs: DataFrame, node: FuzzyNode) -> list[TermNode]:
-    """The nearest terms of the field's dictionary, at most MAX_EXPANSIONS, weighted by nearness.
+def expand_fuzzy(terms: DataFrame, node: FuzzyNode) -> list[TermNode]:
+    """The nearest ones of a field's terms, at most MAX_EXPANSIONS, weighted by nearness.
 
     A JVM filter by length and Levenshtein distance (a swap of neighbours counts two there) leaves a short list of
     distinct terms; only those are measured exactly.
     """
     t, low = node.term, max(0, len(node.term) - node.edits)
-    near = lambda x: F.length(x).between(low, len(t) + node.edits) & x.startswith(t[: node.prefix]) & (F.levenshtein(x, F.lit(t)) <= 2 * node.edits)
-    found = docs.select(F.explode(F.array_distinct(F.filter(_tokens(node.field), near))).alias("term")).distinct()
+    x = F.col("term")
+    near = F.length(x).between(low, len(t) + node.edits) & x.startswith(t[: node.prefix]) & (F.levenshtein(x, F.lit(t), 2 * node.edits) >= 0)
 
     @F.arrow_udf("int")
     def distance(x: pa.Array) -> pa.Array:
         return pa.array([edit_distance(w, t, node.edits) for w in x.to_pylist()], pa.int32())
 
-    best = found.withColumn("d", distance("term")).filter(F.col("d") <= node.edits).orderBy("d", "term").limit(MAX_EXPANSIONS).collect()
-    return [TermNode(node.field, r["term"], node.boost * (1 - r["d"] / max(1, min(len(r["term"]), len(t))))) for r in best]
+    best = terms.filter(near).select("term").distinct().withColumn("d", distance("term")).filter(F.col("d") <= node.edits)
+    found = best.orderBy("d", "term").limit(MAX_EXPANSIONS).collect()
+    return [TermNode(node.field, r["term"], node.boost * (1 - r["d"] / max(1, min(len(r["term"]), len(t))))) for r in found]
 
 
 # ---- compiling ----
 
 
-def _rewrite(docs: DataFrame, node):
+def _rewrite(node, terms_of):
+    """Fuzzy nodes become the terms they stand for; ``terms_of`` gives a field's terms."""
     if isinstance(node, FuzzyNode):
-        return BoolNode(should=tuple(expand_fuzzy(docs, node)))
+        return BoolNode(should=tuple(expand_fuzzy(terms_of(node.field), node)))
     if isinstance(node, BoolNode):
-        return replace(node, **{k: tuple(_rewrite(docs, x) for x in getattr(node, k)) for k in ("must", "should", "must_not")})
+        return replace(node, **{k: tuple(_rewrite(x, terms_of) for x in getattr(node, k)) for k in ("must", "should", "must_not")})
     return node
 
 
+def _kinds(node) -> set[type]:
+    if isinstance(node, BoolNode):
+        return set().union(*[_kinds(x) for x in (*node.must, *node.should, *node.must_not)])
+    return {type(node)}
+
+
 def _used_fields(node) -> set[str]:
     if isinstance(node, BoolNode):
         return set().union(*[_used_fields(x) for x in (*node.must, *node.should, *node.must_not)])
@@ -250,6 +269,8 @@ def _used_fields(node) -> set[str]:
 
 @dataclass
 class _Leaves:
+    """Leaf columns of rows with token arrays."""
+
     schema: SearchSchema
     columns: dict[object, str] = field(default_factory=dict)
     exprs: dict[str, Column] = field(default_factory=dict)
@@ -260,12 +281,28 @@ class _Leaves:
             self.exprs[self.columns[what]] = expr
         return self.columns[what]
 
-    def tf(self, name: str, term: str) -> str:
-        return self.add(("tf", name, term), F.coalesce(_term_frequency(F.col(_tokens(name)), term), F.lit(0)))
+    def tf(self, name: str, term: str) -> None:
+        self.add(("tf", name, term), F.coalesce(_term_frequency(F.col(_tokens(name)), term), F.lit(0)))
 
-    def length(self, name: str) -> str:
+    def length(self, name: str) -> None:
         live = F.size(F.filter(_tokens(name), lambda t: t.isNotNull()))
-        return self.add(("dl", name), F.coalesce(live, F.lit(0)))
+        self.add(("dl", name), F.coalesce(live, F.lit(0)))
+
+    def phrase(self, node: PhraseNode) -> None:
+        freq = _phrase([_places(F.col(_tokens(node.field)), t) for t in node.terms], node.slop)
+        self.add(("phrase", node.field, node.terms, node.slop), F.coalesce(freq, F.lit(0.0)))
+
+    def pattern(self, node: PatternNode) -> None:
+        self.add(("pattern", node.field, node.kind, node.pattern), F.coalesce(F.exists(_tokens(node.field), _token_test(node)), F.lit(False)))
+
+    def number(self, node: NumberNode) -> None:
+        c = F.col(node.field)
+        test = c.isNotNull()
+        if node.low is not None:
+            test &= c > node.low if node.low_open else c >= node.low
+        if node.high is not None:
+            test &= c < node.high if node.high_open else c <= node.high
+        self.add(("number", node), F.coalesce(test, F.lit(False)))
 
     def visit(self, node) -> None:
         if isinstance(node, BoolNode):
@@ -275,22 +312,79 @@ class _Leaves:
             self.tf(node.field, node.term)
             self.length(node.field)
         elif isinstance(node, PhraseNode):
-            tokens = F.col(_tokens(node.field))
             for t in node.terms:
                 self.tf(node.field, t)
             self.length(node.field)
-            freq = _sloppy(tokens, node.terms, node.slop) if node.slop else _phrase_frequency(tokens, node.terms)
-            self.add(("phrase", node.field, node.terms, node.slop), F.coalesce(freq, F.lit(0.0)))
+            self.phrase(node)
         elif isinstance(node, PatternNode):
-            self.add(("pattern", node.field, node.kind, node.pattern), F.coalesce(F.exists(_tokens(node.field), _token_test(node)), F.lit(False)))
+            self.pattern(node)
         elif isinstance(node, NumberNode):
-            c = F.col(node.field)
-            test = c.isNotNull()
-            if node.low is not None:
-                test &= c > node.low if node.low_open else c >= node.low
-            if node.high is not None:
-                test &= c < node.high if node.high_open else c <= node.high
-            self.add(("number", node), F.coalesce(test, F.lit(False)))
+            self.number(node)
+
+
+@dataclass
+class _IndexLeaves(_Leaves):
+    """Leaf columns as aggregates of a row's postings; what needs all of a row's places, or the row itself, comes after."""
+
+    terms: set[tuple[str, str]] = field(default_factory=set)
+    patterns: list[Column] = field(default_factory=list)
+    after: dict[str, Column] = field(default_factory=dict)
+
+    def _here(self, name: str, term: str) -> Column:
+        self.terms.add((name, term))
+        return (F.col("field") == name) & (F.col("term") == term)
+
+    def tf(self, name: str, term: str) -> None:
+        self.add(("tf", name, term), F.max(F.when(self._here(name, term), F.col("tf"))))
+
+    def length(self, name: str) -> None:
+        self.add(("dl", name), F.max(F.when(F.col("field") == name, F.col("dl"))))
+
+    def phrase(self, node: PhraseNode) -> None:
+        places = [F.col(self.add(("at", node.field, t), F.first(F.when(self._here(node.field, t), F.col("positions")), ignorenulls=True))) for t in node.terms]
+        self._later(("phrase", node.field, node.terms, node.slop), F.coalesce(_phrase(places, node.slop), F.lit(0.0)))
+
+    def pattern(self, node: PatternNode) -> None:
+        test = (F.col("field") == node.field) & _token_test(node)(F.col("term"))
+        beginning = node.pattern[0] if node.kind == "prefix" else literal_beginning(node.pattern[0]) if node.kind == "regex" else ""
+        if beginning:  # a range of terms, which the scan knows by the least and greatest of its pages
+            test = (F.col("field") == node.field) & F.col("term").startswith(beginning) & test
+        self.patterns.append(test)
+        self.add(("pattern", node.field, node.kind, node.pattern), F.max(test))
+
+    def number(self, node: NumberNode) -> None:
+        super().number(node)
+        name = self.columns["number", node]
+        self.after[name] = self.exprs.pop(name)
+
+    def _later(self, what, expr: Column) -> None:
+        self.columns[what] = name = f"_x{len(self.columns)}"
+        self.after[name] = expr
+
+    def postings(self, index: TextIndex) -> DataFrame:
+        tests = [among(self.terms)] if self.terms else []
+        return index.postings.filter(reduce(lambda a, b: a | b, tests + self.patterns))
+
+    def rows(self, index: TextIndex) -> DataFrame:
+        """``_doc`` and leaves of all rows that have one of the postings."""
+        hits = self.postings(index)
+        if len(self.terms) == 1 and not self.patterns and not self.after:  # one posting for each row
+            plain = {"tf": F.col("tf"), "dl": F.col("dl")}
+            return hits.select("_doc", *[plain[what[0]].alias(name) for what, name in self.columns.items()])
+        return self.filled(hits.groupBy("_doc").agg(*[e.alias(n) for n, e in self.exprs.items()]))
+
+    def filled(self, rows: DataFrame) -> DataFrame:
+        """A term or pattern that a row has no posting of is not in it."""
+        empty = {"tf": F.lit(0), "pattern": F.lit(False)}
+        return rows.withColumns({name: F.coalesce(name, empty[what[0]]) for what, name in self.columns.items() if what[0] in empty})
+
+
+def literal_beginning(pattern: str) -> str:
+    """The characters that every match of a regular expression begins with."""
+    if "|" in pattern:
+        return ""
+    found = re.match(r"\w*", pattern)[0]
+    return found[:-1] if pattern[len(found) : len(found) + 1] in ("*", "?", "{") else found
 
 
 def _token_test(node: PatternNode):
@@ -315,21 +409,50 @@ def idf(n, df):
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+@dataclass
+class _RowStatistics:
+    """Statistics as columns of one row."""
+
+    leaves: _Leaves
+
+    def mean(self, name: str) -> Column:
+        dl = self.leaves.columns[("dl", name)]
+        return F.col(f"_sum{dl}") / F.col(f"_n{dl}")
+
+    def idf(self, name: str, term: str) -> Column:
+        return idf(F.col(f"_n{self.leaves.columns[('dl', name)]}"), F.col(f"_n{self.leaves.columns[('tf', name, term)]}"))
+
+
+@dataclass
+class _IndexStatistics:
+    """Statistics as literals, from the dictionary."""
+
+    index: TextIndex
+    frequency: dict[tuple[str, str], int]
+
+    def mean(self, name: str) -> Column:
+        return F.lit(float(self.index.mean_length(name)))
+
+    def idf(self, name: str, term: str) -> Column:
+        n, df = self.index.lengths.get(name, (0, 0))[0], self.frequency.get((name, term), 0)
+        return F.lit(math.log(1 + (n - df + 0.5) / (df + 0.5)))
+
+
 @dataclass
 class _Scores:
-    """Match and score Columns of a tree, over leaf columns and the one row of statistics."""
+    """Match and score Columns of a tree, over leaf columns and statistics."""
 
     leaves: _Leaves
+    statistics: object
     k1: float
     b: float
 
     def bm25(self, name: str, freq: Column, weight: Column) -> Column:
         dl = self.leaves.columns[("dl", name)]
-        mean = F.col(f"_sum{dl}") / F.col(f"_n{dl}")
-        return weight * freq / (freq + self.k1 * (1 - self.b + self.b * F.col(dl) / mean))
+        return weight * freq / (freq + self.k1 * (1 - self.b + self.b * F.col(dl) / self.statistics.mean(name)))
 
     def idf(self, name: str, term: str) -> Column:
-        return idf(F.col(f"_n{self.leaves.columns[('dl', name)]}"), F.col(f"_n{self.leaves.columns[('tf', name, term)]}"))
+        return self.statistics.idf(name, term)
 
     def of(self, node) -> tuple[Column, Column]:
         col = self.leaves.columns
@@ -362,19 +485,54 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
 
 
-def score(docs: DataFrame, schema: SearchSchema, node, keep: list[str] | None = None) -> DataFrame:
-    """Rows that match the tree, with ``_score``; statistics are those of all rows of ``docs``."""
+def score(docs: DataFrame, schema: SearchSchema, node, index: TextIndex | None = None, held: list | None = None) -> DataFrame:
+    """Rows that match the tree, with ``_score``; statistics are those of all rows of the index, or of ``docs``."""
+    if index is None:
+        return _scanned(docs, schema, node, held)
+    ids = score_ids(schema, node, index)
+    return docs.join(ids, "_doc") if ids is not None else _scored_with_rows(docs, schema, node, index)
+
+
+def _indexed(schema: SearchSchema, node, index: TextIndex):
+    node = _rewrite(node, lambda name: index.terms.filter(F.col("field") == name))
+    leaves = _IndexLeaves(schema)
+    leaves.visit(node)
+    needed = {(what[1], what[2]) for what in leaves.columns if what[0] == "tf"}
+    match, points = _Scores(leaves, _IndexStatistics(index, index.frequencies(needed)), schema.k1, schema.b).of(node)
+    return leaves, F.coalesce(match, F.lit(False)), points
+
+
+def score_ids(schema: SearchSchema, node, index: TextIndex) -> DataFrame | None:
+    """``_doc, _score`` from postings alone; None where the tree asks for more than terms (numbers, or all rows)."""
+    if _kinds(node) & {AllNode, NumberNode}:
+        return None
+    leaves, match, points = _indexed(schema, node, index)
+    if not leaves.exprs:  # a fuzzy term without any near one
+        return index.postings.filter(F.lit(False)).select("_doc", F.lit(0.0).alias("_score"))
+    return leaves.rows(index).withColumns(leaves.after).filter(match).select("_doc", points.alias("_score"))
+
+
+def _scored_with_rows(docs: DataFrame, schema: SearchSchema, node, index: TextIndex) -> DataFrame:
+    leaves, match, points = _indexed(schema, node, index)
+    kept = docs.columns
+    rows = leaves.filled(docs.join(leaves.rows(index), "_doc", "left")) if leaves.exprs else docs
+    return rows.withColumns(leaves.after).filter(match).select(*kept, points.alias("_score"))
+
+
+def _scanned(docs: DataFrame, schema: SearchSchema, node, held: list | None) -> DataFrame:
     used = sorted(_used_fields(node))
     tokenised = spread(docs).withColumns({_tokens(n): analysis.field_tokens(schema.get(n)) for n in used})
-    node = _rewrite(tokenised, node)
+    node = _rewrite(node, lambda name: tokenised.select(F.explode(F.array_distinct(_tokens(name))).alias("term")).filter("term is not null"))
     leaves = _Leaves(schema)
     leaves.visit(node)
-    kept = docs.columns if keep is None else keep
+    statistics = _RowStatistics(leaves)
     if not leaves.exprs:
-        match, points = _Scores(leaves, schema.k1, schema.b).of(node)
-        return docs.select(*kept, points.alias("_score")).filter(match)
-    # kept, so that neither the statistics nor a filter that moves below them tokenises again
-    slim = tokenised.select(*kept, *[e.alias(n) for n, e in leaves.exprs.items()]).persist()
+        match, points = _Scores(leaves, statistics, schema.k1, schema.b).of(node)
+        return docs.select(*docs.columns, points.alias("_score")).filter(match)
+    # numbers only; kept, so that neither the statistics nor the join with the rows tokenises again
+    slim = tokenised.select("_doc", *[e.alias(n) for n, e in leaves.exprs.items()]).persist()
+    if held is not None:
+        held.append(slim)
     counts = []
     for what, name in leaves.columns.items():
         if what[0] == "dl":
@@ -382,8 +540,8 @@ def score(docs: DataFrame, schema: SearchSchema, node, keep: list[str] | None =
         elif what[0] == "tf":
             counts.append(F.count(F.when(F.col(name) > 0, 1)).alias(f"_n{name}"))
     ready = slim.crossJoin(F.broadcast(slim.agg(*counts))) if counts else slim  # one row of statistics
-    match, points = _Scores(leaves, schema.k1, schema.b).of(node)
-    return ready.filter(match).select(*kept, points.alias("_score"))
+    match, points = _Scores(leaves, statistics, schema.k1, schema.b).of(node)
+    return docs.join(ready.filter(match).select("_doc", points.alias("_score")), "_doc")
 
 
 def wildcard_to_regex(pattern: str) -> str:

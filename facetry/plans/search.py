@@ -16,6 +16,7 @@ from facetry.operators.hybrid import rrf
 from facetry.operators.modifiers import pipeline, recency_decay
 from facetry.request import Cursor, SearchRequest
 from facetry.schema import SearchSchema
+from facetry.sources.postings import TextIndex
 
 
 @dataclass
@@ -23,13 +24,19 @@ class SearchPlan:
     """Lazy results of a request; each is a plan until an action asks for it."""
 
     matched: DataFrame
-    page: DataFrame
-    facets: dict[str, DataFrame] = field(default_factory=dict)
+    rows: DataFrame  # of the page, with all columns
+    page: DataFrame  # as hits
+    facets: DataFrame | None = None
     n_sort: int = 0
+    held: list[DataFrame] = field(default_factory=list)  # what was persisted for it
 
     def total(self) -> int:
         return self.matched.count()
 
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
+
 
 @dataclass
 class SearchResult:
@@ -45,12 +52,12 @@ def _with_filter(df: DataFrame, where: Column | None) -> DataFrame:
     return df if where is None else df.filter(where)
 
 
-def matched_rows(docs: DataFrame, schema: SearchSchema, r: SearchRequest) -> DataFrame:
+def matched_rows(docs: DataFrame, schema: SearchSchema, r: SearchRequest, index: TextIndex | None = None, held: list | None = None) -> DataFrame:
     """All rows that the request's query and filters match, with ``_score``."""
     where = combine(schema, r.filters, r.tenant_id)
     node = text.resolve(schema, r)
     if node is not None:
-        scored = _with_filter(text.score(docs, schema, node), where)
+        scored = _with_filter(text.score(docs, schema, node, index, held), where)
     elif r.vector is not None:
         scored = vector.knn(docs, schema, r.vector.field, r.vector.vector, r.vector.k, where)
     else:
@@ -58,21 +65,28 @@ def matched_rows(docs: DataFrame, schema: SearchSchema, r: SearchRequest) -> Dat
     return pipeline(scored, _modifiers(schema, r))
 
 
+def _best_ids(schema: SearchSchema, r: SearchRequest, index: TextIndex | None) -> DataFrame | None:
+    """``_doc, _score`` where the index alone decides the page, so that only the page's rows are read; else None."""
+    node = text.resolve(schema, r)
+    plain = not (r.filters or r.tenant_id or r.sort or r.facets or _modifiers(schema, r))
+    return text.score_ids(schema, node, index) if node is not None and index is not None and index.live and plain else None
+
+
 def _modifiers(schema: SearchSchema, r: SearchRequest) -> list:
     return [recency_decay(r.half_life_seconds, r.now_ms)] if r.half_life_seconds is not None and schema.ttl_enabled else []
 
 
-def _hybrid(docs: DataFrame, schema: SearchSchema, r: SearchRequest) -> tuple[DataFrame, DataFrame]:
+def _hybrid(docs: DataFrame, schema: SearchSchema, r: SearchRequest, index: TextIndex | None, held: list) -> tuple[DataFrame, DataFrame]:
     if r.facets:
         raise ValueError("Facets are not supported in hybrid search")
     skip, k = paging.offset(r.offset), paging.top_k(r.top_k)
     where, n = combine(schema, r.filters, r.tenant_id), skip + k
-    by_text = pipeline(_with_filter(text.score(docs, schema, text.resolve(schema, r)), where), _modifiers(schema, r))
-    by_text = by_text.orderBy(F.desc("_score"), "_doc").limit(n)
+    by_text = pipeline(_with_filter(text.score(docs, schema, text.resolve(schema, r), index, held), where), _modifiers(schema, r))
+    by_text = by_text.orderBy(F.desc("_score"), "_doc").limit(n).select("_doc", "_score")
     by_vector = vector.knn(docs, schema, r.vector.field, r.vector.vector, r.vector.k or n, where)
     fused = rrf([by_text, by_vector], n)
     best = docs.join(F.broadcast(fused), "_doc").select(*docs.columns, "_score")  # at most MAX_TOP + MAX_OFFSET rows
-    return best, best.orderBy(F.desc("_score"), "_doc").offset(skip).limit(k).orderBy(F.desc("_score"), "_doc")
+    return fused, best.orderBy(F.desc("_score"), "_doc").offset(skip).limit(k).orderBy(F.desc("_score"), "_doc")
 
 
 def project(page: DataFrame, schema: SearchSchema, r: SearchRequest) -> DataFrame:
@@ -87,27 +101,32 @@ def project(page: DataFrame, schema: SearchSchema, r: SearchRequest) -> DataFram
     return page.select(*out)
 
 
-def plan(docs: DataFrame, schema: SearchSchema, r: SearchRequest) -> SearchPlan:
-    """``docs`` has the schema's columns and ``_doc``, the row's number in ingest order."""
+def plan(docs: DataFrame, schema: SearchSchema, r: SearchRequest, index: TextIndex | None = None) -> SearchPlan:
+    """``docs`` has the schema's columns and ``_doc``, the row's number in ingest order; ``index`` its postings."""
+    n_sort, found, held = 0, None, []
     if r.vector is not None and r.has_text():
-        matched, page = _hybrid(docs, schema, r)
-        n_sort, found = 0, {}
+        matched, rows = _hybrid(docs, schema, r, index, held)
+    elif (ids := _best_ids(schema, r, index)) is not None:
+        matched = ids
+        best = paging.page(ids, schema, r.top_k, r.offset, (), r.search_after)
+        # At most MAX_TOP rows; the limit, which cuts none, orders them without a second look at ranges.
+        rows = docs.join(F.broadcast(best), "_doc").orderBy(F.desc("_score"), "_doc").limit(paging.top_k(r.top_k))
     else:
-        matched = matched_rows(docs, schema, r)
-        page = paging.page(matched, schema, r.top_k, r.offset, r.sort, r.search_after)
-        n_sort, found = len(r.sort), facet_ops.facets(matched, schema, r.facets)
+        matched = matched_rows(docs, schema, r, index, held)
+        rows = paging.page(matched, schema, r.top_k, r.offset, r.sort, r.search_after)
+        n_sort, found = len(r.sort), facet_ops.facets(matched, schema, r.facets) if r.facets else None
     if r.min_score > 0 and not n_sort:  # after paging: the page is not filled up again
-        page = page.filter(F.col("_score") >= r.min_score)
-    return SearchPlan(matched, project(page, schema, r), found, n_sort)
+        rows = rows.filter(F.col("_score") >= r.min_score)
+    return SearchPlan(matched, rows, project(rows, schema, r), found, n_sort, held)
 
 
 DEFAULT_TIMEOUT_MS = 30_000
 
 
-def run(docs: DataFrame, schema: SearchSchema, r: SearchRequest, cache: bool = True) -> SearchResult:
+def run(docs: DataFrame, schema: SearchSchema, r: SearchRequest, cache: bool = True, index: TextIndex | None = None) -> SearchResult:
     """Runs a request.  Matched rows feed the page, the total and the facets, so they are kept for the time of it."""
     sc = docs.sparkSession.sparkContext
-    p = plan(docs, schema, r)
+    p = plan(docs, schema, r, index)
     limit = DEFAULT_TIMEOUT_MS if r.timeout_ms == 0 else r.timeout_ms
     group, late = f"search-{uuid.uuid4().hex}", threading.Event()
 
@@ -118,13 +137,13 @@ def run(docs: DataFrame, schema: SearchSchema, r: SearchRequest, cache: bool = T
     timer = threading.Timer(limit / 1000, stop) if limit > 0 else None
     sc.setJobGroup(group, "search", interruptOnCancel=True)
     if cache and r.facets:
-        p.matched.persist()
+        p.held.append(p.matched.persist())
     if timer:
         timer.start()
     try:
         hits = p.page.collect()
         total = p.total()
-        found = {k: v.collect() for k, v in p.facets.items()}
+        found = facet_ops.by_field(p.facets.collect(), r.facets) if p.facets is not None else {}
     except Exception:
         if late.is_set():
             return SearchResult([], 0, False, {}, None, True)
@@ -132,7 +151,7 @@ def run(docs: DataFrame, schema: SearchSchema, r: SearchRequest, cache: bool = T
     finally:
         if timer:
             timer.cancel()
-        p.matched.unpersist()
+        p.release()
         sc.setLocalProperty("spark.jobGroup.id", None)
     return SearchResult(hits, total, r.min_score <= 0, found, paging.cursor(hits, p.n_sort))
 

@@ -1,49 +1,130 @@
-"""A persisted inverted index: postings sorted by term, and one row of statistics for each field.
+"""A persisted inverted index: postings sorted by field and term, a term dictionary, and the lengths of fields.
 
-For collections that are searched often: a query then reads the row groups of its terms only (their min and max
-say which), instead of every text.
+A query reads the row groups of its terms only (their least and greatest terms say which), never a text.  A token
+array becomes postings inside its own row, so the only shuffle of a build is the sort by term; postings of a frequent
+term are dealt over several files by row number.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.functions import analysis
-from facetry.operators.text import idf
 from facetry.schema import SearchSchema
 
+POSTING = "field string, term string, _doc long, tf int, dl int, head boolean, positions array<int>"
+#: Tokens that are grouped at a time in one task.
+BATCH_TOKENS = 500_000
+ROW_GROUP_BYTES = 8 << 20
 
-def postings(docs: DataFrame, schema: SearchSchema, fields: list[str]) -> DataFrame:
-    """``field, term, _doc, tf, dl, positions``; a row's tokens are grouped inside the row, without a shuffle."""
-    parts = []
-    for name in fields:
-        tokens = F.col("tokens")
-        rows = docs.select("_doc", analysis.field_tokens(schema.get(name)).alias("tokens")).filter(F.size("tokens") > 0)
-        rows = rows.withColumn("dl", F.size(F.filter(tokens, lambda t: t.isNotNull())))
-        each = rows.select("_doc", "dl", F.posexplode("tokens").alias("at", "term")).filter("term is not null")
-        parts.append(each.groupBy("_doc", "dl", "term").agg(F.sort_array(F.collect_list("at")).alias("positions")).withColumn("field", F.lit(name)))
-    return reduce(DataFrame.unionByName, parts).select("field", "term", "_doc", F.size("positions").alias("tf"), "dl", "positions")
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BATCH_TOKENS, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
 
-def statistics(docs: DataFrame, schema: SearchSchema, fields: list[str]) -> DataFrame:
-    """``field, n, mean`` over rows that have the field."""
-    parts = [docs.select(F.lit(n).alias("field"), F.size(F.filter(analysis.field_tokens(schema.get(n)), lambda t: t.isNotNull())).alias("dl")) for n in fields]
-    return reduce(DataFrame.unionByName, parts).filter("dl > 0").groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
 
+def _grouped(batches):
+    """Rows (_doc, field, tokens) to one row for each of their terms; null tokens hold places and are no terms."""
+    for whole in batches:
+        for batch in _slices(whole):
+            lengths = pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = batch.column(2).flatten()
+            kept = np.flatnonzero(flat.is_valid().to_numpy(zero_copy_only=False))
+            if not len(kept):
+                continue
+            words = flat.take(pa.array(kept)).dictionary_encode()
+            code = words.indices.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), lengths)[kept]
+            at = kept - np.repeat(np.cumsum(lengths) - lengths, lengths)[kept]
+            by = np.argsort(row * len(words.dictionary) + code, kind="stable")
+            row, code, at = row[by], code[by], at[by]
+            first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])))
+            bounds = np.append(first, len(row))
+            of, n = row[first], np.bincount(row, minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(1).take(pa.array(of)), words.dictionary.take(pa.array(code[first])), batch.column(0).take(pa.array(of)),
+                    pa.array(np.diff(bounds).astype(np.int32)), pa.array(n[of].astype(np.int32)), pa.array(np.append(True, of[1:] != of[:-1])),
+                    pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(at.astype(np.int32))),
+                ],
+                names=["field", "term", "_doc", "tf", "dl", "head", "positions"],
+            )
 
-def write(docs: DataFrame, schema: SearchSchema, fields: list[str], path: str, parts: int = 200) -> None:
-    table = postings(docs, schema, fields).repartitionByRange(parts, "field", "term", "_doc").sortWithinPartitions("field", "term", "_doc")
-    table.write.mode("overwrite").parquet(f"{path}/postings")
-    statistics(docs, schema, fields).write.mode("overwrite").parquet(f"{path}/statistics")
 
+def postings(docs: DataFrame, schema: SearchSchema) -> DataFrame:
+    """One row for each field, term and row: frequency, length of the field, places, and whether it is the row's first term."""
+    each = F.explode(F.array(*[F.struct(F.lit(f.name).alias("field"), analysis.field_tokens(f).alias("tokens")) for f in schema.searchable_text()])).alias("x")
+    return docs.select(F.col("_doc").cast("long").alias("_doc"), each).select("_doc", "x.field", "x.tokens").mapInArrow(_grouped, POSTING)
 
-def search(index: DataFrame, stats: DataFrame, schema: SearchSchema, fields: list[str], terms: list[str]) -> DataFrame:
-    """``_doc, _score`` of rows with any of the terms: the sum of BM25 over terms and fields."""
-    hits = index.filter(F.col("field").isin(fields) & F.col("term").isin(terms)).select("field", "term", "_doc", "tf", "dl")
-    frequency = hits.groupBy("field", "term").agg(F.count("*").alias("df"))  # one row for each field and query term
-    scored = hits.join(F.broadcast(frequency), ["field", "term"]).join(F.broadcast(stats), "field")
-    points = idf(F.col("n"), F.col("df")) * F.col("tf") / (F.col("tf") + schema.k1 * (1 - schema.b + schema.b * F.col("dl") / F.col("mean")))
-    return scored.groupBy("_doc").agg(F.sum(points).alias("_score"))
+
+def write(docs: DataFrame, schema: SearchSchema, path: str, parts: int | None = None) -> None:
+    """Builds the index of all searchable text fields below ``path``.
+
+    Postings are staged first, so that texts are not analysed twice (once to find the ranges of terms).
+    """
+    spark = docs.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    postings(docs, schema).write.mode("overwrite").parquet(f"{path}/staged")
+    staged = spark.read.schema(POSTING).parquet(f"{path}/staged")
+    table = staged.repartitionByRange(parts, "field", "term", "_doc").sortWithinPartitions("field", "term", "_doc")
+    table.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{path}/postings")
+    terms = staged.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sum(F.col("head").cast("long")).alias("heads"))
+    terms = terms.repartitionByRange(max(1, parts // 4), "field", "term").sortWithinPartitions("field", "term")
+    terms.write.mode("overwrite").parquet(f"{path}/terms")
+    spark.read.parquet(f"{path}/terms").groupBy("field").agg(F.sum("heads").alias("n"), F.sum("cf").alias("total")).coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/staged")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@dataclass
+class TextIndex:
+    """Postings and dictionary of one or several builds; ``lengths`` has for each field its rows and their tokens.
+
+    ``live`` says that every row of the index is a row of the collection.  Where it is false, rows that were replaced
+    are left out of results, but count in the statistics until their segments are merged.
+    """
+
+    postings: DataFrame
+    terms: DataFrame
+    lengths: dict[str, tuple[int, int]]
+    live: bool = True
+
+    @classmethod
+    def open(cls, spark: SparkSession, paths: list[str], live: bool = True) -> TextIndex:
+        read = lambda name, schema: spark.read.schema(schema).parquet(*[f"{p}/{name}" for p in paths])
+        fields = read("fields", "field string, n long, total long").groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("t")).collect()
+        return cls(read("postings", POSTING), read("terms", "field string, term string, df long"), {r["field"]: (r["n"], r["t"]) for r in fields}, live)
+
+    def frequencies(self, wanted: set[tuple[str, str]]) -> dict[tuple[str, str], int]:
+        """In how many rows the field has the term."""
+        if not wanted:
+            return {}
+        rows = self.terms.filter(among(wanted)).groupBy("field", "term").agg(F.sum("df").alias("df")).collect()  # as many as wanted
+        return {(r["field"], r["term"]): r["df"] for r in rows}
+
+    def mean_length(self, name: str) -> float:
+        n, total = self.lengths.get(name, (0, 0))
+        return total / n if n else 1.0
+
+
+def among(wanted: set[tuple[str, str]]):
+    """A test of ``field`` and ``term`` that reaches the scan."""
+    by_field: dict[str, list[str]] = {}
+    for name, term in sorted(wanted):
+        by_field.setdefault(name, []).append(term)
+    test = F.lit(False)
+    for k, (name, terms) in enumerate(by_field.items()):
+        here = (F.col("field") == name) & F.col("term").isin(terms)
+        test = test | here if k else here
+    return test
