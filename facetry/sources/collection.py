@@ -1,13 +1,23 @@
-"""Collections: versioned Parquet with a schema beside it, and a registry of open ones.
+"""Collections: immutable segments of rows, numbered commits that list them, and a registry of open collections.
 
-A version is a directory that never changes.  A write makes the next one and then moves the pointer, so readers keep
-the version they pinned, and a failed write leaves nothing that a reader sees.  Files are reached through Spark's own
-file system layer, so a collection can lie in any store that Spark writes to.
+A write adds a segment of its own rows (with their text index) and a table of tombstones: for each key that it touches,
+the number below which rows of that key are dead.  So a write costs what its batch costs, rows and operations may
+arrive in any order, and the last one by number counts.  A commit is one small file that names all segments, the
+schema and the next row number; it appears whole, and only if no other writer took its number first.  A writer that lost the race
+takes the next number on top of the other's commit, so no write is lost and none waits for a lock.
+
+Readers pin a commit and see nothing else.  ``compact`` merges segments and leaves dead rows out.  Files are reached
+through Spark's own file system layer, so a collection can lie in any store that Spark writes to.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import time
+import uuid
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +27,7 @@ from facetry.operators.filters import combine
 from facetry.plans import search
 from facetry.request import SearchRequest
 from facetry.schema import SearchSchema
-from facetry.sources import ingest
+from facetry.sources import ingest, postings
 
 NAME = re.compile(r"^[a-zA-Z0-9_-]{1,64}$")
 READ, WRITE, READ_WRITE = "READ", "WRITE", "READ_WRITE"
@@ -40,14 +50,22 @@ class Files:
     def make(self, p: str) -> None:
         self._fs.mkdirs(self._path(p))
 
-    def write(self, p: str, text: str) -> None:
-        """The file appears whole: it is written beside and moved."""
-        out = self._fs.create(self._path(p + ".tmp"), True)
+    def create_new(self, p: str, text: str) -> bool:
+        """Writes a file that appears whole; False if there is one of this name already."""
+        beside = f"{p}.{uuid.uuid4().hex}.tmp"
+        out = self._fs.create(self._path(beside), True)
         out.write(text.encode())
         out.close()
-        if self._fs.exists(self._path(p)):
-            self._fs.delete(self._path(p), False)
-        self._fs.rename(self._path(p + ".tmp"), self._path(p))
+        try:
+            if self._fs.getUri().getScheme() == "file":  # where renaming would replace a file
+                try:
+                    os.link(self._path(beside).toUri().getPath(), self._path(p).toUri().getPath())
+                    return True
+                except FileExistsError:
+                    return False
+            return not self.exists(p) and self._fs.rename(self._path(beside), self._path(p))
+        finally:
+            self._fs.delete(self._path(beside), False)
 
     def read(self, p: str) -> str:
         stream = self._fs.open(self._path(p))
@@ -62,133 +80,301 @@ class Files:
     def delete(self, p: str) -> None:
         self._fs.delete(self._path(p), True)
 
+    def age_ms(self, p: str, now_ms: int) -> int:
+        return now_ms - self._fs.getFileStatus(self._path(p)).getModificationTime()
+
+    def size(self, p: str) -> int:
+        return self._fs.getContentSummary(self._path(p)).getLength()
+
+
+class Conflict(RuntimeError):
+    """Another writer's commit came first, and this change does not fit on top of it."""
+
+
+@dataclass(frozen=True)
+class Commit:
+    """What a version of a collection consists of."""
+
+    n: int
+    next_seq: int
+    schema: str
+    segments: tuple[str, ...] = ()
+    tombstones: tuple[str, ...] = ()
+    clean: bool = True  # no row of the segments is dead
+    epochs: dict[str, int] = field(default_factory=dict)  # the last batch of each stream
+
+    @classmethod
+    def from_json(cls, text: str) -> Commit:
+        raw = json.loads(text)
+        return cls(**{**raw, "segments": tuple(raw["segments"]), "tombstones": tuple(raw["tombstones"])})
+
+
+#: Segments above which a write is followed by a compaction.
+MAX_SEGMENTS = 64
+FILE_BYTES = 128 << 20
+
 
 class Collection:
-    def __init__(self, spark: SparkSession, root: str, schema: SearchSchema, mode: str = READ_WRITE):
-        self.spark, self.root, self.schema, self.mode = spark, root, schema, mode
+    def __init__(self, spark: SparkSession, root: str, schema: SearchSchema | None, mode: str = READ_WRITE):
+        self.spark, self.root, self.mode = spark, root, mode
         self.files = Files(spark, root)
+        self._given = schema
+        self._index: tuple[int, postings.TextIndex] | None = None
         self.refresh()
 
     @classmethod
     def create(cls, spark: SparkSession, root: str, schema: SearchSchema, mode: str = READ_WRITE) -> Collection:
         files = Files(spark, root)
-        files.make(root)
-        files.write(f"{root}/schema.json", schema.to_json())
-        spark.createDataFrame([], cls.struct(schema)).write.parquet(f"{root}/v0")
-        files.write(f"{root}/_CURRENT", "0 0")
-        return cls(spark, root, schema, mode)
+        files.make(f"{root}/_commits")
+        if not files.create_new(cls._commit_path(root, 0), json.dumps(asdict(Commit(0, 0, schema.to_json())))):
+            raise ValueError(f"There is a collection in {root} already")
+        return cls(spark, root, None, mode)
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, schema: SearchSchema | None = None, mode: str = READ_WRITE) -> Collection:
-        kept = SearchSchema.from_json(Files(spark, root).read(f"{root}/schema.json"))
-        return cls(spark, root, schema or kept, mode)
+        return cls(spark, root, schema, mode)
+
+    @staticmethod
+    def exists(spark: SparkSession, root: str) -> bool:
+        return Files(spark, root).exists(f"{root}/_commits")
 
     @staticmethod
     def struct(schema: SearchSchema) -> T.StructType:
         return T.StructType(schema.struct().fields + [T.StructField("_src", T.StringType()), T.StructField("_doc", T.LongType())])
 
-    # ---- versions ----
+    # ---- commits ----
+
+    @staticmethod
+    def _commit_path(root: str, n: int) -> str:
+        return f"{root}/_commits/{n:012d}.json"
+
+    def _commits(self) -> list[int]:
+        return [int(x[:12]) for x in self.files.names(f"{self.root}/_commits") if re.fullmatch(r"\d{12}\.json", x)]
+
+    def latest(self) -> Commit:
+        return Commit.from_json(self.files.read(self._commit_path(self.root, max(self._commits()))))
 
     def current(self) -> tuple[int, int]:
-        """The version that the pointer names, and the next row number."""
-        version, seq = self.files.read(f"{self.root}/_CURRENT").split()
-        return int(version), int(seq)
+        """The number of the last commit, and the next row number."""
+        last = self.latest()
+        return last.n, last.next_seq
 
     def refresh(self) -> None:
-        """Pins the current version."""
-        self.version, self.next_seq = self.current()
-        self.df = self.spark.read.schema(self.struct(self.schema)).parquet(f"{self.root}/v{self.version}")
-
-    def commit(self, df: DataFrame, next_seq: int, refresh: int = WAIT_FOR) -> None:
-        self._may_write()
-        version = self.current()[0] + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/v{version}")  # what a failed try left there goes
-        self.files.write(f"{self.root}/_CURRENT", f"{version} {next_seq}")
+        """Pins the last commit."""
+        self.commit = self.latest()
+        self.schema = self._given or SearchSchema.from_json(self.commit.schema)
+        self.df = self._rows(self.commit, self.schema)
+
+    def _rows(self, commit: Commit, schema: SearchSchema) -> DataFrame:
+        """The live rows of a commit."""
+        if not commit.segments:
+            return self.spark.createDataFrame([], self.struct(schema))
+        rows = self.spark.read.schema(self.struct(schema)).parquet(*[f"{self.root}/{s}/rows" for s in commit.segments])
+        if commit.clean or not commit.tombstones:
+            return rows
+        dead = self._dead(commit)
+        return rows.join(dead, (rows[schema.key] == dead["__key"]) & (rows["_doc"] < dead["__below"]), "left_anti")
+
+    def _dead(self, commit: Commit) -> DataFrame:
+        table = self.spark.read.schema("__key string, __below long").parquet(*[f"{self.root}/{t}" for t in commit.tombstones])
+        return table.groupBy("__key").agg(F.max("__below").alias("__below"))
+
+    def _publish(self, change, refresh: int = WAIT_FOR) -> Commit:
+        """Commits ``change`` of the last commit; where another writer is first, of theirs."""
+        while True:
+            last = self.latest()
+            new = replace(change(last), n=last.n + 1)
+            if self.files.create_new(self._commit_path(self.root, new.n), json.dumps(asdict(new))):
+                break
         if refresh != NONE:
             self.refresh()
-
-    def _latest(self) -> DataFrame:
-        return self.spark.read.schema(self.struct(self.schema)).parquet(f"{self.root}/v{self.current()[0]}")
-
-    def vacuum(self, keep: int = 2) -> list[str]:
-        """Removes versions that are older than the last ``keep`` and not pinned here."""
-        version = self.current()[0]
-        old = [n for n in self.files.names(self.root) if re.fullmatch(r"v\d+", n) and int(n[1:]) <= version - keep and int(n[1:]) != self.version]
-        for n in old:
-            self.files.delete(f"{self.root}/{n}")
-        return old
+        return new
 
     def _may_write(self) -> None:
         if self.mode == READ:
             raise RuntimeError("The collection is open for reading only")
 
+    def vacuum(self, keep: int = 2, retain_ms: int = 3_600_000, now_ms: int | None = None) -> list[str]:
+        """Removes commits that are older than the last ``keep``, not pinned here, and older than ``retain_ms`` (which gives
+        readers elsewhere that time), and the files that no remaining commit names."""
+        now_ms = int(time.time() * 1000) if now_ms is None else now_ms
+        numbers = self._commits()
+        old = [n for n in numbers[:-keep] if n != self.commit.n and self.files.age_ms(self._commit_path(self.root, n), now_ms) >= retain_ms]
+        left = [Commit.from_json(self.files.read(self._commit_path(self.root, n))) for n in numbers if n not in old]
+        used = {x for c in left for x in c.segments + c.tombstones}
+        gone = [x for x in self.files.names(self.root) if re.fullmatch(r"[st]-[0-9a-f]{32}", x) and x not in used and self.files.age_ms(f"{self.root}/{x}", now_ms) >= retain_ms]
+        for n in old:
+            self.files.delete(self._commit_path(self.root, n))
+        for x in gone:
+            self.files.delete(f"{self.root}/{x}")
+        return gone
+
     # ---- writing ----
 
+    def _write_segment(self, rows: DataFrame, schema: SearchSchema) -> str:
+        name = f"s-{uuid.uuid4().hex}"
+        rows.select(*self.struct(schema).names).write.parquet(f"{self.root}/{name}/rows")
+        if schema.searchable_text():
+            written = self.spark.read.schema(self.struct(schema)).parquet(f"{self.root}/{name}/rows")
+            postings.write(written, schema, f"{self.root}/{name}/index")
+        return name
+
+    def _write_tombstones(self, keys: DataFrame) -> str:
+        name = f"t-{uuid.uuid4().hex}"
+        keys.toDF("__key", "__below").write.parquet(f"{self.root}/{name}")
+        return name
+
     def index(self, items: list[dict], now_ms: int, refresh: int = WAIT_FOR) -> list[str | None]:
         """Applies a request's items in order; returns for each item None or why it was rejected.
 
         Items are dicts with ``document`` and optionally ``action, tenant, tier, ttl_seconds``.
         """
-        seq = self.current()[1]
-        rows = [
-            (seq + i, x.get("action", ingest.UPDATE), x["document"], x.get("tenant"), x.get("tier"), x.get("ttl_seconds"), now_ms)
-            for i, x in enumerate(items)
-        ]
-        return self.apply(self.spark.createDataFrame(rows, ingest.OPERATION), seq + len(rows), refresh)
-
-    def apply(self, ops: DataFrame, next_seq: int, refresh: int = WAIT_FOR, report: bool = True) -> list[str | None]:
+        while True:
+            seq = self.current()[1]
+            rows = [
+                (seq + i, x.get("action", ingest.UPDATE), x["document"], x.get("tenant"), x.get("tier"), x.get("ttl_seconds"), now_ms)
+                for i, x in enumerate(items)
+            ]
+            try:
+                return self.apply(self.spark.createDataFrame(rows, ingest.OPERATION), seq + len(rows), refresh, first_seq=seq)
+            except Conflict:  # another writer took these numbers
+                continue
+
+    def apply(self, ops: DataFrame, next_seq: int, refresh: int = WAIT_FOR, report: bool = True, first_seq: int | None = None, epoch: tuple[str, int] | None = None) -> list[str | None]:
+        """Applies operations with numbers of their own, in any order; the last one of each key by number counts.
+
+        ``first_seq`` says that the numbers were taken from the last commit: if that is not so any more, Conflict is raised.  ``epoch`` names
+        a stream and its batch; a batch that is committed already changes nothing.
+        """
         self._may_write()
-        parsed = ingest.parse(ops, self.schema)
+        schema = self.schema
+        parsed = ingest.parse(ops, schema)
         if report and (bad := ingest.whole_request_error(parsed).select("error").first()):
             raise ValueError(bad["error"])
-        self.commit(ingest.merge(self._latest(), parsed, self.schema), next_seq, refresh)
+        base = self.latest()
+        if epoch and base.epochs.get(epoch[0], -1) >= epoch[1]:
+            return []
+        last = ingest.latest(parsed, schema).persist()
+        try:
+            rows = ingest.stamped(last.filter(F.col("action") == ingest.UPDATE), schema)
+            if first_seq is None and base.segments:  # numbers below the next one may be a replay of rows that are here
+                least = last.agg(F.min("seq")).first()[0]
+                if least is not None and least < base.next_seq:
+                    here = self._rows(base, schema).select(F.col(schema.key).alias("__key"), F.col("_doc").alias("__doc"))
+                    rows = rows.join(here, (rows[schema.key] == here["__key"]) & (rows["_doc"] == here["__doc"]), "left_anti")
+            segment, dead = self._write_segment(rows, schema), self._write_tombstones(last.select(schema.key, "seq"))
+        finally:
+            last.unpersist()
+
+        def change(c: Commit) -> Commit:
+            if c.schema != base.schema or (first_seq is not None and c.next_seq != first_seq):
+                raise Conflict("numbers or schema changed")
+            seen = c.epochs | {epoch[0]: epoch[1]} if epoch else c.epochs
+            return replace(c, next_seq=max(c.next_seq, next_seq), segments=(*c.segments, segment), tombstones=(*c.tombstones, dead), clean=not c.segments, epochs=seen)
+
+        try:
+            done = self._publish(change, refresh)
+        except Conflict:
+            self.files.delete(f"{self.root}/{segment}")
+            self.files.delete(f"{self.root}/{dead}")
+            raise
+        if len(done.segments) > MAX_SEGMENTS:
+            self.compact(refresh=refresh)
         return [r["error"] for r in parsed.select("seq", "error").orderBy("seq").collect()] if report else []
 
+    def load(self, rows: DataFrame, next_seq: int, refresh: int = WAIT_FOR) -> None:
+        """Adds typed rows with one row for each key, as of their ``_doc``."""
+        self._may_write()
+        segment = self._write_segment(rows, self.schema)
+        written = self.spark.read.schema(self.struct(self.schema)).parquet(f"{self.root}/{segment}/rows")
+        dead = self._write_tombstones(written.select(self.schema.key, "_doc"))
+        self._publish(lambda c: replace(c, next_seq=max(c.next_seq, next_seq), segments=(*c.segments, segment), tombstones=(*c.tombstones, dead), clean=not c.segments), refresh)
+
+    def _kill(self, rows: DataFrame) -> int:
+        """Deletes these versions of rows, not later ones of their keys; how many."""
+        dead = self._write_tombstones(rows.select(self.schema.key, F.col("_doc") + 1))
+        n = self.spark.read.parquet(f"{self.root}/{dead}").count()
+        if n:
+            self._publish(lambda c: replace(c, tombstones=(*c.tombstones, dead), clean=False))
+        else:
+            self.files.delete(f"{self.root}/{dead}")
+        return n
+
     def delete_by_query(self, filters, tenant: str = "") -> int:
         """Deletes what the filters match; how many rows that were."""
+        self._may_write()
         if not filters:
             raise ValueError("At least one filter is needed")
-        before = self._latest()
-        predicate = combine(self.schema, filters, tenant)
-        n = before.filter(predicate).count()
-        self.commit(ingest.delete_where(before, predicate), self.current()[1])
-        return n
+        return self._kill(self._rows(self.latest(), self.schema).filter(combine(self.schema, filters, tenant)))
 
     def sweep(self, now_ms: int) -> int:
-        if not self.schema.ttl_enabled:
-            return 0
-        before = self._latest()
-        n = before.count() - ingest.sweep(before, now_ms).count()
-        if n:
-            self.commit(ingest.sweep(before, now_ms), self.current()[1])
-        return n
+        """Deletes what has expired; how many rows that were."""
+        self._may_write()
+        return self._kill(ingest.expired(self._rows(self.latest(), self.schema), now_ms)) if self.schema.ttl_enabled else 0
+
+    def compact(self, files: int | None = None, refresh: int = WAIT_FOR) -> tuple[int, int]:
+        """Merges all segments into one without dead rows, in so many files or by size; how many segments there were and are.
 
-    def compact(self, max_segments: int = 1) -> tuple[int, int]:
-        """Rewrites the version in fewer files; how many there were and are."""
-        before = len(self._latest().inputFiles())
-        self.commit(self._latest().repartition(max(1, max_segments)).sortWithinPartitions("_doc"), self.current()[1])
-        return before, len(self.df.inputFiles())
+        Tombstones are merged too and stay, so that an operation that comes late still loses to a later one.
+        """
+        self._may_write()
+        base = self.latest()
+        if not base.segments:
+            return 0, 0
+        size = sum(self.files.size(f"{self.root}/{s}/rows") for s in base.segments)
+        rows = self._rows(base, self.schema).repartitionByRange(files or max(1, size // FILE_BYTES), "_doc").sortWithinPartitions("_doc")
+        segment, dead = self._write_segment(rows, self.schema), self._write_tombstones(self._dead(base))
+
+        def change(c: Commit) -> Commit:
+            if not set(base.segments) <= set(c.segments) or c.schema != base.schema:
+                raise Conflict("another writer has merged these segments")
+            more = [s for s in c.segments if s not in base.segments], [t for t in c.tombstones if t not in base.tombstones]
+            return replace(c, segments=(segment, *more[0]), tombstones=(dead, *more[1]), clean=not any(more))
+
+        done = self._publish(change, refresh)
+        return len(base.segments), len(done.segments)
 
     def update_schema(self, schema: SearchSchema) -> None:
-        """Swaps the schema and projects the documents anew from their JSON."""
+        """Swaps the schema and projects the documents anew from their JSON, in one commit."""
         self._may_write()
-        old = self._latest()
-        system = [n for n, _ in _system(self.schema)]
-        ops = old.select(F.col("_doc").alias("seq"), F.lit(ingest.UPDATE).alias("action"), F.col("_src").alias("document"), *system)
-        typed = ingest.parse(ops, schema)
-        missing = [F.lit(None).cast(t).alias(n) for n, t in _system(schema) if n not in system]
-        rows = typed.select(*[f.name for f in schema.fields], *[n for n, _ in _system(schema) if n in system], *missing, "_src", F.col("seq").alias("_doc"))
-        rows = rows.select(*[f.name for f in self.struct(schema)])
-        self.schema = schema
-        self.commit(rows, self.current()[1])
-        self.files.write(f"{self.root}/schema.json", schema.to_json())
+        while True:
+            base = self.latest()
+            old_schema = SearchSchema.from_json(base.schema)
+            old = self._rows(base, old_schema)
+            system = [n for n, _ in _system(old_schema)]
+            ops = old.select(F.col("_doc").alias("seq"), F.lit(ingest.UPDATE).alias("action"), F.col("_src").alias("document"), *system)
+            typed = ingest.parse(ops, schema)
+            missing = [F.lit(None).cast(t).alias(n) for n, t in _system(schema) if n not in system]
+            rows = typed.select(*[f.name for f in schema.fields], *[n for n, _ in _system(schema) if n in system], *missing, "_src", F.col("seq").alias("_doc"))
+            segments = (self._write_segment(rows, schema),) if base.segments else ()
+
+            def change(c: Commit, base=base, segments=segments) -> Commit:
+                if c.n != base.n:
+                    raise Conflict("the collection has changed")
+                return replace(c, schema=schema.to_json(), segments=segments, clean=True)
+
+            try:
+                self._given = None
+                self._publish(change)
+                return
+            except Conflict:
+                continue
 
     # ---- reading ----
 
+    def text_index(self) -> postings.TextIndex | None:
+        """The index of the pinned commit; rows that a later write replaced count in its statistics until ``compact``."""
+        if not self.schema.searchable_text() or not self.commit.segments:
+            return None
+        if self._index is None or self._index[0] != self.commit.n:
+            paths = [f"{self.root}/{s}/index" for s in self.commit.segments]
+            self._index = self.commit.n, postings.TextIndex.open(self.spark, paths, live=self.commit.clean)
+        return self._index[1]
+
     def search(self, request: SearchRequest) -> search.SearchResult:
         if self.mode == WRITE:
             raise RuntimeError("The collection is open for writing only")
-        return search.run(self.df, self.schema, request)
+        return search.run(self.df, self.schema, request, index=self.text_index() if request.has_text() else None)
 
     def count(self, filters=(), tenant: str = "") -> int:
         return search.count(self.df, self.schema, filters, tenant).first()["count"]
@@ -197,7 +383,7 @@ class Collection:
         return [r["_src"] for r in search.lookup(self.df, self.schema, keys).select("_src").collect()] if keys else []
 
     def health(self) -> dict:
-        return {"writer_open": self.mode != READ, "searcher_available": self.mode != WRITE, "doc_count": self.df.count(), "segment_count": len(self.df.inputFiles())}
+        return {"writer_open": self.mode != READ, "searcher_available": self.mode != WRITE, "doc_count": self.df.count(), "segment_count": len(self.commit.segments)}
 
 
 def _system(schema: SearchSchema):
@@ -224,7 +410,7 @@ class Registry:
             raise ValueError("A collection needs a name")
         name = self.name(name)
         path = f"{self.root}/{name}"
-        if name in self._open or Files(self.spark, self.root).exists(f"{path}/_CURRENT"):
+        if name in self._open or Collection.exists(self.spark, path):
             raise ValueError(f"Collection {name} exists already")
         try:
             schema = SearchSchema.from_json(schema_json)
@@ -236,7 +422,7 @@ class Registry:
     def open(self, name: str, schema_json: str = "", mode: str = READ_WRITE) -> Collection:
         name = self.name(name)
         if name not in self._open:
-            if not Files(self.spark, self.root).exists(f"{self.root}/{name}/_CURRENT"):
+            if not Collection.exists(self.spark, f"{self.root}/{name}"):
                 raise ValueError(f"Unknown collection: {name}")
             self._open[name] = Collection.open(self.spark, f"{self.root}/{name}", SearchSchema.from_json(schema_json) if schema_json else None, mode)
         return self._open[name]

@@ -95,21 +95,35 @@ def stamped(rows: DataFrame, schema: SearchSchema) -> DataFrame:
 
 
 def merge(current: DataFrame, parsed: DataFrame, schema: SearchSchema) -> DataFrame:
-    """The collection after the operations: replaced and deleted keys leave, the last updates come in."""
+    """The rows after the operations: a key's rows that are older than its last operation leave, that update comes in.
+
+    An operation that is older than the row it meets changes nothing.
+    """
     last = latest(parsed, schema)
-    gone = last.select(F.col(schema.key).alias("__gone"))
-    kept = current.join(gone, current[schema.key] == F.col("__gone"), "left_anti")
-    return kept.unionByName(stamped(last.filter(F.col("action") == UPDATE), schema).select(*current.columns))
+    touched = last.select(F.col(schema.key).alias("__key"), F.col("seq").alias("__seq"))
+    kept = current.join(touched, (current[schema.key] == F.col("__key")) & (current["_doc"] < F.col("__seq")), "left_anti")
+    known = current.select(F.col(schema.key).alias("__key"), F.col("_doc").alias("__doc"))
+    new = last.filter(F.col("action") == UPDATE)
+    new = new.join(known, (new[schema.key] == F.col("__key")) & (F.col("__doc") >= new["seq"]), "left_anti")
+    return kept.unionByName(stamped(new, schema).select(*current.columns))
 
 
 def delete_where(current: DataFrame, predicate: Column) -> DataFrame:
     return current.filter(~F.coalesce(predicate, F.lit(False)))
 
 
+def _has_expired(now_ms: int) -> Column:
+    at = F.coalesce(F.col("_ttl_expires_at"), F.lit(0))  # 0 is never
+    return (at >= 1) & (at <= now_ms)
+
+
+def expired(current: DataFrame, now_ms: int) -> DataFrame:
+    return current.filter(_has_expired(now_ms))
+
+
 def sweep(current: DataFrame, now_ms: int) -> DataFrame:
-    """Without the rows that have expired; those that never do have 0."""
-    at = F.coalesce(F.col("_ttl_expires_at"), F.lit(0))
-    return current.filter((at < 1) | (at > now_ms))
+    """Without the rows that have expired."""
+    return current.filter(~_has_expired(now_ms))
 
 
 def upsert_rows(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -37,7 +37,7 @@ def merge_batches(ops: DataFrame, collection: Collection, checkpoint: str, sweep
         top = batch.agg(F.max("seq")).first()[0]
         if top is None:
             return
-        collection.apply(batch, max(collection.current()[1], top + 1), report=False)
+        collection.apply(batch, top + 1, report=False, epoch=(checkpoint, epoch))
         if sweep_at is not None:
             collection.sweep(sweep_at(epoch))
 
