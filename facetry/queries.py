@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetry import request as R
@@ -17,7 +17,7 @@ from facetry.plans import search
 from facetry.request import SearchRequest
 from facetry.schema import Field, SearchSchema
 from facetry.sources import ingest, postings
-from facetry.sources.collection import Collection
+from facetry.sources.collection import Collection, Files
 from facetry.streaming import upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +136,32 @@ QUERY_VECTOR = tuple(((i * 7) % 13 - 6) / 10 for i in range(64))
 _QV = "[" + ", ".join(f"{x}::DOUBLE" for x in QUERY_VECTOR) + "]"
 
 
+# ---- scratch folders and text indexes ----
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A folder that all executors share; only a local master may go without one that the session names."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="facetry-")
+    return f"{base}/facetry-{uuid.uuid4().hex}"
+
+
+_INDEXES: dict[tuple, tuple[str, postings.TextIndex]] = {}
+
+
+def text_index(spark: SparkSession, d: str, source, schema: SearchSchema) -> postings.TextIndex:
+    """The persisted index of a table, built once for a session, as a collection builds it once for a version."""
+    key = (spark.sparkContext.applicationId, d, source.__name__)
+    if key not in _INDEXES or not Files(spark, _INDEXES[key][0]).exists(f"{_INDEXES[key][0]}/fields"):
+        path = _scratch(spark)
+        postings.write(source(spark, d), schema, path)
+        _INDEXES[key] = path, postings.TextIndex.open(spark, [path])
+    return _INDEXES[key][1]
+
+
 # ---- filters, scans and counts ----
 
 
@@ -152,11 +178,9 @@ def _page(source, schema: SearchSchema, r: SearchRequest, *columns: str, digits:
     """One page: ids, rounded scores, and other columns of the rows."""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        matched = search.matched_rows(source(spark, d), schema, r)
-        page = paging.page(matched, schema, r.top_k, r.offset, r.sort, r.search_after)
-        if r.min_score > 0 and not r.sort:
-            page = page.filter(F.col("_score") >= r.min_score)
-        return page.select(F.col("_doc").alias("doc"), F.round("_score", digits).alias("score"), *columns)
+        index = text_index(spark, d, source, schema) if r.has_text() else None
+        rows = search.plan(source(spark, d), schema, r, index).rows
+        return rows.select(F.col("_doc").alias("doc"), F.round("_score", digits).alias("score"), *columns)
 
     return query
 
@@ -243,7 +267,6 @@ for _name, _spec, _sql in (
     _add(_name, _facet(part, PART, _spec), _sql)
 
 _add("facet_filtered", _facet(part, PART, R.Facet("brand", 5), R.Range("price", "1200")), _terms_sql(PART_SQL, "brand", "count DESC, value", 5, "price >= 1200"))
-_add("facet_multi", lambda s, d: facet_ops.term_facets_at_once(part(s, d), PART, ["brand", "size"]), f"SELECT 'brand' AS field, brand AS value, count(*) AS count FROM {PART_SQL} GROUP BY brand UNION ALL SELECT 'size', CAST(size AS VARCHAR), count(*) FROM {PART_SQL} GROUP BY size")
 _add("facet_collection", _facet(baskets, BASKETS, R.Facet("flags")), f"SELECT f AS value, count(*) AS count FROM (SELECT unnest(list_distinct(flags)) AS f FROM {BASKETS_SQL}) GROUP BY f")
 _add("facet_collection_numeric", _facet(baskets, BASKETS, R.Facet("quantities", 7)), f"SELECT CAST(q AS VARCHAR) AS value, count(*) AS count FROM (SELECT unnest(quantities) AS q FROM {BASKETS_SQL}) GROUP BY q ORDER BY count(*) DESC, q LIMIT 7")
 
@@ -258,6 +281,12 @@ def _range_sql(rows: str, c: str, width: int, text: str) -> str:
 _ALL = ("value", "count", "from", "to")
 _add("facet_range", _facet(part, PART, R.Facet("price", interval=100), columns=_ALL), _range_sql(PART_SQL, "price", 100, "CAST(CAST({} AS DOUBLE) AS VARCHAR)"))
 _add("facet_range_boundary", _facet(part, PART, R.Facet("size", interval=10), columns=_ALL), _range_sql(PART_SQL, "size", 10, "CAST(CAST({} AS BIGINT) AS VARCHAR)"))
+_SEVERAL = (R.Facet("brand", 5), R.Facet("size", 4, "VALUE_DESC"), R.Facet("price", interval=200), R.Facet("kind", 3, "COUNT_ASC"))
+_add("facet_multi", lambda s, d: facet_ops.facets(part(s, d), PART, _SEVERAL).select("field", "value", "count"), f"""
+    SELECT 'brand' AS field, * FROM ({_terms_sql(PART_SQL, "brand", "count DESC, value", 5)}) UNION ALL
+    SELECT 'size', CAST(size AS VARCHAR), n FROM (SELECT size, count(*) AS n FROM {PART_SQL} GROUP BY size ORDER BY size DESC LIMIT 4) UNION ALL
+    SELECT 'kind', * FROM ({_terms_sql(PART_SQL, "kind", "count, value", 3)}) UNION ALL
+    SELECT 'price', value, count FROM ({_range_sql(PART_SQL, "price", 200, "CAST(CAST({} AS DOUBLE) AS VARCHAR)")})""")
 for _unit, _format, _count in (("MINUTE", "%Y-%m-%dT%H:%MZ", 20), ("HOUR", "%Y-%m-%dT%H:%MZ", 30), ("DAY", "%Y-%m-%d", 0), ("MONTH", "%Y-%m", 0), ("YEAR", "%Y", 0)):
     _source, _schema, _rows = (events, EVENTS, EVENTS_SQL) if _unit in ("MINUTE", "HOUR", "DAY") else (orders, ORDERS, ORDERS_SQL)
     _add(
@@ -287,20 +316,14 @@ _add("project_source_fields", _projected, f"SELECT id AS doc_id, props, round(va
 # ---- analysis ----
 
 
-def _analysed(name: str, most: int | None = None) -> Query:
-    """Counts of all tokens, or of the ``most`` frequent ones."""
-
-    def query(s: SparkSession, d: str) -> DataFrame:
-        counts = texts(s, d).select(F.explode(analysis.tokens(name, F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-        return counts.orderBy(F.desc("n"), "token").limit(most) if most else counts
-
-    return query
+def _analysed(name: str) -> Query:
+    """Counts of all tokens."""
+    return lambda s, d: texts(s, d).select(F.explode(analysis.tokens(name, F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 _STANDARD = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+(?:[''’.][\p{{L}}\p{{N}}_]+)*')"
 for _name, _expr in (("standard", _STANDARD.format("text")), ("simple", r"regexp_extract_all(lower(text), '\p{L}+')"), ("keyword", "[text]"), ("whitespace", r"list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')")):
-    _add(f"analyze_{_name}_all", _analysed(_name), f"SELECT token, count(*) AS n FROM (SELECT unnest({_expr}) AS token FROM documents) GROUP BY token")
-    _add(f"analyze_{_name}", _analysed(_name, 500), f"SELECT token, count(*) AS n FROM (SELECT unnest({_expr}) AS token FROM documents) GROUP BY token ORDER BY n DESC, token LIMIT 500")
+    _add(f"analyze_{_name}", _analysed(_name), f"SELECT token, count(*) AS n FROM (SELECT unnest({_expr}) AS token FROM documents) GROUP BY token")
 _add("analyze_language", _analysed("lucene.en"))
 
 # ---- full text ----
@@ -389,19 +412,21 @@ _add("qs_all", _qs("*:* NOT trash", top_k=30), f"SELECT _doc AS doc, 1.0::DOUBLE
 
 def _text_facet(spark: SparkSession, d: str) -> DataFrame:
     r = SearchRequest(text_query="idiot trash", filters=(R.Range("chars", "1000"),))
-    return facet_ops.facet(search.matched_rows(texts(spark, d), TEXTS, r), TEXTS, R.Facet("source", 8)).select("value", "count")
+    matched = search.matched_rows(texts(spark, d), TEXTS, r, text_index(spark, d, texts, TEXTS))
+    return facet_ops.facet(matched, TEXTS, R.Facet("source", 8)).select("value", "count")
 
 
 _add("facet_text_filtered", _text_facet, _terms_sql(TEXTS_SQL, "source", "count DESC, value", 8, f"chars >= 1000 AND list_has_any({_STANDARD.format('text')}, ['idiot', 'trash'])"))
 
 
-def _indexed(spark: SparkSession, d: str) -> DataFrame:
-    docs = texts(spark, d)
-    hits = postings.search(postings.postings(docs, TEXTS, ["text"]), postings.statistics(docs, TEXTS, ["text"]), TEXTS, ["text"], ["idiot", "trash"])
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    """Without an index: texts are tokenised for the query."""
+    held: list[DataFrame] = []
+    hits = search.matched_rows(texts(spark, d), TEXTS, SearchRequest(text_query="idiot trash"), held=held)
     return hits.orderBy(F.desc("_score"), "_doc").limit(10).select(F.col("_doc").alias("doc"), F.round("_score", 6).alias("score"))
 
 
-_add("bm25_index", _indexed, _bm25_sql(TEXTS_SQL, _TEXT, [("text", "idiot"), ("text", "trash")]))
+_add("bm25_scan", _scanned, _bm25_sql(TEXTS_SQL, _TEXT, [("text", "idiot"), ("text", "trash")]))
 
 # ---- vectors and hybrid ----
 
@@ -438,7 +463,7 @@ def mixed(spark: SparkSession, d: str) -> DataFrame:
 
 def _hybrid(*filters) -> Query:
     r = SearchRequest(text_query="idiot trash", text_field="text", vector=R.Vector("embedding", QUERY_VECTOR), filters=filters, top_k=20)
-    return lambda s, d: search.plan(mixed(s, d), MIXED, r).page.select(F.col("_doc").alias("doc"), F.round("_score", 8).alias("score"))
+    return lambda s, d: search.plan(mixed(s, d), MIXED, r, text_index(s, d, texts, TEXTS)).page.select(F.col("_doc").alias("doc"), F.round("_score", 8).alias("score"))
 
 
 def _hybrid_sql(where: str = "true") -> str:
@@ -492,11 +517,6 @@ _add("ttl_sweep", lambda s, d: _shown(ingest.sweep(_merged(s, d), NOW_MS)), f"SE
 _add("upsert_window", lambda s, d: ingest.upsert_rows(_read(s, d, "events"), "user_id", "event_id").select("user_id", F.col("event_id").alias("doc")), f"SELECT user_id, event_id AS doc FROM {_LAST} WHERE r = 1")
 
 
-def _scratch(spark: SparkSession) -> str:
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base}/facetry-{uuid.uuid4().hex}"
-
-
 def _streamed(spark: SparkSession, d: str) -> DataFrame:
     root = _scratch(spark)
     users = Collection.create(spark, f"{root}/users", USERS)
@@ -510,10 +530,29 @@ def _streamed(spark: SparkSession, d: str) -> DataFrame:
 _add("stream_upsert", _streamed, _UPSERT_SQL)
 
 
+def _late(spark: SparkSession, d: str) -> DataFrame:
+    """The log's files come in the wrong order, one in each batch: the later operation of a key still wins."""
+    root = _scratch(spark)
+    users = Collection.create(spark, f"{root}/users", USERS)
+    third = F.ntile(3).over(Window.orderBy("seq"))  # the test's own split of a small table
+    ops = _ops(spark, d).withColumn("third", third).persist()
+    for k in (3, 1, 2):
+        upsert.append_operations(spark, f"{root}/ops", ops.filter(F.col("third") == k))
+    ops.unpersist()
+    upsert.merge_batches(upsert.read_operations(spark, f"{root}/ops", 1), users, f"{root}/checkpoint").awaitTermination()
+    users.refresh()
+    return _shown(users.df)
+
+
+_add("stream_out_of_order", _late, _UPSERT_SQL)
+
+
 def _compacted(spark: SparkSession, d: str) -> DataFrame:
     c = Collection.create(spark, f"{_scratch(spark)}/users", USERS)
-    c.commit(_merged(spark, d).select(*c.df.columns), 10**6)
-    c.compact(1)
+    merged = _merged(spark, d).select(*c.df.columns)
+    for k in range(2):
+        c.load(merged.filter(F.pmod(F.col("_doc"), F.lit(2)) == k), 10**6)
+    c.compact()
     return _shown(c.df)
 
 
