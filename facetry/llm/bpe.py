@@ -9,12 +9,13 @@ Within a piece the order must be that of the classic algorithm: lowest rank firs
 makes a pair of a lower rank than its own (possible in odd vocabularies), that piece takes only its leftmost merge
 and its other positions go back to the index, so the lower rank is replayed before them.
 
-The block is the corpus: pieces are shared within a block and, through a bounded cache, with later blocks of the
-same Python worker.  A global table of pieces would have to be joined back to every occurrence, which shuffles
+The corpus of a replay is a group of texts: each piece gets a number, a text is the array of its pieces' numbers, and
+only pieces that are new are replayed.  Numbers and tokens of up to ``CACHE_PIECES`` pieces stay for the later groups
+of the same Python worker.  A global table of pieces would have to be joined back to every occurrence, which shuffles
 more than the texts themselves.
 
 Defined results: null text is empty text, which has no tokens; null ids decode to null; repeated rows get equal
-results; a text of any length is encoded whole, its pieces in parts of ``BLOCK_CHARS``; an empty table gives an empty
+results; a text of any length is encoded whole, though its pieces are never in memory all together; an empty table gives an empty
 one.  The functions are of one column, so no other column clashes.
 """
 
@@ -23,7 +24,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from itertools import chain
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +36,27 @@ from pyspark.sql import functions as F
 from facetry.llm.kernels import parts, release_memory
 
 NONE = np.int32(np.iinfo(np.int32).max)
-#: Characters that are replayed together; a longer text comes in several parts.
-BLOCK_CHARS = 2_000_000
-#: Pieces that stay for later blocks, and their characters.
-CACHE_PIECES = 120_000
-CACHE_CHARS = 1_000_000
+#: Bytes of the texts that are replayed together: whole batches, a long text alone.
+GROUP_BYTES = 12 << 20
+#: Pieces that stay for later groups, and their characters.
+CACHE_PIECES = 150_000
+CACHE_CHARS = 1_500_000
 #: Bytes of a batch that are Python strings at a time.
 PART_BYTES = 2 << 20
 
 
+class _Numbers(dict):
+    """Pieces in the order they were first asked for; new ones are listed."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
 def _distinct(x: np.ndarray) -> np.ndarray:
     x = np.sort(x)
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
@@ -58,7 +72,6 @@ class Vocabulary:
         for t, r in ranks.items():
             self.token[r] = t
         self.number = [b"%d" % k for k in range(size)]
-        self.ids = list(range(size))  # one int object for each id
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         a, b, c = [], [], []
         for t, r in ranks.items():
@@ -71,8 +84,8 @@ class Vocabulary:
         keys = np.array(a, np.int64) * size + np.array(b, np.int64)
         by = np.argsort(keys)
         self.size, self.keys, self.values = size, keys[by], np.array(c, np.int32)[by]
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.cached = 0
+        self.numbers, self.chars = _Numbers(), 0
+        self.tokens, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Vocabulary:
@@ -165,74 +178,61 @@ class Vocabulary:
         total = np.append(0, np.cumsum(~dead))
         return tok[~dead], total[begin]
 
-    def encode_pieces(self, pieces: set[str]) -> list[str]:
-        """Puts every piece's ids into the cache; returns the pieces that were new."""
-        new = [p for p in pieces if p not in self.cache]
-        rest, raw = [], []
-        for p in new:
-            b = p.encode()
-            whole = self.ranks.get(b)
-            if whole is not None:  # a piece that is a token is that token
-                self.cache[p] = (self.ids[whole],)
-            else:
-                rest.append(p)
-                raw.append(b)
-        if rest:
-            tokens, at = self.replay(raw)
-            tokens, at = tokens.tolist(), at.tolist()
-            ids = self.ids
-            for k, p in enumerate(rest):
-                self.cache[p] = tuple([ids[t] for t in tokens[at[k] : at[k + 1]]])
-        return new
-
-    def _split(self, text: str):
-        """A text's pieces in lists of at most about BLOCK_CHARS characters, and whether the text ends there."""
-        if len(text) <= BLOCK_CHARS:
-            yield self.pattern.findall(text), True
-            return
-        pieces, chars = [], 0
-        for m in self.pattern.finditer(text):
-            pieces.append(m[0])
-            chars += len(m[0])
-            if chars >= BLOCK_CHARS:
-                yield pieces, False
-                pieces, chars = [], 0
-        yield pieces, True
+    def _learn(self) -> None:
+        """The tokens of all new pieces, behind those of the known ones."""
+        raw = [p.encode() for p in self.numbers.new]
+        whole = np.array([self.ranks.get(r, -1) for r in raw], np.int64)  # a piece that is a token is that token
+        rest = np.flatnonzero(whole < 0)
+        tokens, at = self.replay([raw[k] for k in rest]) if len(rest) else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+        lengths = np.ones(len(raw), np.int64)
+        lengths[rest] = np.diff(at)
+        ends = np.cumsum(lengths)
+        found = np.empty(int(lengths.sum()), np.int32)
+        found[(ends - lengths)[whole >= 0]] = whole[whole >= 0]
+        found[np.repeat(whole < 0, lengths)] = tokens
+        self.begin = np.concatenate([self.begin, self.begin[-1] + ends])
+        self.tokens = np.concatenate([self.tokens, found])
+
+    def _forget(self) -> None:
+        """New pieces beyond the bounds go: those that came first are mostly the frequent ones."""
+        new = self.numbers.new
+        room = CACHE_PIECES - (len(self.numbers) - len(new))
+        chars = self.chars + np.cumsum([len(p) for p in new[:room]], dtype=np.int64)
+        kept = int(np.searchsorted(chars, CACHE_CHARS, side="right"))
+        if kept < len(new):
+            for p in new[kept:]:
+                del self.numbers[p]
+            self.begin = self.begin[: len(self.numbers) + 1].copy()
+            self.tokens = self.tokens[: self.begin[-1]].copy()
+        self.chars = int(chars[kept - 1]) if kept else self.chars
+        new.clear()
+
+    def _numbered(self, text: str) -> np.ndarray:
+        """The numbers of a text's pieces; a long text's pieces are never in memory all together."""
+        number = self.numbers.__getitem__
+        if len(text) <= PART_BYTES:
+            pieces = self.pattern.findall(text)
+            return np.fromiter(map(number, pieces), np.int32, len(pieces))
+        return np.fromiter((number(m[0]) for m in self.pattern.finditer(text)), np.int32)
 
     def encode_batch(self, texts):
-        """The ids of each text, in order."""
-        block, chars, ids = [], 0, []
-
-        def flush():
-            nonlocal ids
-            new = self.encode_pieces(set().union(*[pieces for pieces, _ in block]))
-            of = self.cache.__getitem__
-            for pieces, ends in block:
-                ids += chain.from_iterable(map(of, pieces))
-                if ends:
-                    yield ids
-                    ids = []
-            block.clear()
-            self.cached += sum(map(len, new))
-            if len(self.cache) > CACHE_PIECES or self.cached > CACHE_CHARS:  # pieces that came early, mostly frequent ones, stay
-                for p in new:
-                    del self.cache[p]
-                self.cached -= sum(map(len, new))
-
-        for text in texts:
-            for pieces, ends in self._split(text):
-                block.append((pieces, ends))
-                chars += min(len(text), BLOCK_CHARS)
-                if chars >= BLOCK_CHARS:
-                    yield from flush()
-                    chars = 0
-        if block:
-            yield from flush()
-        release_memory()
+        """The ids of each text of a group, in order."""
+        rows = [self._numbered(t) for t in texts]
+        if self.numbers.new:
+            self._learn()
+        for row in rows:
+            start = self.begin[row]
+            n = self.begin[row + 1] - start
+            ends = np.cumsum(n)
+            yield self.tokens[np.repeat(start - ends + n, n) + np.arange(ends[-1])] if len(row) else self.tokens[:0]
+        self._forget()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
+    def digest(self, ids) -> str:
+        return hashlib.sha256(b",".join(map(self.number.__getitem__, ids))).hexdigest()
+
 
 def _strings(t: pa.Array):
     """Texts of a batch, null as empty; few of them are Python strings at a time."""
@@ -251,16 +251,40 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return _LOADED[path, pattern]
 
 
+def _groups(batches: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
+    """Batches that are replayed together."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GROUP_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _each_batch(v: Vocabulary, batches: Iterator[pa.Array], result) -> Iterator[pa.Array]:
+    """``result`` of each batch's lists of ids."""
+    for group in _groups(batches):
+        ids = v.encode_batch(chain.from_iterable(map(_strings, group)))
+        for batch in group:
+            yield result(islice(ids, len(batch)))
+        next(ids, None)  # to its end
+        release_memory()
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
     """The token ids of a text."""
 
+    def lists(ids) -> pa.Array:
+        rows = list(ids)
+        ends = np.cumsum([0, *map(len, rows)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
+
     @F.arrow_udf("array<int>")
-    def run(t: pa.Array) -> pa.Array:
-        ids, ends = [np.zeros(0, np.int32)], [0]
-        for x in vocabulary(path, pattern).encode_batch(_strings(t)):
-            ids.append(np.array(x, np.int32))
-            ends.append(ends[-1] + len(x))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _each_batch(vocabulary(path, pattern), batches, lists)
 
     return run.asNondeterministic()(text.cast("string"))
 
@@ -283,13 +307,17 @@ def round_trip(text: Column, path: str, pattern: str) -> Column:
     """
 
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
-    def run(t: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(path, pattern)
-        n, first, second = [], [], []
-        for ids in v.encode_batch(_strings(t)):
-            n.append(len(ids))
-            first.append(hashlib.sha256(b",".join(map(v.number.__getitem__, ids))).hexdigest())
-            second.append(hashlib.sha256(v.decode(ids)).hexdigest())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+        def digests(rows) -> pa.Array:
+            n, first, second = [], [], []
+            for ids in map(np.ndarray.tolist, rows):
+                n.append(len(ids))
+                first.append(v.digest(ids))
+                second.append(hashlib.sha256(v.decode(ids)).hexdigest())
+            return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+        return _each_batch(v, batches, digests)
 
     return run.asNondeterministic()(text.cast("string"))
