@@ -74,16 +74,16 @@ def _language(code: str, tokens: Column) -> Column:
             if row is None:
                 out.append(None)
             elif code == "cjk":
-                out.append([x for w in row for x in cjk_bigrams(w)])
+                out.append([x for w in row for x in (cjk_bigrams(w) if w is not None else (None,))])
             else:
-                out.append([stem(w, code) for w in row if w not in stop])
+                out.append([None if w is None or w in stop else stem(w, code) for w in row])
         return pa.array(out, pa.list_(pa.string()))
 
     return run(tokens)
 
 
 def tokens(name: str, text: Column) -> Column:
-    """Tokens of a string column; null text gives null."""
+    """Tokens of a string column; null text gives null.  A stop word leaves a null token, so phrases do not close up over it."""
     check(name)
     if name == "keyword":
         return F.when(text.isNotNull(), F.array(text))
@@ -101,9 +101,14 @@ def field_tokens(f: Field, search: bool = False) -> Column:
     if not f.is_collection:
         return tokens(name, F.col(f.name))
     if name.startswith("lucene."):
-        return tokens(name, F.array_join(F.col(f.name), " "))
+        return _language(name.removeprefix("lucene."), _with_gaps("standard", F.col(f.name)))
+    return _with_gaps(name, F.col(f.name))
+
+
+def _with_gaps(name: str, values: Column) -> Column:
+    """Tokens of all values, with GAP null tokens between two of them."""
     gap = F.array_repeat(F.lit(None).cast("string"), GAP)
-    return F.aggregate(F.transform(F.col(f.name), lambda v: tokens(name, v)), F.array().cast("array<string>"), lambda all_, x: F.when(F.size(all_) == 0, x).otherwise(F.concat(all_, gap, x)))
+    return F.aggregate(F.transform(values, lambda v: tokens(name, v)), F.array().cast("array<string>"), lambda all_, x: F.when(F.size(all_) == 0, x).otherwise(F.concat(all_, gap, x)))
 
 
 def query_tokens(name: str, text: str) -> list[str]:

@@ -318,7 +318,7 @@ _add("project_source_fields", _projected, f"SELECT id AS doc_id, props, round(va
 
 def _analysed(name: str) -> Query:
     """Counts of all tokens."""
-    return lambda s, d: texts(s, d).select(F.explode(analysis.tokens(name, F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return lambda s, d: texts(s, d).select(F.explode(analysis.tokens(name, F.col("text"))).alias("token")).filter("token is not null").groupBy("token").agg(F.count("*").alias("n"))
 
 
 _STANDARD = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+(?:[''’.][\p{{L}}\p{{N}}_]+)*')"

@@ -100,6 +100,7 @@ def test_analyzers(spark):
     assert got["simple"] == ["the", "quick", "brown", "fox", "s", "urls", "naïve", "x"]
     assert got["keyword"] == ["The Quick-brown fox's 3.5 URLs, naïve_x"] and got["whitespace"][1] == "Quick-brown"
     assert "the" not in got["lucene.en"] and "url" in got["lucene.en"]
+    assert got["lucene.en"][0] is None  # a stop word holds its place
     assert analysis.query_tokens("lucene.cjk", "東京都") == ["東京", "京都"] and len(analysis.names()) == 42
     with pytest.raises(ValueError):
         analysis.tokens("lucene.ja", one["t"])
@@ -108,6 +109,9 @@ def test_analyzers(spark):
 def test_phrases_do_not_cross_values(spark):
     schema = SearchSchema((Field("id", "STRING", key=True), Field("tags", "STRING_COLLECTION", searchable=True)))
     rows = spark.createDataFrame([("a", ["red apple", "green pear"], 0), ("b", ["apple green"], 1)], "id string, tags array<string>, _doc long")
+    light = SearchSchema((Field("id", "STRING", key=True), Field("tags", "STRING_COLLECTION", searchable=True, index_analyzer="lucene.de")))
+    assert [r["id"] for r in text.score(rows, light, text.phrase_node(light, "apple gre")).collect()] == []
+    assert [r["id"] for r in text.score(rows, light, text.phrase_node(light, "appl gre")).collect()] == ["b"]
     assert [r["id"] for r in text.score(rows, schema, text.phrase_node(schema, "apple green")).collect()] == ["b"]
 
 
