@@ -11,13 +11,15 @@ Two texts link when the Jaccard similarity of their sets of 5-word shingles is a
    shingle among the rarest ``n - ceil(0.75 n) + 1`` of either.  The lists of those never become pairs: a list's
    members, cut where neighbouring sizes differ too much to link, are tied to its first one.  The components of
    these ties are blocks: every link lies inside one block.
-3. Each block is searched in one task by T-occurrence queries over its inverted index: the lists of a query's
-   shingles are divided, the short ones merged by a heap that skips rows which too few lists can still hold,
-   candidates that can still reach the needed overlap are probed by binary search in the long ones.  A
-   breadth-first search asks only for rows that are not yet in a component, and lists lose the rows that are, so
-   a group of near copies costs about its own size.
-4. A block above ``BLOCK_SHINGLES`` is cut by a hash of the id into chunks, and each pair of chunks is searched;
-   components of the results join them.  No case is dropped.
+3. Blocks are cut by a hash of the id into chunks of about ``CHUNK_SHINGLES``, and each chunk is searched in one task by
+   T-occurrence queries over its inverted index: the lists of a query's shingles are divided, the short ones merged by
+   a heap that skips rows which too few lists can still hold, candidates that can still reach the needed overlap are
+   probed by binary search in the long ones.  A breadth-first search asks only for rows that are not yet in a
+   component, and lists lose the rows that are, so a group of near copies costs about its own size.
+4. A block of several chunks needs the links between these.  One row of the largest component of each chunk is
+   searched with the others' (as a block of its own, by the same steps): mostly this joins them to one large component
+   of the block.  A link between different components has an end outside that one, so the rows outside it, and only
+   they, are sent to the other chunks as queries.  Components of all links found are the result; no case is dropped.
 
 Defined results: a text with fewer than five words has one shingle, its whole sequence; without words it has none
 and links with nothing (its component is its own id).  Rows that share an id are one node.  Rows without an id are
@@ -45,9 +47,10 @@ SIZE = 5
 NO_ID = 1 << 62
 #: Similarity of at least PART / WHOLE.
 PART, WHOLE = 75, 100
-BLOCK_SHINGLES = 1_500_000
+#: Shingles that one search takes.
+CHUNK_SHINGLES = 50_000
 #: Packed postings that one task takes.
-POSTINGS_BYTES = 24 << 20
+POSTINGS_BYTES = 16 << 20
 PACK_SHINGLES = 1_000_000
 POSTING = 9.5  # bytes of a packed posting, about
 _MU = 0.02
@@ -354,11 +357,11 @@ class Index:
         return found[total >= need]
 
 
-def link_components(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set the first row of its component of links."""
+def link_components(sets: list[np.ndarray], seeds: int | None = None) -> np.ndarray:
+    """For each set the first row of its component of links; only components of the first ``seeds`` rows are looked for."""
     index, m = Index(sets), len(sets)
     alive, label, left, held = np.ones(m, bool), np.arange(m), m, m
-    for seed in range(m):
+    for seed in range(m if seeds is None else seeds):
         if not alive[seed]:
             continue
         alive[seed] = False
@@ -376,45 +379,89 @@ def link_components(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _search_blocks(batches):
-    """Rows (block, id, text) sorted by block: id and the smallest id of its component, where there is a link."""
-    current, ids, sets = None, [], []
+    """Rows (block, id, query, text) sorted by block: ids and a row of their component, where there is a link.
+
+    Only components of rows marked as queries are looked for.
+    """
+    current, ids, queries, sets = None, [], [], []
 
     def flush():
         if len(ids) > 1:
-            keys = np.array(ids, np.int64)
-            by = np.argsort(keys, kind="stable")
-            label = link_components([sets[i] for i in by])
+            keys, asks = np.array(ids, np.int64), np.array(queries, bool)
+            by = np.lexsort((keys, ~asks))  # queries first, then by id
+            label = link_components([sets[i] for i in by], int(asks.sum()))
             keys = keys[by]
             linked = keys[label] != keys
             if linked.any():
                 yield pa.RecordBatch.from_arrays([pa.array(keys[label][linked]), pa.array(keys[linked])], names=["a", "b"])
 
     for batch in batches:
-        block_of, id_of = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for block in K.blocks(batch.column(2)):
+        block_of, id_of, query_of = (batch.column(k).to_pylist() for k in range(3))
+        for block in K.blocks(batch.column(3)):
             for k, s in K.shingle_sets(block, SIZE):
                 at = block.first + k
                 if block_of[at] != current:
                     yield from flush()
-                    current, ids, sets = block_of[at], [], []
+                    current, ids, queries, sets = block_of[at], [], [], []
                 ids.append(id_of[at])
+                queries.append(query_of[at])
                 sets.append(s)
     yield from flush()
 
 
+def _search(texts: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Links ``a, b`` inside blocks; ``dealt`` has ``block, id, query, n`` for each row of a block, ``texts`` ``id, t``."""
+    rows, load = dealt.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tasks = max(8, load // (4 * CHUNK_SHINGLES))
+    joined = texts.join(sized_broadcast(dealt.select("id", "block", "query"), rows), "id").select("block", "id", "query", "t")
+    return cut(joined.repartition(tasks, "block").sortWithinPartitions("block", "id").mapInArrow(_search_blocks, "a long, b long"))
+
+
+def _links(texts: DataFrame, members: DataFrame, chunk: int) -> tuple[DataFrame, bool]:
+    """Links that join every component of the blocks ``root``, and whether there were blocks of several chunks.
+
+    ``members`` has ``id, n, root``.
+    """
+    weights = members.groupBy("root").agg(F.sum("n").alias("w"), F.count("*").alias("m")).filter("m > 1")
+    chunks = F.greatest(F.lit(1), F.least(F.ceil(F.col("w") / chunk), F.floor(F.col("m") / 2)))  # so that there are fewer heads than rows
+    dealt = members.join(weights, "root").select("id", "n", "root", chunks.alias("chunks"))
+    dealt = cut(dealt.withColumn("c", F.pmod(F.xxhash64("id"), "chunks")))
+    links = _search(texts, dealt.select(F.xxhash64("root", "c").alias("block"), "id", F.lit(True).alias("query"), "n"))
+    large = dealt.filter("chunks > 1")
+    if not large.limit(1).count():
+        return links, False
+    labels = links.select(F.col("b").alias("id"), F.col("a").alias("label"))
+    large = cut(large.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    groups = large.groupBy("root", "c", "label").agg(F.count("*").alias("k"))
+    tops = cut(groups.groupBy("root", "c").agg(F.max_by(F.struct("label", "k"), F.struct("k", -F.col("label"))).alias("t")).select("root", "c", F.col("t.label").alias("label"), F.col("t.k").alias("k")))
+    heads = large.join(tops.select("root", "c", "label"), ["root", "c", "label"]).filter("id = label").select("id", "n", "root")
+    above, _ = _links(texts, heads, chunk)
+    joined = components(above).select(F.col("node").alias("label"), F.col("root").alias("whole"))
+    tops = tops.join(joined, "label", "left").withColumn("whole", F.coalesce("whole", "label"))
+    largest = tops.groupBy("root", "whole").agg(F.sum("k").alias("k")).groupBy("root").agg(F.max_by("whole", F.struct("k", -F.col("whole"))).alias("whole"))
+    inside = cut(tops.join(largest, ["root", "whole"]).select("root", "c", "label"))
+    outside = large.join(inside, ["root", "c", "label"], "left_anti")
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("c")))
+    asked = outside.select("id", "n", "root", others.alias("c")).withColumn("query", F.lit(True))
+    asked = cut(asked)
+    there = large.join(asked.select("root", "c").distinct(), ["root", "c"]).select("id", "n", "root", "c", F.lit(False).alias("query"))
+    tiles = cut(there.unionByName(asked).select(F.xxhash64("root", "c").alias("block"), "id", "query", "n"))
+    return links.unionByName(above).unionByName(_search(texts, tiles)), True
+
+
 def _node(key: str, text: str) -> Column:
     """A row's node: its id, or a number of its text."""
     of_text = F.shiftrightunsigned(F.xxhash64(F.col(text).cast("string")), 2) + F.lit(NO_ID)
     return F.coalesce(F.col(key).cast("long"), of_text)
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = CHUNK_SHINGLES) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row; ids are integers."""
     known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    return _components(docs, key, text, block_shingles).select(known("id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
+    return _components(docs, key, text, chunk).select(known("id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
 
 
-def _components(docs: DataFrame, key: str, text: str, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def _components(docs: DataFrame, key: str, text: str, chunk: int = CHUNK_SHINGLES) -> DataFrame:
     """``id, n, component`` for each row, in nodes."""
     rows = docs.select(_node(key, text).alias("id"), F.col(text).cast("string").alias("t"))
     sets = written(rows.mapInArrow(_set_pass, "id long, n long, s1 long, s2 long"))
@@ -437,19 +484,9 @@ def _components(docs: DataFrame, key: str, text: str, block_shingles: int = BLOC
     ties = orders.mapInArrow(_prefixes(parts), packed).repartitionById(parts, "bucket").mapInArrow(_ties, "a long, b long")
     blocks = components(ties).withColumnRenamed("node", "s1")
     members = cut(able.join(blocks, "s1").select("id", "n", "root"))
-    weights = members.groupBy("root").agg(F.sum("n").alias("w"), F.count("*").alias("m")).filter("m > 1")
-    dealt = members.join(weights, "root").select("id", "root", F.ceil(F.col("w") / block_shingles).alias("chunks"), "n")
-    other = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("chunks") - 2)))
-    dealt = dealt.withColumn("c", F.pmod(F.xxhash64("id"), "chunks")).withColumn("o", other)
-    o = F.col("o") + F.when(F.col("o") >= F.col("c"), 1).otherwise(0)
-    lone = F.col("chunks") == 1
-    tile = F.struct(F.col("root"), F.when(lone, 0).otherwise(F.least("c", o)).alias("i"), F.when(lone, 0).otherwise(F.greatest("c", o)).alias("j"))
-    dealt = cut(dealt.select("id", "n", F.xxhash64(tile).alias("block"), (~lone).alias("tiled")))
-    n_dealt, load, tiled = dealt.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("tiled"), F.lit(False))).first()
-    texts = rows.join(sized_broadcast(dealt.select("id", "block"), n_dealt), "id").select("block", "id", "t")
-    tasks = max(8, -(-load // (block_shingles // 2)))
-    links = texts.repartition(tasks, "block").sortWithinPartitions("block", "id").mapInArrow(_search_blocks, "a long, b long")
-    links = cut(links)
+    n_members = members.count()
+    texts = written(rows.join(sized_broadcast(members.select("id"), n_members), "id").select("id", "t"))
+    links, tiled = _links(texts, members, chunk)
     if tiled:
         found = components(links)
         least = found.groupBy("root").agg(F.min("node").alias("component"))
