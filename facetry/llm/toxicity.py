@@ -152,8 +152,9 @@ def fit(
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__id")).agg((F.max(F.col(label).cast("int")) == 1).alias("__p"))
     n_known, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.col("__p").cast("int")), F.lit(0))).first()
     n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()
+    untrained = Classifier(np.zeros(0, np.int64), np.zeros(0), 0.0, trained=False)
     if not n_toxic or not n_docs:
-        return Classifier(np.zeros(0, np.int64), np.zeros(0), 0.0, trained=False)
+        return untrained
     draw = lambda c: F.pmod(F.xxhash64(F.lit("toxicity"), c), F.lit(1 << 40))
     below = lambda c, most, n: draw(c) < int(min(1.0, most / max(1, n), max_bytes * n_docs / max(1, n * n_bytes)) * (1 << 40))
     positive = known.filter("__p").filter(below(F.col("__id"), max_positive, n_toxic))  # at most about max_positive ids
@@ -161,6 +162,8 @@ def fit(
     sample = rows.join(F.broadcast(positive), "__id", "left").filter(F.col("__u") | F.col("__p")).select("__t", F.coalesce("__p", F.lit(False)).alias("p"), F.coalesce("__u", F.lit(False)).alias("u"))
     held = written(sample.mapInArrow(_featurise, "p boolean, u boolean, f array<int>"))
     n, m = held.agg(F.coalesce(F.sum(F.col("p").cast("int")), F.lit(0)), F.coalesce(F.sum(F.col("u").cast("int")), F.lit(0))).first()
+    if not n or not m:  # no text of either kind
+        return untrained
     counts = held.mapInArrow(_count, "f int, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     possible = counts.filter((F.col("a") >= least_texts) | (F.col("b") >= 10)).toArrow()  # at most BUCKETS rows
     f, a, b = (possible.column(k).to_numpy() for k in range(3))
