@@ -147,9 +147,9 @@ def plain_components(rows):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("limit", [jaccard.BLOCK_SHINGLES, 60])  # the small one cuts blocks into chunks
+@pytest.mark.parametrize("limit", [jaccard.CHUNK_SHINGLES, 600, 60])  # the small ones cut blocks into chunks
 def test_near_copies(docs, limit):
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_copies(docs, block_shingles=limit).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_copies(docs, chunk=limit).collect()}
     assert got == plain_components(list(enumerate(TEXTS)))
 
 
