@@ -101,8 +101,12 @@ def _first(spec: Facet) -> int:
 
 def _counted(matched: DataFrame, chosen: list[tuple[Field, Facet]]) -> tuple[DataFrame, list[Column], list[Column]]:
     """Buckets of all facets with their counts, the order within a field, and the columns of a result."""
-    entries = F.concat(*[_entries(f, s) for f, s in chosen])
-    buckets = matched.select(F.explode(entries).alias("e")).groupBy("e.field", "e.s", "e.at")
+    if len(chosen) == 1 and not chosen[0][0].is_collection:  # one entry at most for each row
+        f, spec = chosen[0]
+        entries = matched.filter(F.col(f.name).isNotNull()).select(_bucket(f, spec, F.col(f.name)).alias("e"))
+    else:
+        entries = matched.select(F.explode(F.concat(*[_entries(f, s) for f, s in chosen])).alias("e"))
+    buckets = entries.groupBy("e.field", "e.s", "e.at")
     counts = buckets.agg(F.count("*").alias("count"), F.min("e.x").alias("low"), F.max("e.x").alias("high"))
     terms = [(f, s) for f, s in chosen if not _is_date(f, s) and not _is_range(f, s)]
     dates = [(f, s) for f, s in chosen if _is_date(f, s)]

@@ -190,7 +190,7 @@ for _name, _schema, _source, _rows, _filters, _where in (
     ("filter_term_string", PART, part, PART_SQL, (_TERM("brand", "Brand#12"),), "brand = 'Brand#12'"),
     ("filter_term_int", PART, part, PART_SQL, (_TERM("size", "12"),), "size = 12"),
     ("filter_term_long", ORDERS, orders, ORDERS_SQL, (_TERM("customer", "37"),), "customer = 37"),
-    ("filter_term_double", PART, part, PART_SQL, (_TERM("price", "1000.5"),), "price = 1000.5"),
+    ("filter_term_double", PART, part, PART_SQL, (_TERM("price", "950.5"),), "price = 950.5"),
     ("filter_term_bool", PART, part, PART_SQL, (_TERM("small", "T"),), "small"),
     ("filter_term_date", ORDERS, orders, ORDERS_SQL, (_TERM("date", "820454400000"),), "date = 820454400000"),
     ("filter_range_int_incl", PART, part, PART_SQL, (_RANGE("size", "10", "20"),), "size BETWEEN 10 AND 20"),
@@ -199,15 +199,15 @@ for _name, _schema, _source, _rows, _filters, _where in (
     ("filter_range_int_empty", PART, part, PART_SQL, (_RANGE("size", "20", "10"),), "false"),
     ("filter_range_long_incl", ORDERS, orders, ORDERS_SQL, (_RANGE("customer", "5", "15"),), "customer BETWEEN 5 AND 15"),
     ("filter_range_long_excl", ORDERS, orders, ORDERS_SQL, (_RANGE("customer", "5", "15", True, True),), "customer > 5 AND customer < 15"),
-    ("filter_range_double_incl", PART, part, PART_SQL, (_RANGE("price", "1000", "1100.25"),), "price BETWEEN 1000 AND 1100.25"),
-    ("filter_range_double_excl", PART, part, PART_SQL, (_RANGE("price", "1000", "1100.25", True, True),), "price > 1000 AND price < 1100.25"),
+    ("filter_range_double_incl", PART, part, PART_SQL, (_RANGE("price", "940", "960.25"),), "price BETWEEN 940 AND 960.25"),
+    ("filter_range_double_excl", PART, part, PART_SQL, (_RANGE("price", "940", "960.25", True, True),), "price > 940 AND price < 960.25"),
     ("filter_range_double_open", PART, part, PART_SQL, (_RANGE("price", "", "950"),), "price <= 950"),
     ("filter_range_date", ORDERS, orders, ORDERS_SQL, (_RANGE("date", "820454400000", "852076800000", False, True),), "date >= 820454400000 AND date < 852076800000"),
-    ("filter_implicit_and", PART, part, PART_SQL, (_TERM("small", "T"), _RANGE("price", "1000")), "small AND price >= 1000"),
-    ("filter_compound_must", PART, part, PART_SQL, (R.Compound(must=(_TERM("small", "F"), _RANGE("price", "1200"))),), "NOT small AND price >= 1200"),
+    ("filter_implicit_and", PART, part, PART_SQL, (_TERM("small", "T"), _RANGE("price", "970")), "small AND price >= 970"),
+    ("filter_compound_must", PART, part, PART_SQL, (R.Compound(must=(_TERM("small", "F"), _RANGE("price", "980"))),), "NOT small AND price >= 980"),
     ("filter_compound_should", PART, part, PART_SQL, (R.Compound(should=(_TERM("brand", "Brand#12"), _RANGE("size", "45"))),), "brand = 'Brand#12' OR size >= 45"),
     ("filter_compound_must_not", PART, part, PART_SQL, (R.Compound(must_not=(_TERM("note", "Brand#12"),)),), "note IS DISTINCT FROM 'Brand#12'"),
-    ("filter_compound_nested", PART, part, PART_SQL, (R.Compound(must=(_RANGE("size", "5"),), should=(_TERM("small", "T"), R.Compound(must=(_RANGE("price", "1500"),), must_not=(_TERM("note", "Brand#13"),)))),), "size >= 5 AND (small OR (price >= 1500 AND note IS DISTINCT FROM 'Brand#13'))"),
+    ("filter_compound_nested", PART, part, PART_SQL, (R.Compound(must=(_RANGE("size", "5"),), should=(_TERM("small", "T"), R.Compound(must=(_RANGE("price", "960"),), must_not=(_TERM("note", "Brand#13"),)))),), "size >= 5 AND (small OR (price >= 960 AND note IS DISTINCT FROM 'Brand#13'))"),
     ("filter_exists", PART, part, PART_SQL, (R.Exists("note"),), "note IS NOT NULL"),
     ("filter_not_exists", PART, part, PART_SQL, (R.Exists("weight", False),), "weight IS NULL"),
     ("filter_collection_term", BASKETS, baskets, BASKETS_SQL, (_TERM("flags", "R"),), "list_contains(flags, 'R')"),
@@ -266,7 +266,7 @@ for _name, _spec, _sql in (
 ):
     _add(_name, _facet(part, PART, _spec), _sql)
 
-_add("facet_filtered", _facet(part, PART, R.Facet("brand", 5), R.Range("price", "1200")), _terms_sql(PART_SQL, "brand", "count DESC, value", 5, "price >= 1200"))
+_add("facet_filtered", _facet(part, PART, R.Facet("brand", 5), R.Range("price", "960")), _terms_sql(PART_SQL, "brand", "count DESC, value", 5, "price >= 960"))
 _add("facet_collection", _facet(baskets, BASKETS, R.Facet("flags")), f"SELECT f AS value, count(*) AS count FROM (SELECT unnest(list_distinct(flags)) AS f FROM {BASKETS_SQL}) GROUP BY f")
 _add("facet_collection_numeric", _facet(baskets, BASKETS, R.Facet("quantities", 7)), f"SELECT CAST(q AS VARCHAR) AS value, count(*) AS count FROM (SELECT unnest(quantities) AS q FROM {BASKETS_SQL}) GROUP BY q ORDER BY count(*) DESC, q LIMIT 7")
 
@@ -279,14 +279,14 @@ def _range_sql(rows: str, c: str, width: int, text: str) -> str:
 
 
 _ALL = ("value", "count", "from", "to")
-_add("facet_range", _facet(part, PART, R.Facet("price", interval=100), columns=_ALL), _range_sql(PART_SQL, "price", 100, "CAST(CAST({} AS DOUBLE) AS VARCHAR)"))
+_add("facet_range", _facet(part, PART, R.Facet("price", interval=10), columns=_ALL), _range_sql(PART_SQL, "price", 10, "CAST(CAST({} AS DOUBLE) AS VARCHAR)"))
 _add("facet_range_boundary", _facet(part, PART, R.Facet("size", interval=10), columns=_ALL), _range_sql(PART_SQL, "size", 10, "CAST(CAST({} AS BIGINT) AS VARCHAR)"))
-_SEVERAL = (R.Facet("brand", 5), R.Facet("size", 4, "VALUE_DESC"), R.Facet("price", interval=200), R.Facet("kind", 3, "COUNT_ASC"))
+_SEVERAL = (R.Facet("brand", 5), R.Facet("size", 4, "VALUE_DESC"), R.Facet("price", interval=25), R.Facet("kind", 3, "COUNT_ASC"))
 _add("facet_multi", lambda s, d: facet_ops.facets(part(s, d), PART, _SEVERAL).select("field", "value", "count"), f"""
     SELECT 'brand' AS field, * FROM ({_terms_sql(PART_SQL, "brand", "count DESC, value", 5)}) UNION ALL
     SELECT 'size', CAST(size AS VARCHAR), n FROM (SELECT size, count(*) AS n FROM {PART_SQL} GROUP BY size ORDER BY size DESC LIMIT 4) UNION ALL
     SELECT 'kind', * FROM ({_terms_sql(PART_SQL, "kind", "count, value", 3)}) UNION ALL
-    SELECT 'price', value, count FROM ({_range_sql(PART_SQL, "price", 200, "CAST(CAST({} AS DOUBLE) AS VARCHAR)")})""")
+    SELECT 'price', value, count FROM ({_range_sql(PART_SQL, "price", 25, "CAST(CAST({} AS DOUBLE) AS VARCHAR)")})""")
 for _unit, _format, _count in (("MINUTE", "%Y-%m-%dT%H:%MZ", 20), ("HOUR", "%Y-%m-%dT%H:%MZ", 30), ("DAY", "%Y-%m-%d", 0), ("MONTH", "%Y-%m", 0), ("YEAR", "%Y", 0)):
     _source, _schema, _rows = (events, EVENTS, EVENTS_SQL) if _unit in ("MINUTE", "HOUR", "DAY") else (orders, ORDERS, ORDERS_SQL)
     _add(
@@ -350,7 +350,7 @@ _TEXT = {"text": "text"}
 _PARTS = {"name": "name", "kind": "kind"}
 _add("bm25_single", _page(texts, TEXTS, SearchRequest(text_query="idiot")), _bm25_sql(TEXTS_SQL, _TEXT, [("text", "idiot")]))
 _add("bm25_multi", _page(texts, TEXTS, SearchRequest(text_query=" Idiot trash  anon licensed")), _bm25_sql(TEXTS_SQL, _TEXT, [("text", t) for t in ("idiot", "trash", "anon", "licensed")]))
-_add("bm25_multifield", _page(part, PART, SearchRequest(text_query="steel 12")), _bm25_sql(PART_SQL, _PARTS, [(f, t) for f in _PARTS for t in ("steel", "12")]))
+_add("bm25_multifield", _page(part, PART, SearchRequest(text_query="Ring small")), _bm25_sql(PART_SQL, _PARTS, [(f, t) for f in _PARTS for t in ("ring", "small")]))
 _add("bm25_filtered", _page(texts, TEXTS, SearchRequest(text_query="trash clown", filters=(R.Term("lang", "en"),))), _bm25_sql(TEXTS_SQL, _TEXT, [("text", "trash"), ("text", "clown")], where="lang = 'en'"))
 _add("min_score_page", _page(texts, TEXTS, SearchRequest(text_query="trash clown", top_k=30, min_score=2.0)), f"SELECT * FROM ({_bm25_sql(TEXTS_SQL, _TEXT, [('text', 'trash'), ('text', 'clown')], limit=30)}) WHERE score >= 2.0")
 _add("prefix", _page(texts, TEXTS, SearchRequest(prefix_query="Disgu", top_k=50)), f"SELECT _doc AS doc, 1.0::DOUBLE AS score FROM {TEXTS_SQL} WHERE len(list_filter({_STANDARD.format('text')}, lambda t: starts_with(t, 'disgu'))) > 0 ORDER BY _doc LIMIT 50")
@@ -398,11 +398,11 @@ _add("qs_or", _qs("idiot OR trash"), _qs_sql(["idiot", "trash"]))
 _add("qs_and", _qs("idiot AND trash"), _qs_sql(["idiot", "trash"], match="tf0 > 0 AND tf1 > 0"))
 _add("qs_not", _qs("idiot NOT trash"), _qs_sql(["idiot", "trash"], match="tf0 > 0 AND tf1 = 0"))
 _add("qs_plus_minus", _qs("+idiot clown -trash"), _qs_sql(["idiot", "clown", "trash"], match="tf0 > 0 AND tf2 = 0"))
-_add("qs_field", _page(part, PART, SearchRequest(query_string="kind:steel AND name:12", top_k=20)), _bm25_sql(PART_SQL, _PARTS, [("kind", "steel"), ("name", "12")], match="tf0 > 0 AND tf1 > 0", limit=20))
+_add("qs_field", _page(part, PART, SearchRequest(query_string="kind:small AND name:ring", top_k=20)), _bm25_sql(PART_SQL, _PARTS, [("kind", "small"), ("name", "ring")], match="tf0 > 0 AND tf1 > 0", limit=20))
 _add("qs_phrase", _qs('"all rights reserved"'), _phrase_sql(["all", "rights", "reserved"], 20))
 _add("qs_wildcard", _qs("disgus?in*"), f"SELECT _doc AS doc, 1.0::DOUBLE AS score FROM {TEXTS_SQL} WHERE len(list_filter({_STANDARD.format('text')}, lambda t: regexp_full_match(t, 'disgus.in.*'))) > 0 ORDER BY _doc LIMIT 20")
 _add("qs_fuzzy", _page(texts, TEXTS, SearchRequest(query_string="idoit~1", top_k=20)), _fuzzy("idoit", 1, 0)[1])
-_add("qs_range", _page(part, PART, SearchRequest(query_string="price:[1000 TO 1010.5]", top_k=40)), f"SELECT _doc AS doc, 1.0::DOUBLE AS score FROM {PART_SQL} WHERE price BETWEEN 1000 AND 1010.5 ORDER BY _doc LIMIT 40")
+_add("qs_range", _page(part, PART, SearchRequest(query_string="price:[950 TO 951.5]", top_k=40)), f"SELECT _doc AS doc, 1.0::DOUBLE AS score FROM {PART_SQL} WHERE price BETWEEN 950 AND 951.5 ORDER BY _doc LIMIT 40")
 _add("qs_term_range", _qs("[idio TO idiou}"), f"SELECT _doc AS doc, 1.0::DOUBLE AS score FROM {TEXTS_SQL} WHERE len(list_filter({_STANDARD.format('text')}, lambda t: t >= 'idio' AND t < 'idiou')) > 0 ORDER BY _doc LIMIT 20")
 _add("qs_boost", _qs("idiot^2.5 OR trash"), _qs_sql(["idiot", "trash"], weights={0: 2.5}))
 _add("qs_group", _qs("(idiot OR trash) AND clown"), _qs_sql(["idiot", "trash", "clown"], match="(tf0 > 0 OR tf1 > 0) AND tf2 > 0"))
@@ -452,7 +452,20 @@ for _name, _kind in (("cosine", "COSINE"), ("dot", "DOT_PRODUCT"), ("l2", "EUCLI
     _add(f"knn_{_name}", _knn(_kind, 10), _knn_sql(_kind, 10))
 _add("knn_filtered", _knn("COSINE", 10, R.Range("label", "3", "5")), _knn_sql("COSINE", 10, "label BETWEEN 3 AND 5"))
 _add("knn_k_lt_topk", _knn("COSINE", 4, top=50), _knn_sql("COSINE", 4))
-_add("lsh_knn", lambda s, d: vector.lsh_knn(vectors(s, d), VECTORS, "embedding", QUERY_VECTOR, 10).select(F.col("_doc").alias("doc"), F.round("_score", 6).alias("score")))
+def vector_index(spark: SparkSession, d: str) -> vector.VectorIndex:
+    """The persisted lists of the embeddings, built once for a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _LISTS or not Files(spark, _LISTS[key][0]).exists(_LISTS[key][0]):
+        path = f"{_scratch(spark)}/lists"
+        _LISTS[key] = path, vector.VectorIndex.build(vectors(spark, d), VECTORS, "embedding", path)
+    return _LISTS[key][1]
+
+
+_LISTS: dict[tuple, tuple[str, vector.VectorIndex]] = {}
+
+
+_add("knn_index_all_lists", lambda s, d: vector_index(s, d).knn(QUERY_VECTOR, 10, probe=1 << 30).select(F.col("_doc").alias("doc"), F.round("_score", 6).alias("score")), _knn_sql("COSINE", 10))
+_add("knn_index", lambda s, d: vector_index(s, d).knn(QUERY_VECTOR, 10).select(F.col("_doc").alias("doc"), F.round("_score", 6).alias("score")))
 
 MIXED = SearchSchema((*TEXTS.fields, Field("embedding", "VECTOR", dimension=64)))
 
@@ -559,6 +572,152 @@ def _compacted(spark: SparkSession, d: str) -> DataFrame:
 _add("compaction", _compacted, _UPSERT_SQL)
 
 
+# ---- ingest of all types, bulk statuses, life of a collection ----
+
+GOODS = SearchSchema(
+    (
+        _key(), _all("small", "BOOLEAN"), _all("size", "INT32"), _all("big", "INT64"), _all("price", "DOUBLE"), _all("made", "DATE_TIME_OFFSET"),
+        Field("place", "GEO_POINT", filterable=True, sortable=True), Field("shape", "VECTOR", dimension=2), _all("words", "STRING_COLLECTION", searchable=True),
+        _all("numbers", "INT32_COLLECTION"), _all("flags", "BOOLEAN_COLLECTION"),
+    ),
+    ttl_enabled=True,
+)
+
+
+def _goods_ops(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as JSON documents; every seventh has its numbers as texts, every eleventh lacks most fields."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    loose = lambda c, text: F.when(k % 7 == 0, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(text)
+    full = F.concat(
+        F.lit('{"id": "'), k.cast("string"), F.lit('", "small": '), F.when(size < 10, F.when(k % 2 == 0, "true").otherwise('"1"')).otherwise("false"),
+        F.lit(', "size": '), loose(size, size.cast("string")), F.lit(', "big": '), loose(k, (k * 1000003).cast("string")),
+        F.lit(', "price": '), loose(k, size.cast("string")), F.lit(', "made": '), (k * 86_400_000).cast("string"), F.lit(', "place": {"lat": '), (k % 90).cast("string"),
+        F.lit(', "lon": '), (-(k % 180)).cast("string"), F.lit('}, "shape": ['), size.cast("string"), F.lit(", 0.5], "), F.lit('"words": ["'), F.col("p_brand"), F.lit('", "'),
+        F.col("p_type"), F.lit('"], "numbers": [1, "2", '), size.cast("string"), F.lit('], "flags": [true, false]}'),
+    )
+    document = F.when(k % 11 == 0, F.concat(F.lit('{"id": "'), k.cast("string"), F.lit('"}'))).otherwise(full)
+    tier = F.when(k % 3 == 0, "WORKING").when(k % 3 == 1, "EPISODIC")
+    return _read(spark, d, "part").select(
+        k.alias("seq"), F.lit(ingest.UPDATE).alias("action"), document.alias("document"), F.lit("t").alias("tenant"), tier.alias("tier"),
+        F.when(k % 5 == 0, 60).otherwise(0).cast("long").alias("ttl_seconds"), F.lit(NOW_MS).alias("at_ms"),
+    )
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    parsed = ingest.stamped(ingest.parse(_goods_ops(spark, d), GOODS), GOODS)
+    return parsed.select(
+        "id", "small", "size", "big", "price", "made", F.col("place.lat").alias("lat"), F.col("place.lon").alias("lon"), F.col("shape")[0].cast("double").alias("x"),
+        F.array_join("words", "|").alias("words"), F.expr("aggregate(numbers, 0, (a, x) -> a + x)").alias("total"), F.col("flags")[0].alias("flag"),
+        F.col("_memory_tier").alias("tier"), F.col("_ttl_expires_at").alias("expires"), F.col("_tenant_id").alias("tenant"),
+    )
+
+
+_FULL = "CASE WHEN p_partkey % 11 <> 0 THEN {} END"
+_add("ingest_types", _typed, f"""SELECT CAST(p_partkey AS VARCHAR) AS id, {_FULL.format("p_size < 10")} AS small, {_FULL.format("p_size")} AS size,
+  {_FULL.format("p_partkey * 1000003")} AS big, {_FULL.format("p_size::DOUBLE")} AS price, {_FULL.format("p_partkey * 86400000")} AS made,
+  {_FULL.format("(p_partkey % 90)::DOUBLE")} AS lat, {_FULL.format("(-(p_partkey % 180))::DOUBLE")} AS lon, {_FULL.format("p_size::DOUBLE")} AS x,
+  {_FULL.format("p_brand || '|' || p_type")} AS words, {_FULL.format("3 + p_size")} AS total, {_FULL.format("true")} AS flag,
+  CASE p_partkey % 3 WHEN 0 THEN 'WORKING' WHEN 1 THEN 'EPISODIC' ELSE 'SEMANTIC' END AS tier,
+  CASE WHEN p_partkey % 5 = 0 THEN {NOW_MS} + 60000 WHEN p_partkey % 3 = 0 THEN {NOW_MS} + 300000 WHEN p_partkey % 3 = 1 THEN {NOW_MS} + 86400000 ELSE 0 END AS expires,
+  't' AS tenant FROM part""")
+
+
+def _statuses(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    document = (
+        F.when(k % 6 == 0, F.lit('{"id": ""}')).when(k % 6 == 1, F.lit("{no json")).when(k % 6 == 2, F.lit('{"size": 1}'))
+        .when(k % 6 == 3, F.concat(F.lit('{"id": "'), k.cast("string"), F.lit('", "other": 1}'))).when(k % 6 == 4, F.concat(F.lit('{"id": "'), k.cast("string"), F.lit('", "shape": [1]}')))
+        .otherwise(F.concat(F.lit('{"id": "'), k.cast("string"), F.lit('"}')))
+    )
+    ops = _goods_ops(spark, d).join(_read(spark, d, "part").select(k.alias("seq"), document.alias("odd")), "seq").withColumn("document", F.col("odd")).drop("odd")
+    return ingest.parse(ops, GOODS).select("seq", "error")
+
+
+_add("bulk_statuses", _statuses, """SELECT p_partkey AS seq, CASE p_partkey % 6 WHEN 0 THEN 'Empty key' WHEN 1 THEN 'Invalid JSON' WHEN 2 THEN 'Missing key'
+  WHEN 3 THEN 'Unknown field: other' WHEN 4 THEN 'Vector shape needs 2 numbers' END AS error FROM part""")
+
+
+def _goods(spark: SparkSession, d: str) -> Collection:
+    c = Collection.create(spark, f"{_scratch(spark)}/goods", GOODS)
+    c.apply(_goods_ops(spark, d), 10**6, report=False)
+    return c
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    """The stored JSON as it came."""
+    c = _goods(spark, d)
+    return search.plan(c.df, GOODS, SearchRequest(filters=(R.Range("size", "45"),), include_source=True, top_k=10_000)).page.select("doc_id", "source")
+
+
+_add("include_source", lambda s, d: _sources(s, d).withColumn("source", F.regexp_replace("source", " ", "")), """SELECT CAST(p_partkey AS VARCHAR) AS doc_id,
+  '{"id":"' || p_partkey || '","small":false,"size":' || n || ',"big":' || CASE WHEN p_partkey % 7 = 0 THEN '"' || p_partkey * 1000003 || '"' ELSE (p_partkey * 1000003)::VARCHAR END
+  || ',"price":' || n || ',"made":' || p_partkey * 86400000 || ',"place":{"lat":' || p_partkey % 90 || ',"lon":' || -(p_partkey % 180) || '},"shape":[' || p_size || ',0.5],"words":["'
+  || replace(p_brand, ' ', '') || '","' || replace(p_type, ' ', '') || '"],"numbers":[1,"2",' || p_size || '],"flags":[true,false]}' AS source
+  FROM (SELECT *, CASE WHEN p_partkey % 7 = 0 THEN '"' || p_size || '"' ELSE p_size::VARCHAR END AS n FROM part) WHERE p_size >= 45 AND p_partkey % 11 <> 0""")
+
+
+def _schema_swapped(spark: SparkSession, d: str) -> DataFrame:
+    """The schema loses and gains fields; the documents are projected anew, and another handle sees it."""
+    c = _goods(spark, d)
+    kept = SearchSchema((_key(), _all("size", "INT64"), _all("price", "STRING"), Field("words", "STRING_COLLECTION", searchable=True)), ttl_enabled=True)
+    c.update_schema(kept)
+    return Collection.open(spark, c.root).df.select("id", "size", "price", F.size("words").alias("n_words"), F.col("_tenant_id").alias("tenant"))
+
+
+_add("schema_update", _schema_swapped, f"""SELECT CAST(p_partkey AS VARCHAR) AS id, {_FULL.format("p_size::BIGINT")} AS size, {_FULL.format("p_size::VARCHAR")} AS price,
+  {_FULL.format("2")} AS n_words, 't' AS tenant FROM part""")
+
+
+def _collection_search(spark: SparkSession, d: str) -> DataFrame:
+    """Two writers' batches, a deletion by query, expiry, and a merge; then a text search by the collection's own index."""
+    c, ops = _goods(spark, d), _goods_ops(spark, d)
+    Collection.open(spark, c.root).apply(ops.filter("seq % 4 = 0").withColumn("document", F.concat(F.lit('{"id": "'), F.col("seq").cast("string"), F.lit('", "words": ["steel again"]}'))).withColumn("seq", F.col("seq") + 10**6), 3 * 10**6, report=False)
+    c.refresh()
+    c.delete_by_query((R.Range("size", "30", "35"),))
+    c.sweep(NOW_MS + 100_000)
+    c.compact()
+    hits = search.matched_rows(c.df, GOODS, SearchRequest(text_query="again 12"), c.text_index())
+    return hits.select("id", (F.col("_score") > 0).alias("found"))
+
+
+_add("collection_search", _collection_search, """SELECT CAST(p_partkey AS VARCHAR) AS id, true AS found FROM part WHERE p_partkey % 5 <> 0 AND
+  (p_partkey % 4 = 0 OR (p_partkey % 11 <> 0 AND p_size NOT BETWEEN 30 AND 35 AND regexp_matches(lower(p_brand || ' ' || p_type), '\\b12\\b')))""")
+
+
+def _with_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """Facets and the total are of all matches, whatever the page; the result is a request's, collected."""
+    r = SearchRequest(filters=(R.Range("size", "5"),), facets=(R.Facet("brand", 5), R.Facet("small")), top_k=7, sort=(R.Sort("size"),), search_after=R.Cursor(1.0, 50, ("20",)))
+    found = search.run(part(spark, d), PART, r)
+    rows = [(f, x["value"], x["count"]) for f, each in found.facets.items() for x in each]
+    return spark.createDataFrame([*rows, ("total", "", found.total), ("hits", str(found.hits[-1]["_doc"]) if found.hits else "", len(found.hits))], "field string, value string, count long")
+
+
+_add("facets_with_cursor", _with_cursor, f"""WITH h AS (SELECT _doc FROM {PART_SQL} WHERE size >= 5 AND (size > 20 OR (size = 20 AND _doc > 50)) ORDER BY size, _doc LIMIT 7),
+  l AS (SELECT arg_max(_doc, r) AS _doc, count(*) AS n FROM (SELECT _doc, row_number() OVER () AS r FROM h))
+  SELECT 'brand' AS field, * FROM ({_terms_sql(PART_SQL, "brand", "count DESC, value", 5, "size >= 5")}) UNION ALL
+  SELECT 'small', * FROM ({_terms_sql(PART_SQL, _BOOL, "count DESC, value", 10, "size >= 5")}) UNION ALL
+  SELECT 'total', '', count(*) FROM {PART_SQL} WHERE size >= 5 UNION ALL SELECT 'hits', coalesce(_doc::VARCHAR, ''), n FROM l""")
+
+
+def _restarted(spark: SparkSession, d: str) -> DataFrame:
+    """A stream that is stopped between two parts of the log and started again, with a line that is no JSON."""
+    root = _scratch(spark)
+    users = Collection.create(spark, f"{root}/users", USERS)
+    for k in range(2):
+        upsert.append_operations(spark, f"{root}/ops", _ops(spark, d).filter(F.pmod(F.col("seq"), F.lit(2)) == k))
+        spark.createDataFrame([("{broken",)], "value string").coalesce(1).write.mode("append").text(f"{root}/ops")
+        upsert.merge_batches(upsert.read_operations(spark, f"{root}/ops"), users, f"{root}/checkpoint").awaitTermination()
+    return _shown(Collection.open(spark, users.root).df)
+
+
+_add("stream_restart", _restarted, _UPSERT_SQL)
+_add("hybrid_ignores_sort", lambda s, d: search.plan(mixed(s, d), MIXED, SearchRequest(text_query="idiot trash", text_field="text", vector=R.Vector("embedding", QUERY_VECTOR), sort=(R.Sort("chars"),), search_after=R.Cursor(0.5, 7, (3,)), top_k=20), text_index(s, d, texts, TEXTS)).page.select(F.col("_doc").alias("doc"), F.round("_score", 8).alias("score")), _hybrid_sql())
+_add("text_recency", _page(events, EVENTS, SearchRequest(text_query="click purchase", half_life_seconds=86_400, now_ms=NOW_MS, top_k=30), digits=9), f"""
+  SELECT doc, round(raw * exp(-ln(2) / 86400000 * greatest(0, {NOW_MS} - _indexed_at)), 9) AS score FROM
+  ({_bm25_sql(EVENTS_SQL, {"event": "event"}, [("event", "click"), ("event", "purchase")], limit=10**9).replace("round(raw, 6) AS score", "raw")}) AS b JOIN {EVENTS_SQL} AS e ON e._doc = b.doc
+  ORDER BY raw * exp(-ln(2) / 86400000 * greatest(0, {NOW_MS} - _indexed_at)) DESC, doc LIMIT 30""")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """BM25 with a term filter, ten best."""
     return QUERIES["bm25_filtered"](spark, d)

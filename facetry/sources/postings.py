@@ -8,7 +8,7 @@ term are dealt over several files by row number.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ POSTING = "field string, term string, _doc long, tf int, dl int, head boolean, p
 #: Tokens that are grouped at a time in one task.
 BATCH_TOKENS = 500_000
 ROW_GROUP_BYTES = 8 << 20
+#: Terms whose frequencies are kept on the driver.
+KNOWN_TERMS = 100_000
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -99,6 +101,7 @@ class TextIndex:
     terms: DataFrame
     lengths: dict[str, tuple[int, int]]
     live: bool = True
+    known: dict[tuple[str, str], int] = field(default_factory=dict)  # frequencies that were looked up before
 
     @classmethod
     def open(cls, spark: SparkSession, paths: list[str], live: bool = True) -> TextIndex:
@@ -108,10 +111,15 @@ class TextIndex:
 
     def frequencies(self, wanted: set[tuple[str, str]]) -> dict[tuple[str, str], int]:
         """In how many rows the field has the term."""
-        if not wanted:
-            return {}
-        rows = self.terms.filter(among(wanted)).groupBy("field", "term").agg(F.sum("df").alias("df")).collect()  # as many as wanted
-        return {(r["field"], r["term"]): r["df"] for r in rows}
+        new = {x for x in wanted if x not in self.known}
+        if new:
+            if len(self.known) + len(new) > KNOWN_TERMS:
+                self.known.clear()
+                new = set(wanted)
+            self.known.update(dict.fromkeys(new, 0))
+            for r in self.terms.filter(among(new)).collect():  # one row for each segment and term
+                self.known[r["field"], r["term"]] += r["df"]
+        return {x: self.known[x] for x in wanted}
 
     def mean_length(self, name: str) -> float:
         n, total = self.lengths.get(name, (0, 0))
