@@ -1,17 +1,20 @@
 """Analyzers: text columns to arrays of tokens.
 
 ``standard``, ``simple``, ``keyword`` and ``whitespace`` are Column expressions.  Language analyzers take standard
-tokens, drop the language's stop words and apply a light stemmer; those run in one Arrow batch function.
+tokens, drop the language's stop words and stem the others (``stemming``), in one Arrow batch function.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from facetry.functions.stemming import stem, stop_words
 from facetry.schema import Field
 
 STANDARD = r"[\p{L}\p{N}_]+(?:['’.][\p{L}\p{N}_]+)*"
@@ -19,24 +22,6 @@ LANGUAGES = tuple("ar hy eu bn br bg ca cjk cs da nl en et fi fr gl de el hi hu
 #: Position gap between two values of one field, which phrases do not cross.
 GAP = 100
 
-# Short stop word lists of common languages.
-STOP = {
-    "en": "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with",
-    "fr": "au aux avec ce ces dans de des du elle en et eux il je la le les leur lui ma mais me même mes moi mon ne nos notre nous on ou par pas pour qu que qui sa se ses son sur ta te tes toi ton tu un une vos votre vous",
-    "de": "aber als am an auch auf aus bei bin bis das dass dem den der des die du ein eine einem einen einer es für hat ich ihr im in ist mit nach nicht oder sich sie sind so um und uns von war was wie wir zu zum zur",
-    "es": "al como con de del el ella en entre es esta este la las lo los más me mi no nos o para pero por que se sin su sus te un una y ya",
-    "it": "al che con da dei del della di e gli ha i il in io la le lo ma mi nel non o per più se si sono su un una",
-    "pt": "a ao as com da das de do dos e em é mais na não no o os ou para por que se sem sua um uma",
-    "nl": "aan als bij dat de den der des die dit door een en er had heb het hij ik in is je maar met naar niet of om op te tot uit van voor was wat zijn",
-}
-#: Light stemmers: endings that go, longest first, if at least three letters stay.
-ENDINGS = {
-    "en": "ing edly ed ies es s ly", "fr": "issements ements ations ement ation euses euse eux aux ités ité es s e", "de": "ungen ung heiten heit keiten keit ern em en er es e s n",
-    "es": "amientos imientos aciones amiento imiento ación mente idades idad os as es o a e", "it": "azioni azione mente i e a o", "pt": "amentos amento ações ação mente os as es o a e",
-    "nl": "heden heid ingen ing en e s",
-}
-
-
 def names() -> list[str]:
     return ["standard", "simple", "keyword", "whitespace", *[f"lucene.{c}" for c in LANGUAGES]]
 
@@ -51,13 +36,6 @@ def _non_empty(x: Column) -> Column:
     return F.filter(x, lambda t: t != "")
 
 
-def stem(word: str, language: str) -> str:
-    for ending in ENDINGS.get(language, "").split():
-        if word.endswith(ending) and len(word) - len(ending) >= 3:
-            return word[: -len(ending)]
-    return word
-
-
 def cjk_bigrams(token: str) -> list[str]:
     if not re.search(r"[぀-ヿ㐀-鿿가-힯]", token):
         return [token]
@@ -65,19 +43,19 @@ def cjk_bigrams(token: str) -> list[str]:
 
 
 def _language(code: str, tokens: Column) -> Column:
-    stop = frozenset(STOP.get(code, "").split())
+    stop = stop_words(code)
 
     @F.arrow_udf("array<string>")
     def run(t: pa.Array) -> pa.Array:
-        out = []
-        for row in t.to_pylist():
-            if row is None:
-                out.append(None)
-            elif code == "cjk":
-                out.append([x for w in row for x in (cjk_bigrams(w) if w is not None else (None,))])
-            else:
-                out.append([None if w is None or w in stop else stem(w, code) for w in row])
-        return pa.array(out, pa.list_(pa.string()))
+        if code == "cjk":
+            rows = t.to_pylist()
+            return pa.array([r if r is None else [x for w in r for x in (cjk_bigrams(w) if w is not None else (None,))] for r in rows], pa.list_(pa.string()))
+        # Each distinct word of the batch is stemmed once.
+        lengths = pc.fill_null(pc.list_value_length(t), 0).to_numpy(zero_copy_only=False)
+        coded = t.flatten().dictionary_encode()
+        stems = pa.array([None if w in stop else stem(w, code) for w in coded.dictionary.to_pylist()], pa.string())
+        ends = np.append(0, np.cumsum(lengths)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), stems.take(coded.indices), mask=t.is_null())
 
     return run(tokens)
 
@@ -126,4 +104,4 @@ def query_tokens(name: str, text: str) -> list[str]:
         return words
     if code == "cjk":
         return [x for w in words for x in cjk_bigrams(w)]
-    return [stem(w, code) for w in words if w not in STOP.get(code, "").split()]
+    return [stem(w, code) for w in words if w not in stop_words(code)]
