@@ -89,13 +89,21 @@ def _hybrid(docs: DataFrame, schema: SearchSchema, r: SearchRequest, index: Text
     return fused, best.orderBy(F.desc("_score"), "_doc").offset(skip).limit(k).orderBy(F.desc("_score"), "_doc")
 
 
+def _some_fields(page: DataFrame, names: list[str]) -> Column:
+    """Top-level fields as JSON: from the stored document, with whatever they hold, where it is kept; else from columns."""
+    if "_src" not in page.columns:
+        return F.to_json(F.struct(*names))
+    stored = F.parse_json("_src")
+    return F.to_json(F.struct(*[F.variant_get(stored, f"$['{n}']", "variant").alias(n) for n in names]))
+
+
 def project(page: DataFrame, schema: SearchSchema, r: SearchRequest) -> DataFrame:
     """Hits: ``doc_id, _score, _doc``, sort keys, and ``source`` where it is asked for."""
     keys = [c for c in page.columns if c.startswith("_sort")]
     out = [F.col(schema.key).alias("doc_id"), "_score", "_doc", *keys]
     if r.source_fields:
         known = [f.name for f in schema.fields if f.name in r.source_fields]
-        out.append(F.to_json(F.struct(*known)).alias("source") if known else F.lit("{}").alias("source"))
+        out.append(_some_fields(page, known).alias("source") if known else F.lit("{}").alias("source"))
     elif r.include_source:
         out.append(F.col("_src").alias("source") if "_src" in page.columns else F.to_json(F.struct(*[f.name for f in schema.fields])).alias("source"))
     return page.select(*out)

@@ -289,6 +289,15 @@ def test_whole_source(docs):
     assert json.loads(hit["source"])["notes"] == ROWS[2][2]
 
 
+def test_source_fields_keep_what_the_document_holds(spark):
+    schema = SearchSchema((field("id", "STRING", "KF"), field("place", "GEO_POINT", "F"), field("size", "DOUBLE", "F"), field("a b", "STRING")))
+    ops = [(0, 0, '{"id": "x", "place": {"lat": 1, "lon": 2, "note": "by hand"}, "size": "12.50", "a b": "é"}', None, None, 0, NOW), (1, 0, '{"id": "y"}', None, None, 0, NOW)]
+    rows = ingest.stamped(ingest.parse(spark.createDataFrame(ops, ingest.OPERATION), schema), schema)
+    got = search.plan(rows, schema, Q(source_fields=("place", "size", "a b", "none"))).page.collect()
+    assert json.loads(got[0]["source"]) == {"place": {"lat": 1, "lon": 2, "note": "by hand"}, "size": "12.50", "a b": "é"} and got[1]["source"] == "{}"
+    assert search.plan(rows, schema, Q(source_fields=("none",))).page.first()["source"] == "{}"
+
+
 def test_a_late_search_says_so(spark, docs):
     from pyspark.sql import types as T
 
