@@ -88,7 +88,7 @@ def choose(a: np.ndarray, b: np.ndarray, n: int, m: int, least_z: float, least_t
     return (np.abs(z) >= least_z) & ((a >= least_texts) | ((z < 0) & (b >= 10)))
 
 
-def train(p_rows: list[np.ndarray], u_rows: list[np.ndarray], chosen: np.ndarray, prior: float, epochs: int = 800, rate: float = 0.1, decay: float = 1e-4) -> Classifier:
+def train(p_rows: list[np.ndarray], u_rows: list[np.ndarray], chosen: np.ndarray, prior: float, epochs: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Classifier:
     """From the buckets of positive and of unlabelled texts; ``chosen`` are those that count, in order."""
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
