@@ -51,7 +51,7 @@ PART, WHOLE = 75, 100
 CHUNK_SHINGLES = 50_000
 #: Packed postings that one task takes.
 POSTINGS_BYTES = 16 << 20
-PACK_SHINGLES = 1_000_000
+PACK_SHINGLES = 500_000
 POSTING = 9.5  # bytes of a packed posting, about
 _MU = 0.02
 #: Lists are divided where the longest has as many rows.
@@ -140,7 +140,7 @@ def _postings(buckets: int):
         size = np.array([len(s) for s, _ in parts], np.int32)
         mark = np.array([m for _, m in parts], np.int64)
         shingle = np.concatenate([s for s, _ in parts])
-        row = np.repeat(np.arange(len(parts)), size)
+        row = np.repeat(np.arange(len(parts), dtype=np.int32), size)
         bucket = ((shingle >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         shingle, row, bucket = shingle[by], row[by], bucket[by]
@@ -414,7 +414,7 @@ def _search(texts: DataFrame, dealt: DataFrame) -> DataFrame:
     rows, load = dealt.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     tasks = max(8, load // (4 * CHUNK_SHINGLES))
     joined = texts.join(sized_broadcast(dealt.select("id", "block", "query"), rows), "id").select("block", "id", "query", "t")
-    return cut(joined.repartition(tasks, "block").sortWithinPartitions("block", "id").mapInArrow(_search_blocks, "a long, b long"))
+    return cut(joined.repartition(tasks, "block").sortWithinPartitions("block", "id").mapInArrow(K.trimmed(_search_blocks), "a long, b long"))
 
 
 def _links(texts: DataFrame, members: DataFrame, chunk: int) -> tuple[DataFrame, bool]:
@@ -464,24 +464,24 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk:
 def _components(docs: DataFrame, key: str, text: str, chunk: int = CHUNK_SHINGLES) -> DataFrame:
     """``id, n, component`` for each row, in nodes."""
     rows = docs.select(_node(key, text).alias("id"), F.col(text).cast("string").alias("t"))
-    sets = written(rows.mapInArrow(_set_pass, "id long, n long, s1 long, s2 long"))
+    sets = written(rows.mapInArrow(K.trimmed(_set_pass), "id long, n long, s1 long, s2 long"))
     total, shingles = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     classes = cut(sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")))
 
     packed = "bucket int, blob binary"
     parts = max(8, int(shingles * POSTING / POSTINGS_BYTES) + 1)
     few = max(8, parts // 4)
-    lists = rows.select("t").mapInArrow(_postings(parts), packed).repartitionById(parts, "bucket")
-    shared = lists.mapInArrow(_counts(few), packed).repartitionById(few, "bucket").mapInArrow(_sum_counts, "s1 long, shared long")
+    lists = rows.select("t").mapInArrow(K.trimmed(_postings(parts)), packed).repartitionById(parts, "bucket")
+    shared = lists.mapInArrow(K.trimmed(_counts(few)), packed).repartitionById(few, "bucket").mapInArrow(K.trimmed(_sum_counts), "s1 long, shared long")
     able = classes.join(shared.groupBy("s1").agg(F.sum("shared").alias("shared")), "s1")
     able = cut(able.filter(WHOLE * F.col("shared") >= PART * F.col("n")).select(F.col("rep").alias("id"), "s1", "n"))
 
     n_able, shingles = able.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     parts = max(8, int(shingles * POSTING / POSTINGS_BYTES) + 1)
     texts = rows.join(sized_broadcast(able.select("id"), n_able), "id").select("t")
-    lists = texts.mapInArrow(_postings(parts), packed).repartitionById(parts, "bucket")
-    orders = lists.mapInArrow(_orders(parts), packed).repartitionById(parts, "bucket")
-    ties = orders.mapInArrow(_prefixes(parts), packed).repartitionById(parts, "bucket").mapInArrow(_ties, "a long, b long")
+    lists = texts.mapInArrow(K.trimmed(_postings(parts)), packed).repartitionById(parts, "bucket")
+    orders = lists.mapInArrow(K.trimmed(_orders(parts)), packed).repartitionById(parts, "bucket")
+    ties = orders.mapInArrow(K.trimmed(_prefixes(parts)), packed).repartitionById(parts, "bucket").mapInArrow(K.trimmed(_ties), "a long, b long")
     blocks = components(ties).withColumnRenamed("node", "s1")
     members = cut(able.join(blocks, "s1").select("id", "n", "root"))
     n_members = members.count()

@@ -35,6 +35,16 @@ def release_memory() -> None:
         trim(0)
 
 
+def trimmed(run):
+    """A function over batches that gives its memory back when its task ends."""
+
+    def whole(batches):
+        yield from run(batches)
+        release_memory()
+
+    return whole
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), element by element."""
     x = x ^ (x >> np.uint64(30))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetry.llm.spark_utils import BROADCAST_ROWS, HOT_SALTS, cut, whole_row
+from facetry.llm.spark_utils import HOT_SALTS, cut, is_small, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 DIGITS = 6
@@ -70,9 +70,9 @@ def _order(seed: int, key: Column, text: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key, text), 64 - HASH_BITS)
 
 
-def with_source_rows(left: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
-    """Joins rows to their source's row by ``__k``: broadcast if the sources are few, else dealt over salts."""
-    if n_sources <= BROADCAST_ROWS:
+def with_source_rows(left: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
+    """Joins rows to their source's row by ``__k``: broadcast if the sources are few and short, else dealt over salts."""
+    if small:
         return left.join(F.broadcast(sources), "__k")
     salted = sources.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))))
     return left.withColumn("__salt", F.pmod(F.xxhash64("__u"), F.lit(HOT_SALTS)).cast("int")).join(salted, ["__k", "__salt"]).drop("__salt")
@@ -93,7 +93,7 @@ def _fit(rows: Column, budget: Column) -> Column:
     return F.aggregate(rows, start, step)
 
 
-def plan(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
+def plan(rows: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
     """For each source: whole repetitions, the hash below which a document gets one more, and further hashes that do.
 
     ``rows`` has ``__k, __u, size``; ``sources`` has ``__k, source_size, target, n``, with ``n`` its rows.
@@ -103,12 +103,12 @@ def plan(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
     state = cut(state.withColumn("prefix", F.lit(0).cast("long")))
     bits, left = 0, sources.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     while left > EXACT_ROWS and bits + DIGITS <= HASH_BITS:
-        inside = with_source_rows(rows, state.select("__k", "prefix"), n_sources).filter(F.shiftright("__u", HASH_BITS - bits) == F.col("prefix")) if bits else rows
+        inside = with_source_rows(rows, state.select("__k", "prefix"), small).filter(F.shiftright("__u", HASH_BITS - bits) == F.col("prefix")) if bits else rows
         bits += DIGITS
         digit = F.shiftright("__u", HASH_BITS - bits)
         sums = inside.groupBy("__k", digit.alias("d")).agg(F.sum("size").alias("s"), F.count("*").alias("n"))
         upto = F.sum("s").over(Window.partitionBy("__k").orderBy("d"))  # at most 2 ** DIGITS rows for each source
-        sums = sums.withColumn("before", upto - F.col("s")).withColumn("upto", upto).join(F.broadcast(state.select("__k", "budget")) if n_sources <= BROADCAST_ROWS else state.select("__k", "budget"), "__k")
+        sums = sums.withColumn("before", upto - F.col("s")).withColumn("upto", upto).join(F.broadcast(state.select("__k", "budget")) if small else state.select("__k", "budget"), "__k")
         ends = sums.filter((F.col("upto") > F.col("budget")) & (F.col("before") <= F.col("budget")))
         ends = ends.groupBy("__k").agg(F.min(F.struct("d", "before", "n")).alias("e"))
         past = F.lit(1 << bits).cast("long")  # the budget takes all rows: a prefix that no hash has
@@ -119,7 +119,7 @@ def plan(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
             )
         )
         left = state.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    last = with_source_rows(rows, state.select("__k", "prefix", "budget"), n_sources).filter(F.shiftright("__u", HASH_BITS - bits) == F.col("prefix"))
+    last = with_source_rows(rows, state.select("__k", "prefix", "budget"), small).filter(F.shiftright("__u", HASH_BITS - bits) == F.col("prefix"))
     each = last.groupBy("__k", "__u").agg(F.sum("size").alias("s"), F.first("budget").alias("budget"))
     ordered = F.sort_array(F.collect_list(F.struct(F.col("__u").alias("u"), "s")))  # at most EXACT_ROWS
     groups = each.groupBy("__k").agg(ordered.alias("rows"), F.first("budget").alias("budget"))
@@ -145,25 +145,25 @@ def _sized(docs: DataFrame, key: str, text: str, source: str, seed: int) -> Data
     return docs.select(F.col(key).alias("doc_id"), _key(F.col(source)).alias("__k"), F.col(source).cast("string").alias("source"), word_count(t).alias("size"), _order(seed, F.col(key), t).alias("__u"))
 
 
-def _plan(rows: DataFrame, weights, share: float, max_epochs: float) -> tuple[DataFrame, int]:
+def _plan(rows: DataFrame, weights, share: float, max_epochs: float) -> tuple[DataFrame, bool]:
     sources = cut(cycled_weights(rows.groupBy("__k").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n")), weights))
-    n = sources.count()
-    return plan(rows, water_fill(sources, share, max_epochs).select("__k", "source_size", "target", "n"), n), n
+    small = is_small(sources)
+    return plan(rows, water_fill(sources, share, max_epochs).select("__k", "source_size", "target", "n"), small), small
 
 
 def mix_report(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` (and ``copies``) for each row."""
     rows = cut(_sized(docs, key, text, source, seed))
-    decided, n = _plan(rows, weights, share, max_epochs)
-    out = with_source_rows(rows, decided, n).withColumn("copies", copies())
+    decided, small = _plan(rows, weights, share, max_epochs)
+    out = with_source_rows(rows, decided, small).withColumn("copies", copies())
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """The mixed rows themselves, each as often as it is taken, with the columns they came with."""
     rows = cut(_sized(docs, key, text, source, seed))
-    decided, n = _plan(rows, weights, share, max_epochs)
+    decided, small = _plan(rows, weights, share, max_epochs)
     t = F.col(text).cast("string")
     marked = docs.select(whole_row(docs), _key(F.col(source)).alias("__k"), _order(seed, F.col(key), t).alias("__u"), word_count(t).alias("size"))
-    taken = with_source_rows(marked, decided.drop("source_size", "target"), n).withColumn("__c", copies().cast("int")).filter("__c > 0")
+    taken = with_source_rows(marked, decided.drop("source_size", "target"), small).withColumn("__c", copies().cast("int")).filter("__c > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("__c"))).alias("__r")).select("row.*")

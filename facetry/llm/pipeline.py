@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.llm import bpe, jaccard, langid, mixing, quality
-from facetry.llm.spark_utils import small_batches, whole_row, written
+from facetry.llm.spark_utils import remove, small_batches, whole_row, written_at
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -72,9 +72,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs)
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        docs, path = written_at(stage(spark, docs, sf_dir))
+        if before is not None:  # nothing reads it any more
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it has at most so many (narrow) rows; beyond that the join shuffles.
-BROADCAST_ROWS = 400_000
+#: A side is broadcast only up to so many rows and bytes of values; beyond that the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 16 << 20
 #: A key is hot with more than this share of all rows, so there are at most 1 / HOT_SHARE hot keys at any size.
 HOT_SHARE = 1 / 1000
 HOT_SALTS = 64
@@ -62,23 +62,43 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """As ``cut``, but as a Parquet table: smaller, and read by column."""
+    return written_at(df)[0]
+
+
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """The written table and its folder, for ``remove``."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that is not needed any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a (computed) table may be broadcast, by its rows and the bytes of its values."""
+    fixed = {"bigint": 8, "int": 4, "double": 8, "boolean": 1}
+    width = [F.lit(fixed[t]) if t in fixed else F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c, t in df.dtypes]
+    rows, size = df.select(sum(width, F.lit(0)).cast("long").alias("w")).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
 def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """For sides of a few numbers in each row, whose rows are counted."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def skew_safe_left_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """Left join to a table with one row for each key, where ``count`` says how many left rows the key has.
 
-    A right side of few rows (they are counted first) is broadcast.  Otherwise the join shuffles: rows of hot keys are dealt over HOT_SALTS salts.  The hot keys are few by definition, so the set of them is
+    A right side of few rows and bytes (they are counted first) is broadcast.  Otherwise the join shuffles: rows of hot keys are dealt over HOT_SALTS salts.  The hot keys are few by definition, so the set of them is
     broadcast; only their rows on the right are repeated.  ``count`` is dropped.
     """
     right = cut(right)
-    if right.count() <= BROADCAST_ROWS:
+    if is_small(right):
         return left.join(F.broadcast(right.drop(count)), keys, "left")
     least = max(64, int(total * HOT_SHARE))
     hot = right.filter(F.col(count) >= least).select(*keys, F.lit(True).alias("__hot"))
