@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.llm import kernels as K
-from facetry.llm.spark_utils import cut
+from facetry.llm.spark_utils import cut, is_small
 
 GRAM = 4
 SHARE = 0.3
@@ -181,8 +181,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     # Counts of a bounded sample: at most 256 ** GRAM n-grams of each language, whatever the corpus.
     found = cut(sample.mapInArrow(_count, "g long, l int, n long").groupBy("g", "l").agg(F.sum("n").alias("n")))
     total = found.groupBy("l").agg(F.sum("n").alias("total"))
-    frequent = Window.partitionBy("l").orderBy(F.col("n").desc(), "g")
-    wanted = found.withColumn("place", F.row_number().over(frequent)).filter(F.col("place") <= capacity).select("g").distinct()
+    # Which counts a language's most frequent n-grams have; of those that just miss, as many as there is room for, by hash.
+    levels = found.groupBy("l", "n").agg(F.count("*").alias("k"))  # few: a language's different counts
+    upto = F.sum("k").over(Window.partitionBy("l").orderBy(F.col("n").desc()))
+    room = F.greatest(F.lit(0), F.least(F.col("k"), capacity - (F.col("upto") - F.col("k")))) / F.col("k")
+    levels = cut(levels.withColumn("upto", upto).select("l", "n", room.alias("share")))
+    placed = found.join(F.broadcast(levels) if is_small(levels) else levels, ["l", "n"])
+    wanted = placed.filter(F.pmod(F.xxhash64("g"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("g").distinct()
     rates = found.join(wanted, "g", "left_semi").join(F.broadcast(total), "l").withColumn("rate", F.col("n") / F.col("total"))
     member = rates.withColumn("most", F.max("rate").over(Window.partitionBy("g"))).filter(F.col("rate") >= SHARE * F.col("most"))
     words = -(-len(languages) // 64)
