@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def similarity_score(kind: str, column: Column, query) -> Column:
-    """Score of a vector column against a literal vector; higher is nearer."""
-    q = F.array(*[F.lit(float(x)) for x in query])
+def _scores(kind: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Scores of the rows of ``x``."""
     if kind == "EUCLIDEAN":
-        d2 = F.aggregate(F.zip_with(column, q, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
-        return 1 / (1 + d2)
-    product = dot(column, q)
+        return 1 / (1 + ((x - q) ** 2).sum(axis=1))
+    product = x @ q
     if kind == "COSINE":
-        norm = sum(float(x) ** 2 for x in query) ** 0.5
-        return (1 + product / (F.sqrt(dot(column, column)) * F.lit(norm))) / 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return (1 + product / (np.sqrt((x * x).sum(axis=1)) * np.sqrt(q @ q))) / 2
     if kind == "DOT_PRODUCT":
         return (1 + product) / 2
-    return F.when(product < 0, 1 / (1 - product)).otherwise(product + 1)
+    return np.where(product < 0, 1 / (1 - np.minimum(product, 0)), product + 1)
+
+
+def similarity_score(kind: str, column: Column, query) -> Column:
+    """Score of a vector column against a literal vector; higher is nearer.
+
+    A batch of vectors is one matrix in Arrow's own memory, so a row costs a product, not a step of an interpreter for
+    each number.  Vectors that are null, of another length, or hold a null have no score.
+    """
+    q = np.array([float(x) for x in query])
+
+    @F.arrow_udf("double")
+    def run(v: pa.Array) -> pa.Array:
+        fits = pc.fill_null(pc.equal(pc.list_value_length(v), len(q)), False).to_numpy(zero_copy_only=False)
+        flat = v.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False)  # a null number is nan
+        out = np.full(len(v), np.nan)
+        out[fits] = _scores(kind, flat.astype(np.float64).reshape(-1, len(q)), q)
+        return pa.array(out, mask=np.isnan(out))
+
+    return run(column)
