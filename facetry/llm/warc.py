@@ -9,7 +9,9 @@ refer to it and hold headers only.  Bundles are rows of a table that Spark write
 executor or a repeated task leaves no half-written archive; ``export`` writes them as files.
 
 Defined results: null html is an empty payload; rows that share the largest id and the payload are all responses;
-a row without an id is a response unless a row with an id has its payload.
+a row without an id is a response unless a row with an id has its payload; every row has a record, repeated ones too;
+an empty table gives no bundle; a payload of any length is one record in a frame of its own.  Other columns are not
+looked at.
 """
 
 from __future__ import annotations
