@@ -112,6 +112,7 @@ class Commit:
 #: Segments above which a write is followed by a compaction.
 MAX_SEGMENTS = 64
 FILE_BYTES = 128 << 20
+MAX_TRIES = 1000
 
 
 class Collection:
@@ -181,11 +182,13 @@ class Collection:
 
     def _publish(self, change, refresh: int = WAIT_FOR) -> Commit:
         """Commits ``change`` of the last commit; where another writer is first, of theirs."""
-        while True:
+        for _ in range(MAX_TRIES):
             last = self.latest()
             new = replace(change(last), n=last.n + 1)
             if self.files.create_new(self._commit_path(self.root, new.n), json.dumps(asdict(new))):
                 break
+        else:
+            raise Conflict(f"{MAX_TRIES} commits of others came first")
         if refresh != NONE:
             self.refresh()
         return new
