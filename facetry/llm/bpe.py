@@ -37,10 +37,10 @@ from facetry.llm.kernels import parts, release_memory
 
 NONE = np.int32(np.iinfo(np.int32).max)
 #: Bytes of the texts that are replayed together: whole batches, a long text alone.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 8 << 20
 #: Pieces that stay for later groups, and their characters.
-CACHE_PIECES = 150_000
-CACHE_CHARS = 1_500_000
+CACHE_PIECES = 100_000
+CACHE_CHARS = 1_000_000
 #: Bytes of a batch that are Python strings at a time.
 PART_BYTES = 2 << 20
 
