@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import threading
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,7 +81,9 @@ def _hybrid(docs: DataFrame, schema: SearchSchema, r: SearchRequest, index: Text
         raise ValueError("Facets are not supported in hybrid search")
     skip, k = paging.offset(r.offset), paging.top_k(r.top_k)
     where, n = combine(schema, r.filters, r.tenant_id), skip + k
-    by_text = pipeline(_with_filter(text.score(docs, schema, text.resolve(schema, r), index, held), where), _modifiers(schema, r))
+    by_text = _best_ids(schema, replace(r, sort=()), index)  # a sort is left aside here
+    if by_text is None:
+        by_text = pipeline(_with_filter(text.score(docs, schema, text.resolve(schema, r), index, held), where), _modifiers(schema, r))
     by_text = by_text.orderBy(F.desc("_score"), "_doc").limit(n).select("_doc", "_score")
     by_vector = vector.knn(docs, schema, r.vector.field, r.vector.vector, r.vector.k or n, where)
     fused = rrf([by_text, by_vector], n)
