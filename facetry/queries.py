@@ -17,7 +17,7 @@ from facetry.plans import search
 from facetry.request import SearchRequest
 from facetry.schema import Field, SearchSchema
 from facetry.sources import ingest, postings
-from facetry.sources.collection import Collection, Files
+from facetry.sources.collection import NONE, Collection, Files, Registry
 from facetry.streaming import upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -718,6 +718,76 @@ _add("text_recency", _page(events, EVENTS, SearchRequest(text_query="click purch
   ORDER BY raw * exp(-ln(2) / 86400000 * greatest(0, {NOW_MS} - _indexed_at)) DESC, doc LIMIT 30""")
 
 
+# ---- rules of requests and collections ----
+
+_add("filter_operator_ignored", _filtered(part, PART, R.Compound(must=(_TERM("small", "T"), _RANGE("price", "970")), operator="OR")), _filter_sql(PART_SQL, "small AND price >= 970"))
+_add("hybrid_text_weight", lambda s, d: search.plan(mixed(s, d), MIXED, SearchRequest(text_query="idiot trash", text_field="text", text_weight=0.9, vector=R.Vector("embedding", QUERY_VECTOR), top_k=20), text_index(s, d, texts, TEXTS)).page.select(F.col("_doc").alias("doc"), F.round("_score", 8).alias("score")), _hybrid_sql())
+_PREFIXED = f"(SELECT _doc AS doc, 1.0 AS score FROM {TEXTS_SQL} WHERE len(list_filter({_STANDARD.format('text')}, lambda t: starts_with(t, 'disgu'))) > 0 ORDER BY _doc LIMIT 20)"
+_add("hybrid_prefix", lambda s, d: search.plan(mixed(s, d), MIXED, SearchRequest(prefix_query="Disgu", vector=R.Vector("embedding", QUERY_VECTOR), top_k=20), text_index(s, d, texts, TEXTS)).page.select(F.col("_doc").alias("doc"), F.round("_score", 8).alias("score")), f"""
+    WITH t AS (SELECT doc, row_number() OVER (ORDER BY doc) AS r FROM {_PREFIXED}),
+      v AS (SELECT doc, row_number() OVER (ORDER BY s DESC, doc) AS r FROM (SELECT vec_id AS doc, {_SIMILARITY_SQL["COSINE"]} AS s FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY s DESC, doc LIMIT 20)),
+      f AS (SELECT doc, sum(1 / (60.0 + r)) AS raw FROM (SELECT * FROM t UNION ALL SELECT * FROM v) GROUP BY doc)
+      SELECT doc, round(raw, 8) AS score FROM f ORDER BY raw DESC, doc LIMIT 20""")
+
+BY_FIELD = SearchSchema((_key(), Field("name", "STRING", searchable=True, index_analyzer="whitespace", search_analyzer="whitespace"), Field("kind", "STRING", searchable=True, index_analyzer="keyword", search_analyzer="keyword")))
+
+
+def _by_field(spark: SparkSession, d: str) -> DataFrame:
+    """Each field has its own analyzer; only the query string analyses the query's words, the text query lower-cases them."""
+    rows = part(spark, d).select("_doc", "id", "name", "kind")
+    found = lambda **r: search.matched_rows(rows, BY_FIELD, SearchRequest(**r)).select("_doc")
+    parts = {"query string": found(query_string="kind:STANDARD AND name:ring"), "text": found(text_query="STANDARD", text_field="kind"), "whole value": found(query_string='name:"small ring"')}
+    each = [df.select(F.lit(k).alias("how"), F.col("_doc").alias("doc")) for k, df in parts.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+_add("analyzer_per_field", _by_field, f"""SELECT 'query string' AS how, _doc AS doc FROM {PART_SQL} WHERE kind = 'STANDARD' AND list_contains(string_split(name, ' '), 'ring')
+  UNION ALL SELECT 'whole value', _doc FROM {PART_SQL} WHERE name LIKE 'small ring' OR name LIKE 'small ring %' OR name LIKE '% small ring' OR name LIKE '% small ring %'""")
+
+
+def _top_rules(spark: SparkSession, d: str) -> DataFrame:
+    pages = [search.plan(orders(spark, d), ORDERS, SearchRequest(top_k=k)).page.agg(F.lit(k).cast("long").alias("asked"), F.count("*").alias("n")) for k in (-1, 0, 7, 20_000)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2]).unionByName(pages[3])
+
+
+_add("top_k_rules", _top_rules, "SELECT asked::BIGINT AS asked, least(most, (SELECT count(*) FROM orders)) AS n FROM (VALUES (-1, 10), (0, 10), (7, 7), (20000, 10000)) AS v(asked, most)")
+
+
+def _visible(spark: SparkSession, d: str) -> DataFrame:
+    """What a reader sees after writes that do and do not refresh it."""
+    c, seen = _goods(spark, d), []
+    seen.append(("written", c.count()))
+    c.apply(_goods_ops(spark, d).withColumn("document", F.concat(F.lit('{"id": "new'), F.col("seq").cast("string"), F.lit('"}'))).withColumn("seq", F.col("seq") + 2 * 10**6), 4 * 10**6, refresh=NONE, report=False)
+    seen.append(("not refreshed", c.count()))
+    c.refresh()
+    seen.append(("refreshed", c.count()))
+    return spark.createDataFrame(seen, "what string, n long")
+
+
+_add("refresh_policy", _visible, "SELECT * FROM (VALUES ('written', 1), ('not refreshed', 1), ('refreshed', 2)) AS v(what, k) JOIN (SELECT count(*) AS c FROM part) ON true".replace("SELECT *", "SELECT what, k * c AS n"))
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """A registry's collections: created, closed, opened again with their rows, and names that are refused."""
+    registry, found = Registry(spark, _scratch(spark)), []
+    for name in ("parts", "default", "other"):
+        registry.create(name, GOODS.to_json())
+    registry.get("parts").apply(_goods_ops(spark, d), 10**6, report=False)
+    registry.close("parts")
+    found += [(f"open after closing: {n}", 0) for n in registry.list()]
+    found.append(("rows of parts", registry.open("parts").count()))
+    for name in ("", "a b", "x" * 65, "parts"):
+        try:
+            registry.create(name, GOODS.to_json())
+        except ValueError:
+            found.append((f"refused: {name[:3]}", len(name)))
+    return spark.createDataFrame(found, "what string, n long")
+
+
+_add("registry", _names, """SELECT 'rows of parts' AS what, count(*) AS n FROM part UNION ALL
+  SELECT * FROM (VALUES ('open after closing: default', 0), ('open after closing: other', 0), ('refused: ', 0), ('refused: a b', 3), ('refused: xxx', 65), ('refused: par', 5)) AS v""")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """BM25 with a term filter, ten best."""
     return QUERIES["bm25_filtered"](spark, d)
