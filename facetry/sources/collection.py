@@ -282,7 +282,10 @@ class Collection:
             self.files.delete(f"{self.root}/{dead}")
             raise
         if len(done.segments) > MAX_SEGMENTS:
-            self.compact(refresh=refresh)
+            try:
+                self.compact(refresh=refresh)
+            except Conflict:  # another writer merges them
+                pass
         return [r["error"] for r in parsed.select("seq", "error").orderBy("seq").collect()] if report else []
 
     def load(self, rows: DataFrame, next_seq: int, refresh: int = WAIT_FOR) -> None:

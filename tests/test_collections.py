@@ -188,6 +188,15 @@ def test_a_commit_number_is_taken_once(spark, tmp_path):
         one.compact()
 
 
+def test_many_segments_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "MAX_SEGMENTS", 3)
+    plain = SearchSchema((Field("id", "STRING", key=True), Field("n", "INT32", filterable=True)))
+    c = C.Collection.create(spark, f"{tmp_path}/many", plain)
+    for k in range(6):
+        c.index([{"document": doc("same", n=k)}, {"document": doc(f"k{k}", n=k)}], NOW)
+    assert len(c.commit.segments) <= 3 and {r["id"]: r["n"] for r in c.df.collect()} == {"same": 5} | {f"k{k}": k for k in range(6)}
+
+
 def test_a_batch_of_a_stream_counts_once(spark, tmp_path):
     c = C.Collection.create(spark, f"{tmp_path}/epochs", SCHEMA)
     ops = spark.createDataFrame([(0, 0, doc("a", n=1), None, None, 0, NOW)], ingest.OPERATION)
