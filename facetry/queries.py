@@ -44,8 +44,15 @@ def _all(name: str, kind: str, **more) -> Field:
 # ---- the tables as collections: a schema, the rows in Spark, and the same rows in SQL ----
 
 
+_SCHEMAS: dict[tuple, object] = {}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; its schema is looked up once for a session, as a catalog does."""
+    key, path = (spark.sparkContext.applicationId, sf_dir, name), f"{sf_dir}/{name}.parquet"
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def _ms(c: str):
@@ -605,21 +612,22 @@ def _goods_ops(spark: SparkSession, d: str) -> DataFrame:
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:
     parsed = ingest.stamped(ingest.parse(_goods_ops(spark, d), GOODS), GOODS)
-    return parsed.select(
+    shown = parsed.select(
         "id", "small", "size", "big", "price", "made", F.col("place.lat").alias("lat"), F.col("place.lon").alias("lon"), F.col("shape")[0].cast("double").alias("x"),
         F.array_join("words", "|").alias("words"), F.expr("aggregate(numbers, 0, (a, x) -> a + x)").alias("total"), F.col("flags")[0].alias("flag"),
         F.col("_memory_tier").alias("tier"), F.col("_ttl_expires_at").alias("expires"), F.col("_tenant_id").alias("tenant"),
     )
+    return shown.select(*[F.col(c).cast("string").alias(c) for c in shown.columns])
 
 
 _FULL = "CASE WHEN p_partkey % 11 <> 0 THEN {} END"
-_add("ingest_types", _typed, f"""SELECT CAST(p_partkey AS VARCHAR) AS id, {_FULL.format("p_size < 10")} AS small, {_FULL.format("p_size")} AS size,
+_add("ingest_types", _typed, f"""SELECT COLUMNS(*)::VARCHAR FROM (SELECT CAST(p_partkey AS VARCHAR) AS id, {_FULL.format("p_size < 10")} AS small, {_FULL.format("p_size")} AS size,
   {_FULL.format("p_partkey * 1000003")} AS big, {_FULL.format("p_size::DOUBLE")} AS price, {_FULL.format("p_partkey * 86400000")} AS made,
   {_FULL.format("(p_partkey % 90)::DOUBLE")} AS lat, {_FULL.format("(-(p_partkey % 180))::DOUBLE")} AS lon, {_FULL.format("p_size::DOUBLE")} AS x,
   {_FULL.format("p_brand || '|' || p_type")} AS words, {_FULL.format("3 + p_size")} AS total, {_FULL.format("true")} AS flag,
   CASE p_partkey % 3 WHEN 0 THEN 'WORKING' WHEN 1 THEN 'EPISODIC' ELSE 'SEMANTIC' END AS tier,
   CASE WHEN p_partkey % 5 = 0 THEN {NOW_MS} + 60000 WHEN p_partkey % 3 = 0 THEN {NOW_MS} + 300000 WHEN p_partkey % 3 = 1 THEN {NOW_MS} + 86400000 ELSE 0 END AS expires,
-  't' AS tenant FROM part""")
+  't' AS tenant FROM part)""")
 
 
 def _statuses(spark: SparkSession, d: str) -> DataFrame:
@@ -661,11 +669,12 @@ def _schema_swapped(spark: SparkSession, d: str) -> DataFrame:
     c = _goods(spark, d)
     kept = SearchSchema((_key(), _all("size", "INT64"), _all("price", "STRING"), Field("words", "STRING_COLLECTION", searchable=True)), ttl_enabled=True)
     c.update_schema(kept)
-    return Collection.open(spark, c.root).df.select("id", "size", "price", F.size("words").alias("n_words"), F.col("_tenant_id").alias("tenant"))
+    shown = Collection.open(spark, c.root).df.select("id", "size", "price", F.size("words").alias("n_words"), F.col("_tenant_id").alias("tenant"))
+    return shown.select(*[F.col(x).cast("string").alias(x) for x in shown.columns])
 
 
-_add("schema_update", _schema_swapped, f"""SELECT CAST(p_partkey AS VARCHAR) AS id, {_FULL.format("p_size::BIGINT")} AS size, {_FULL.format("p_size::VARCHAR")} AS price,
-  {_FULL.format("2")} AS n_words, 't' AS tenant FROM part""")
+_add("schema_update", _schema_swapped, f"""SELECT COLUMNS(*)::VARCHAR FROM (SELECT CAST(p_partkey AS VARCHAR) AS id, {_FULL.format("p_size::BIGINT")} AS size, {_FULL.format("p_size::VARCHAR")} AS price,
+  {_FULL.format("2")} AS n_words, 't' AS tenant FROM part)""")
 
 
 def _collection_search(spark: SparkSession, d: str) -> DataFrame:

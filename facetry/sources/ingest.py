@@ -51,8 +51,10 @@ def parse(ops: DataFrame, schema: SearchSchema) -> DataFrame:
     struct = [x for x in schema.struct().fields if not x.name.startswith("_") or x.name in {f.name for f in schema.fields}]
     loose = T.StructType([T.StructField(x.name, _loose(x.dataType)) for x in struct])
     known = F.array(*[F.lit(f.name) for f in schema.fields])
-    rows = ops.withColumn("__j", F.from_json("document", loose)).withColumn("__k", F.json_object_keys("document"))
-    typed = {x.name: _coerce(F.col(f"__j.`{x.name}`"), x.dataType) for x in struct}
+    # One row from each document's struct: a plain column of it would be parsed again for every field that is read.
+    parsed = F.inline_outer(F.array(F.from_json("document", loose))).alias(*[f"__v{i}" for i in range(len(struct))])
+    rows = ops.withColumn("__k", F.json_object_keys("document")).select("*", parsed)
+    typed = {x.name: _coerce(F.col(f"__v{i}"), x.dataType) for i, x in enumerate(struct)}
     rows = rows.withColumns(typed).withColumn("_src", F.col("document"))
     unknown = F.array_except("__k", known)
     error = F.when(F.col("__k").isNull(), "Invalid JSON").when(F.col(schema.key).isNull(), "Missing key")
@@ -67,7 +69,7 @@ def parse(ops: DataFrame, schema: SearchSchema) -> DataFrame:
                 error = error.when(c.isNotNull() & (F.size(c) != f.dimension), f"Vector {f.name} needs {f.dimension} numbers")
         elif f.type == "GEO_POINT":
             error = error.when(c.isNotNull() & (c["lat"].isNull() | c["lon"].isNull()), f"Geo point {f.name} needs lat and lon")
-    return rows.withColumn("error", error).drop("__j", "__k")
+    return rows.withColumn("error", error).drop("__k", *[f"__v{i}" for i in range(len(struct))])
 
 
 def whole_request_error(parsed: DataFrame) -> DataFrame:
@@ -99,12 +101,13 @@ def merge(current: DataFrame, parsed: DataFrame, schema: SearchSchema) -> DataFr
 
     An operation that is older than the row it meets changes nothing.
     """
-    last = latest(parsed, schema)
-    touched = last.select(F.col(schema.key).alias("__key"), F.col("seq").alias("__seq"))
-    kept = current.join(touched, (current[schema.key] == F.col("__key")) & (current["_doc"] < F.col("__seq")), "left_anti")
-    known = current.select(F.col(schema.key).alias("__key"), F.col("_doc").alias("__doc"))
-    new = last.filter(F.col("action") == UPDATE)
-    new = new.join(known, (new[schema.key] == F.col("__key")) & (F.col("__doc") >= new["seq"]), "left_anti")
+    key = schema.key
+    # Numbers only: cheaper than the whole rows of the last operations, which are needed once.
+    touched = parsed.filter("error is null").groupBy(F.col(key).alias("__key")).agg(F.max("seq").alias("__seq"))
+    kept = current.join(touched, (current[key] == F.col("__key")) & (current["_doc"] < F.col("__seq")), "left_anti")
+    known = current.select(F.col(key).alias("__key"), F.col("_doc").alias("__doc"))
+    new = latest(parsed, schema).filter(F.col("action") == UPDATE)
+    new = new.join(known, (new[key] == F.col("__key")) & (F.col("__doc") >= new["seq"]), "left_anti")
     return kept.unionByName(stamped(new, schema).select(*current.columns))
 
 
