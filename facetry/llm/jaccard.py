@@ -11,15 +11,16 @@ Two texts link when the Jaccard similarity of their sets of 5-word shingles is a
    shingle among the rarest ``n - ceil(0.75 n) + 1`` of either.  The lists of those never become pairs: a list's
    members, cut where neighbouring sizes differ too much to link, are tied to its first one.  The components of
    these ties are blocks: every link lies inside one block.
-3. Blocks are cut by a hash of the id into chunks of about ``CHUNK_SHINGLES``, and each chunk is searched in one task by
+3. Blocks are cut by a hash of the id into chunks of ``chunk_shingles``, and each chunk is searched in one task by
    T-occurrence queries over its inverted index: the lists of a query's shingles are divided, the short ones merged by
-   a heap that skips rows which too few lists can still hold, candidates that can still reach the needed overlap are
-   probed by binary search in the long ones.  A breadth-first search asks only for rows that are not yet in a
-   component, and lists lose the rows that are, so a group of near copies costs about its own size.
+   a heap that skips rows which too few lists can still hold, and the long ones are bits of each row, probed for all
+   candidates at once.  A breadth-first search asks only for rows that are not yet in a component, and lists lose the
+   rows that are, so a group of near copies costs about its own size.
 4. A block of several chunks needs the links between these.  One row of the largest component of each chunk is
    searched with the others' (as a block of its own, by the same steps): mostly this joins them to one large component
    of the block.  A link between different components has an end outside that one, so the rows outside it, and only
-   they, are sent to the other chunks as queries.  Components of all links found are the result; no case is dropped.
+   they, are sent to the other chunks as queries, a chunk's weight of them to a task, and searched against that chunk's
+   rows only.  Components of all links found are the result; no case is dropped.
 
 Defined results: a text with fewer than five words has one shingle, its whole sequence; without words it has none
 and links with nothing (its component is its own id).  Rows that share an id are one node.  Rows without an id are
@@ -47,15 +48,18 @@ SIZE = 5
 NO_ID = 1 << 62
 #: Similarity of at least PART / WHOLE.
 PART, WHOLE = 75, 100
-#: Shingles that one search takes.
-CHUNK_SHINGLES = 50_000
+#: Shingles that one search takes: this many, more where a group would be cut in too many chunks, but never above the most.
+CHUNK_SHINGLES, MOST_CHUNK_SHINGLES = 50_000, 500_000
+#: Chunks that all blocks together have at least, however large a chunk is.
+CHUNKS = 200
 #: Packed postings that one task takes.
 POSTINGS_BYTES = 16 << 20
 PACK_SHINGLES = 500_000
 POSTING = 9.5  # bytes of a packed posting, about
-_MU = 0.02
-#: Lists are divided where the longest has as many rows.
-LONG = 16
+#: Lists are long that have as many rows, and this share of their index's rows: their bits take no more than the postings.
+LONG, LONG_SHARE = 16, 1 / 64
+#: Rows whose bits are packed at a time.
+_PACKED_ROWS = 256
 
 
 def least_size(n: int) -> int:
@@ -322,6 +326,28 @@ class Index:
         self._open = memoryview(np.ascontiguousarray(self.members, np.int64))
         self.begin = np.searchsorted(token[by], np.arange(n + 1))
         self._row, self._token, self._n = row, token, n
+        self._long_lists()
+
+    def _long_lists(self) -> None:
+        """The long lists as bits, one column for each row that is in any list."""
+        begin = _runs(self._row)
+        self.held = self._row[begin[:-1]]
+        length = np.diff(self.begin)
+        long = np.flatnonzero(length >= max(LONG, int(len(self.held) * LONG_SHARE)))
+        self.place = np.full(self._n, -1)
+        self.place[long] = np.arange(len(long))
+        self.words = -(-len(long) // 64)
+        self.bits = np.zeros((self.words, len(self.held)), np.uint64)
+        for a in range(0, len(self.held) if len(long) else 0, _PACKED_ROWS):
+            b = min(a + _PACKED_ROWS, len(self.held))
+            spot = self.place[self._token[begin[a] : begin[b]]]
+            at = np.repeat(np.arange(b - a), np.diff(begin[a : b + 1]))[spot >= 0]
+            self.bits[:, a:b] = self._packed(at, spot[spot >= 0], b - a).T
+
+    def _packed(self, row: np.ndarray, spot: np.ndarray, n: int) -> np.ndarray:
+        member = np.zeros((n, 64 * self.words), bool)
+        member[row, spot] = True
+        return np.packbits(member, axis=1).view(np.uint64)
 
     def forget(self, alive: np.ndarray) -> None:
         """Lists keep the rows that are alive only."""
@@ -334,34 +360,37 @@ class Index:
         least = int(needed(n, max(1, least_size(n))))
         tokens = self.tokens[self.rows_of[x] : self.rows_of[x + 1]]
         length = self.begin[tokens + 1] - self.begin[tokens]
-        tokens, length = tokens[length > 0], length[length > 0]
+        tokens = tokens[length > 0]
         if len(tokens) < least:
             return np.zeros(0, np.int64)
-        by = np.argsort(length, kind="stable")
-        tokens, length = tokens[by], length[by]
-        n_long = min(least - 1, int(least / (_MU * np.log2(length[-1] + 1) + 1))) if length[-1] >= LONG else 0
-        short, long = tokens[: len(tokens) - n_long], tokens[len(tokens) - n_long :]
-        rows, counts = merge_skip(self._open, self.begin[short].tolist(), self.begin[short + 1].tolist(), max(1, least - n_long))
-        found, total = np.array(rows, np.int64), np.array(counts, np.int64)
-        fits = alive[found] & (WHOLE * self.sizes[found] >= PART * n) & (WHOLE * n >= PART * self.sizes[found])
-        found, total = found[fits], total[fits]
-        need = needed(n, self.sizes[found])
-        for k, t in enumerate(long):  # longest last; rows that cannot reach the overlap any more go
-            if not len(found):
-                break
-            rows = self.members[self.begin[t] : self.begin[t + 1]]
-            spot = np.minimum(np.searchsorted(rows, found), len(rows) - 1)
-            total = total + (rows[spot] == found)
-            possible = total + (n_long - k - 1) >= need
-            found, total, need = found[possible], total[possible], need[possible]
-        return found[total >= need]
+        spot = self.place[tokens]
+        long, short = spot[spot >= 0], tokens[spot < 0]
+        begin, end = self.begin[short].tolist(), self.begin[short + 1].tolist()
+        if len(long) < least:
+            rows, counts = merge_skip(self._open, begin, end, least - len(long))
+            found, total = np.array(rows, np.int64), np.array(counts, np.int64)
+            column = np.searchsorted(self.held, found)
+        else:  # the long lists alone can hold enough: no row can be skipped
+            found, column = self.held, slice(None)
+            rows = np.concatenate([self.members[b:e] for b, e in zip(begin, end, strict=True)]) if begin else np.zeros(0, np.int64)
+            total = np.bincount(np.searchsorted(found, rows), minlength=len(found))
+        if len(long) and len(found):
+            asked = self._packed(np.zeros(len(long), np.int64), long, 1)[0]
+            some = np.flatnonzero(asked)
+            common = self.bits[some] if isinstance(column, slice) else self.bits[np.ix_(some, column)]
+            total = total + np.bitwise_count(common & asked[some, None]).sum(axis=0, dtype=np.int64)
+        size = self.sizes[found]
+        fits = alive[found] & (total >= needed(n, size)) & (WHOLE * size >= PART * n) & (WHOLE * n >= PART * size)
+        return found[fits]
 
 
 def link_components(sets: list[np.ndarray], seeds: int | None = None) -> np.ndarray:
-    """For each set the first row of its component of links; only components of the first ``seeds`` rows are looked for."""
+    """For each set the first row of its component of links.  With ``seeds`` only links between the first ``seeds`` rows
+    and the others count."""
     index, m = Index(sets), len(sets)
     alive, label, left, held = np.ones(m, bool), np.arange(m), m, m
-    for seed in range(m if seeds is None else seeds):
+    asks = np.arange(m) < (m if seeds is None else seeds)
+    for seed in range(int(asks.sum())):
         if not alive[seed]:
             continue
         alive[seed] = False
@@ -371,7 +400,8 @@ def link_components(sets: list[np.ndarray], seeds: int | None = None) -> np.ndar
             if left * 2 < held and m > 16:
                 index.forget(alive)
                 held = left
-            found = index.search(frontier.pop(), alive)
+            x = frontier.pop()
+            found = index.search(x, alive if seeds is None else alive & (asks != asks[x]))
             alive[found], label[found] = False, seed
             left -= len(found)
             frontier.extend(found.tolist())
@@ -381,7 +411,7 @@ def link_components(sets: list[np.ndarray], seeds: int | None = None) -> np.ndar
 def _search_blocks(batches):
     """Rows (block, id, query, text) sorted by block: ids and a row of their component, where there is a link.
 
-    Only components of rows marked as queries are looked for.
+    Where some rows are no queries, only links between queries and these are looked for.
     """
     current, ids, queries, sets = None, [], [], []
 
@@ -389,7 +419,7 @@ def _search_blocks(batches):
         if len(ids) > 1:
             keys, asks = np.array(ids, np.int64), np.array(queries, bool)
             by = np.lexsort((keys, ~asks))  # queries first, then by id
-            label = link_components([sets[i] for i in by], int(asks.sum()))
+            label = link_components([sets[i] for i in by], None if asks.all() else int(asks.sum()))
             keys = keys[by]
             linked = keys[label] != keys
             if linked.any():
@@ -409,6 +439,12 @@ def _search_blocks(batches):
     yield from flush()
 
 
+def chunk_shingles(load: int) -> int:
+    """Shingles of a chunk where all blocks have ``load``: a group's chunks, and so the rows that go to several of them,
+    stay in proportion to the input up to ``MOST_CHUNK_SHINGLES``."""
+    return min(MOST_CHUNK_SHINGLES, max(CHUNK_SHINGLES, load // CHUNKS))
+
+
 def _search(texts: DataFrame, dealt: DataFrame) -> DataFrame:
     """Links ``a, b`` inside blocks; ``dealt`` has ``block, id, query, n`` for each row of a block, ``texts`` ``id, t``."""
     rows, load = dealt.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -442,10 +478,12 @@ def _links(texts: DataFrame, members: DataFrame, chunk: int) -> tuple[DataFrame,
     inside = cut(tops.join(largest, ["root", "whole"]).select("root", "c", "label"))
     outside = large.join(inside, ["root", "c", "label"], "left_anti")
     others = F.explode(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("c")))
-    asked = outside.select("id", "n", "root", others.alias("c")).withColumn("query", F.lit(True))
+    asked = outside.select("id", "n", "root", others.alias("c")).join(tops.select("root", "c"), ["root", "c"])  # no chunk is asked that has no rows
+    parts = asked.groupBy("root", "c").agg(F.ceil(F.sum("n") / chunk).alias("parts"))
+    asked = asked.join(parts, ["root", "c"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), "parts")).select("id", "n", "root", "c", "part", F.lit(True).alias("query"))
     asked = cut(asked)
-    there = large.join(asked.select("root", "c").distinct(), ["root", "c"]).select("id", "n", "root", "c", F.lit(False).alias("query"))
-    tiles = cut(there.unionByName(asked).select(F.xxhash64("root", "c").alias("block"), "id", "query", "n"))
+    there = large.join(asked.select("root", "c", "part").distinct(), ["root", "c"]).select("id", "n", "root", "c", "part", F.lit(False).alias("query"))
+    tiles = cut(there.unionByName(asked).select(F.xxhash64("root", "c", "part").alias("block"), "id", "query", "n"))
     return links.unionByName(above).unionByName(_search(texts, tiles)), True
 
 
@@ -455,13 +493,13 @@ def _node(key: str, text: str) -> Column:
     return F.coalesce(F.col(key).cast("long"), of_text)
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = CHUNK_SHINGLES) -> DataFrame:
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row; ids are integers."""
     known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     return _components(docs, key, text, chunk).select(known("id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
 
 
-def _components(docs: DataFrame, key: str, text: str, chunk: int = CHUNK_SHINGLES) -> DataFrame:
+def _components(docs: DataFrame, key: str, text: str, chunk: int | None = None) -> DataFrame:
     """``id, n, component`` for each row, in nodes."""
     rows = docs.select(_node(key, text).alias("id"), F.col(text).cast("string").alias("t"))
     sets = written(rows.mapInArrow(K.trimmed(_set_pass), "id long, n long, s1 long, s2 long"))
@@ -484,9 +522,9 @@ def _components(docs: DataFrame, key: str, text: str, chunk: int = CHUNK_SHINGLE
     ties = orders.mapInArrow(K.trimmed(_prefixes(parts)), packed).repartitionById(parts, "bucket").mapInArrow(K.trimmed(_ties), "a long, b long")
     blocks = components(ties).withColumnRenamed("node", "s1")
     members = cut(able.join(blocks, "s1").select("id", "n", "root"))
-    n_members = members.count()
+    n_members, load = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     texts = written(rows.join(sized_broadcast(members.select("id"), n_members), "id").select("id", "t"))
-    links, tiled = _links(texts, members, chunk)
+    links, tiled = _links(texts, members, chunk or chunk_shingles(load))
     if tiled:
         found = components(links)
         least = found.groupBy("root").agg(F.min("node").alias("component"))

@@ -319,6 +319,28 @@ def test_chained_and_hot_blocks(spark):
         assert got == plain_components(rows)
 
 
+def test_searches_across_chunks_are_bounded(spark, monkeypatch):
+    """Half of a group links with nothing and goes to all its chunks: each search takes a few chunks' shingles."""
+    rnd, rows, searched = random.Random(9), [], []
+    for k in range(160):
+        w = [f"g{j}" for j in range(100)]
+        for j in rnd.sample(range(100), 1 if k % 2 else 4):
+            w[j] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    search = jaccard._search
+
+    def watched(texts, dealt):
+        searched.extend(r["w"] for r in dealt.groupBy("block").agg(F.sum("n").alias("w")).collect())
+        return search(texts, dealt)
+
+    monkeypatch.setattr(jaccard, "_search", watched)
+    from test_operators import plain_components
+
+    got = jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), chunk=1000).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows)
+    assert len(searched) > 20 and max(searched) < 4000
+
+
 # ---- URLs ----
 
 

@@ -171,6 +171,36 @@ def test_search_divides_lists_and_misses_nothing():
         assert [j for j in index.search(x, alive).tolist() if j != x] == expected
 
 
+def near_sets(n, rates):
+    rnd = np.random.default_rng(8)
+    base = rnd.integers(0, 1 << 60, n).astype(np.uint64)
+    return [np.unique(np.where(rnd.random(n) < p, rnd.integers(0, 1 << 60, n).astype(np.uint64), base)) for p in rates]
+
+
+def test_large_groups_are_searched_by_bits(monkeypatch):
+    """Rows around the least similarity: what the heap reads stays near the group's size, not its square."""
+    sets, read = near_sets(200, np.linspace(0.1, 0.22, 300)), []
+    merge = jaccard.merge_skip
+    monkeypatch.setattr(jaccard, "merge_skip", lambda members, begin, end, least: read.append(sum(end) - sum(begin)) or merge(members, begin, end, least))
+    label = jaccard.link_components(sets)
+    links = [(i, j) for i, s in enumerate(sets) for j in range(i) if 100 * len(np.intersect1d(s, sets[j])) >= 75 * len(np.union1d(s, sets[j]))]
+    a, b = np.array(links).T
+    nodes, roots = local_components(a, b)
+    expected = dict(zip(nodes.tolist(), roots.tolist(), strict=True))
+    assert label.tolist() == [expected.get(i, i) for i in range(300)] and len(set(label.tolist())) > 20
+    assert sum(read) < 2 * sum(map(len, sets))
+
+
+def test_queries_of_other_chunks_ask_for_the_chunks_rows_only():
+    sets = near_sets(100, [0, 0, 0.02]) + [s + np.uint64(1) for s in near_sets(90, [0, 0])]  # the last two link with each other, the third row with the first two
+    assert jaccard.link_components(sets, 2).tolist() == [0, 0, 0, 3, 4]
+    assert jaccard.link_components([sets[0], sets[1], sets[3]], 2).tolist() == [0, 1, 2]  # queries of one chunk were searched there
+
+
+def test_chunks_grow_with_the_load():
+    assert [jaccard.chunk_shingles(n) for n in (0, 12_000_000, 60_000_000, 10**10)] == [50_000, 60_000, 300_000, 500_000]
+
+
 def test_heap_merge_skips_and_counts():
     rnd = np.random.default_rng(6)
     for _ in range(60):
