@@ -3,8 +3,9 @@
 import collections
 import importlib.util
 import os
+import random
 
-from facetry.llm import pipeline
+from facetry.llm import jaccard, pipeline
 
 DATA = "/root/testdata/sf0.001"
 _spec = importlib.util.spec_from_file_location("plain", os.path.join(os.path.dirname(__file__), "test_operators.py"))
@@ -46,3 +47,23 @@ def test_language_stage_rejects_unlearned_languages(spark):
     given = docs.unionByName(odd, allowMissingColumns=True)
     kept = {r["doc_id"] for r in pipeline.language_stage(spark, given, DATA).collect()}
     assert clean and kept >= {i for i, _ in clean} and not any(i >= 10**9 for i in kept)
+
+
+def test_near_copies_of_a_large_group_are_searched_in_bounded_parts(spark, monkeypatch):
+    """Half of the group's rows link with nothing: they are asked of all chunks, but not all in one task, nor of each other there."""
+    rnd, rows, searched = random.Random(3), [], []
+    for k in range(800):
+        w = [f"g{j}" for j in range(500)]
+        for j in rnd.sample(range(5, 495, 5), 16 if k % 2 else 1):
+            w[j] = f"x{k}-{j}"
+        rows.append((k, " ".join(w)))
+    search = jaccard._search
+
+    def watched(texts, dealt):
+        searched.extend(r["sum(n)"] for r in dealt.groupBy("block").sum("n").collect())
+        return search(texts, dealt)
+
+    monkeypatch.setattr(jaccard, "_search", watched)
+    kept = pipeline.near_copy_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r["doc_id"] for r in kept.collect()} == {0, *range(1, 800, 2)}
+    assert len(searched) > 16 and max(searched) < 150_000
