@@ -4,13 +4,14 @@ Two texts link when the Jaccard similarity of their sets of 5-word shingles is a
 
 1. One pass takes each text's set: size and a 128-bit signature.  Texts with equal sets form a class; one row of
    each class (the smallest id) stands for it.
-2. Inverted lists over all rows: shingles are dealt by their hash, packed in binary blocks.  Each list's task tells
-   only how many shingles of a set some other set has too.  A set with too few of them for its needed overlap
-   (T-occurrence over all lists at once) is done; most texts are.  The others' shingles are dealt once more, and
-   return with the lengths of their lists, which is the global order, rare first: two sets that link share a
-   shingle among the rarest ``n - ceil(0.75 n) + 1`` of either.  The lists of those never become pairs: a list's
-   members, cut where neighbouring sizes differ too much to link, are tied to its first one.  The components of
-   these ties are blocks: every link lies inside one block.
+2. Inverted lists over all rows: shingles are dealt by their hash, packed in binary blocks.  Of two sets that link,
+   the ``t`` least hashes in common are among the ``n - ceil(0.75 n) + t`` least of either, so with ``t = ceil(n / 8)``
+   three eighths of the shingles are dealt.  Each list's task tells only how many of a set's some other set has
+   too.  A set with too few of them (T-occurrence over all lists at once) is done; most texts are.  All shingles of
+   the others are dealt once, and return with the lengths of their lists, which is the global order, rare first: two sets
+   that link share a shingle among the rarest ``n - ceil(0.75 n) + 1`` of either.  The lists of those never become
+   pairs: a list's members, cut where neighbouring sizes differ too much to link, are tied to its first one.  The
+   components of these ties are blocks: every link lies inside one block.
 3. Blocks are cut by a hash of the id into chunks of ``chunk_shingles``, and each chunk is searched in one task by
    T-occurrence queries over its inverted index: the lists of a query's shingles are divided, the short ones merged by
    a heap that skips rows which too few lists can still hold, and the long ones are bits of each row, probed for all
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from facetry.llm import kernels as K
 from facetry.llm.connected import components, forest
-from facetry.llm.spark_utils import cut, sized_broadcast, skew_safe_left_join, whole_row, written
+from facetry.llm.spark_utils import BROADCAST_IDS, cut, sized_broadcast, skew_safe_left_join, whole_row, written
 
 SIZE = 5
 #: Nodes of rows without an id begin here.
@@ -52,6 +53,8 @@ PART, WHOLE = 75, 100
 CHUNK_SHINGLES, MOST_CHUNK_SHINGLES = 50_000, 500_000
 #: Chunks that all blocks together have at least, however large a chunk is.
 CHUNKS = 200
+#: The first pass looks for one in so many of a set's shingles among its least ones.
+LEAST_PART = 8
 #: Packed postings that one task takes.
 POSTINGS_BYTES = 16 << 20
 PACK_SHINGLES = 500_000
@@ -71,6 +74,16 @@ def needed(n, m):
     return -(-PART * (n + m) // (PART + WHOLE))
 
 
+def least_common(n: int) -> int:
+    """How many of the least shingles that a set of n shares with one it links with the first pass asks for."""
+    return -(-n // LEAST_PART)
+
+
+def least_dealt(n: int) -> int:
+    """How many of the least shingles of a set of n hold ``least_common`` ones of any set that it links with."""
+    return n - least_size(n) + least_common(n)
+
+
 def signature(s: np.ndarray) -> tuple[int, int]:
     first = K.mix(s)
     return (
@@ -119,9 +132,10 @@ def _unpacked(batches, *kinds) -> list[np.ndarray] | None:
     return [np.concatenate([x[i] for x in parts]) for i in range(len(kinds))] if parts else None
 
 
-def _postings(buckets: int):
-    """All shingles of a batch's different sets, packed by range of the hash: its low 48 bits and the set's
-    place in the pack's own table.  Two shingles that agree in those bits only make a candidate more."""
+def _postings(buckets: int, least: bool = False):
+    """All shingles of a batch's different sets, or the least of each that are enough to tell which cannot link.  They are
+    packed by their low 32 bits (the least differ in the high ones): the low 48 bits and the set's place in the
+    pack's own table.  Two shingles that agree in those bits only make a candidate more."""
 
     def run(batches):
         parts, seen, held = [], set(), 0
@@ -130,8 +144,9 @@ def _postings(buckets: int):
                 for _, s in K.shingle_sets(block, SIZE):
                     if len(s) and (mark := signature(s)[0]) not in seen:
                         seen.add(mark)
-                        parts.append((s, mark))
-                        held += len(s)
+                        dealt = s[: least_dealt(len(s))].copy() if least else s  # a view would hold the whole set
+                        parts.append((dealt, mark, len(s)))
+                        held += len(dealt)
                 if held >= PACK_SHINGLES:
                     yield from packs(parts)
                     parts, seen, held = [], set(), 0
@@ -141,11 +156,11 @@ def _postings(buckets: int):
         return (pack(parts[a : a + 60_000]) for a in range(0, len(parts), 60_000))
 
     def pack(parts):
-        size = np.array([len(s) for s, _ in parts], np.int32)
-        mark = np.array([m for _, m in parts], np.int64)
-        shingle = np.concatenate([s for s, _ in parts])
-        row = np.repeat(np.arange(len(parts), dtype=np.int32), size)
-        bucket = ((shingle >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        size = np.array([n for _, _, n in parts], np.int32)
+        mark = np.array([m for _, m, _ in parts], np.int64)
+        shingle = np.concatenate([s for s, _, _ in parts])
+        row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(s) for s, _, _ in parts])
+        bucket = ((shingle & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         shingle, row, bucket = shingle[by], row[by], bucket[by]
         at, blobs = _runs(bucket), []
@@ -507,23 +522,24 @@ def _components(docs: DataFrame, key: str, text: str, chunk: int | None = None)
     classes = cut(sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")))
 
     packed = "bucket int, blob binary"
-    parts = max(8, int(shingles * POSTING / POSTINGS_BYTES) + 1)
+    parts = max(8, int(least_dealt(shingles) * POSTING / POSTINGS_BYTES) + 1)
     few = max(8, parts // 4)
-    lists = rows.select("t").mapInArrow(K.trimmed(_postings(parts)), packed).repartitionById(parts, "bucket")
+    lists = rows.select("t").mapInArrow(K.trimmed(_postings(parts, least=True)), packed).repartitionById(parts, "bucket")
     shared = lists.mapInArrow(K.trimmed(_counts(few)), packed).repartitionById(few, "bucket").mapInArrow(K.trimmed(_sum_counts), "s1 long, shared long")
     able = classes.join(shared.groupBy("s1").agg(F.sum("shared").alias("shared")), "s1")
-    able = cut(able.filter(WHOLE * F.col("shared") >= PART * F.col("n")).select(F.col("rep").alias("id"), "s1", "n"))
+    enough = F.ceil(F.ceil(PART * F.col("n") / WHOLE) / LEAST_PART)  # least_common of the smallest set that can link
+    able = cut(able.filter(F.col("shared") >= enough).select(F.col("rep").alias("id"), "s1", "n"))
 
     n_able, shingles = able.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     parts = max(8, int(shingles * POSTING / POSTINGS_BYTES) + 1)
-    texts = rows.join(sized_broadcast(able.select("id"), n_able), "id").select("t")
+    texts = rows.join(sized_broadcast(able.select("id"), n_able, BROADCAST_IDS), "id").select("t")
     lists = texts.mapInArrow(K.trimmed(_postings(parts)), packed).repartitionById(parts, "bucket")
     orders = lists.mapInArrow(K.trimmed(_orders(parts)), packed).repartitionById(parts, "bucket")
     ties = orders.mapInArrow(K.trimmed(_prefixes(parts)), packed).repartitionById(parts, "bucket").mapInArrow(K.trimmed(_ties), "a long, b long")
     blocks = components(ties).withColumnRenamed("node", "s1")
     members = cut(able.join(blocks, "s1").select("id", "n", "root"))
     n_members, load = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    texts = written(rows.join(sized_broadcast(members.select("id"), n_members), "id").select("id", "t"))
+    texts = written(rows.join(sized_broadcast(members.select("id"), n_members, BROADCAST_IDS), "id").select("id", "t"))
     links, tiled = _links(texts, members, chunk or chunk_shingles(load))
     if tiled:
         found = components(links)
@@ -539,6 +555,8 @@ def _components(docs: DataFrame, key: str, text: str, chunk: int | None = None)
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of the smallest node of each component, with their columns; rows without words all stay."""
-    held = cut(_components(docs, key, text).filter("component = id").select("id").distinct())
+    found = written(_components(docs, key, text).select("id", (F.col("component") == F.col("id")).alias("stays")))
+    gone = found.filter(~F.col("stays")).select("id").distinct()
+    gone = cut(gone.join(found.filter("stays").select("id"), "id", "left_anti"))  # an id that any of its rows keeps stays
     rows = docs.select(whole_row(docs), _node(key, text).alias("id"))
-    return rows.join(sized_broadcast(held, held.count()), "id", "left_semi").select("row.*")
+    return rows.join(sized_broadcast(gone, gone.count(), BROADCAST_IDS), "id", "left_anti").select("row.*")

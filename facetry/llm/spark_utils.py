@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only up to so many rows and bytes of values; beyond that the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 16 << 20
+#: Ids alone, one long in each row, are broadcast up to so many.
+BROADCAST_IDS = 4 * BROADCAST_ROWS
 #: A key is hot with more than this share of all rows, so there are at most 1 / HOT_SHARE hot keys at any size.
 HOT_SHARE = 1 / 1000
 HOT_SALTS = 64
@@ -86,9 +88,9 @@ def is_small(df: DataFrame) -> bool:
     return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
-def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
+def sized_broadcast(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
     """For sides of a few numbers in each row, whose rows are counted."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= (most or BROADCAST_ROWS) else df
 
 
 def skew_safe_left_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:

@@ -5,7 +5,10 @@ import importlib.util
 import os
 import random
 
-from facetry.llm import jaccard, pipeline
+import numpy as np
+import pyarrow as pa
+
+from facetry.llm import jaccard, pipeline, spark_utils
 
 DATA = "/root/testdata/sf0.001"
 _spec = importlib.util.spec_from_file_location("plain", os.path.join(os.path.dirname(__file__), "test_operators.py"))
@@ -67,3 +70,34 @@ def test_near_copies_of_a_large_group_are_searched_in_bounded_parts(spark, monke
     kept = pipeline.near_copy_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert {r["doc_id"] for r in kept.collect()} == {0, *range(1, 800, 2)}
     assert len(searched) > 16 and max(searched) < 150_000
+
+
+def test_near_copies_of_more_rows_than_are_broadcast_shuffle_no_texts(spark, monkeypatch):
+    """The rows that go are told by their ids, which are few, not by those of all rows that stay."""
+    monkeypatch.setattr(spark_utils, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 10, raising=False)
+    rows = [(k, " ".join(f"w{j}-{min(k, 194)}" for j in range(30))) for k in range(200)] + [(3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = pipeline.near_copy_stage(spark, docs, "")
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted([*range(195), 3])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_first_pass_of_near_copies_deals_part_of_the_shingles(spark):
+    """At most half of them, and of each two sets that link as many in common as the pass asks for."""
+    rnd, rows = random.Random(5), []
+    for n in [*range(5, 60), 200, 801]:
+        w = [f"t{n}-{j}" for j in range(n)]
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[: -max(1, (n - 4) // 4)]))]  # the second has three quarters
+    rows += [(len(rows) + k, " ".join(rnd.choices("abcdefgh", k=3000))) for k in range(3)]
+    texts = pa.record_batch([pa.array([t for _, t in rows])], names=["t"])
+    dealt = lambda *how: sum(int(np.frombuffer(b, np.uint32, 2)[1]) for r in jaccard._postings(8, *how)([texts]) for b in r.column(1).to_pylist())
+    assert 0 < dealt(True) <= dealt() / 2
+    got = jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain.plain_components(rows)
