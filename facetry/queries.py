@@ -652,9 +652,9 @@ def _goods(spark: SparkSession, d: str) -> Collection:
 
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
-    """The stored JSON as it came."""
-    c = _goods(spark, d)
-    return search.plan(c.df, GOODS, SearchRequest(filters=(R.Range("size", "45"),), include_source=True, top_k=10_000)).page.select("doc_id", "source")
+    """The stored JSON as it came, of all rows that match: a page would end at its 10,000th."""
+    r = SearchRequest(filters=(R.Range("size", "45"),), include_source=True)
+    return search.project(search.matched_rows(_goods(spark, d).df, GOODS, r), GOODS, r).select("doc_id", "source")
 
 
 _add("include_source", lambda s, d: _sources(s, d).withColumn("source", F.regexp_replace("source", " ", "")), """SELECT CAST(p_partkey AS VARCHAR) AS doc_id,

@@ -8,6 +8,7 @@ import pytest
 
 from facetry import queries
 from facetry.functions import analysis
+from facetry.operators import paging
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -41,6 +42,12 @@ def test_filters_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(p_size), GreaterThanOrEqual(p_size,10)" in plan and "ReadSchema: struct<p_partkey:bigint,p_size:int>" in plan
 
 
+def test_sources_do_not_end_with_a_page(spark, monkeypatch):
+    monkeypatch.setattr(paging, "MAX_TOP", 5)
+    total = spark.read.parquet(f"{DATA}/part.parquet").filter("p_size >= 45 and p_partkey % 11 <> 0").count()
+    assert total > 5 and queries.QUERIES["include_source"](spark, DATA).count() == total
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
