@@ -363,7 +363,7 @@ class _IndexLeaves(_Leaves):
 
     def postings(self, index: TextIndex) -> DataFrame:
         tests = [among(self.terms)] if self.terms else []
-        return index.postings.filter(reduce(lambda a, b: a | b, tests + self.patterns))
+        return index.postings(reduce(lambda a, b: a | b, tests + self.patterns), any(what[0] == "at" for what in self.columns))
 
     def rows(self, index: TextIndex) -> DataFrame:
         """``_doc`` and leaves of all rows that have one of the postings."""
@@ -508,7 +508,7 @@ def score_ids(schema: SearchSchema, node, index: TextIndex) -> DataFrame | None:
         return None
     leaves, match, points = _indexed(schema, node, index)
     if not leaves.exprs:  # a fuzzy term without any near one
-        return index.postings.filter(F.lit(False)).select("_doc", F.lit(0.0).alias("_score"))
+        return index.postings(F.lit(False)).select("_doc", F.lit(0.0).alias("_score"))
     return leaves.rows(index).withColumns(leaves.after).filter(match).select("_doc", points.alias("_score"))
 
 

@@ -3,6 +3,7 @@
 import json
 import threading
 
+import pyarrow as pa
 import pytest
 
 from facetry import request as R
@@ -245,3 +246,22 @@ def test_index_scores_equal_scan_scores(spark, tmp_path):
     for node in (text.text_node(schema, "w1 w4"), text.phrase_node(schema, "w1 w2 w3", slop=1), text.fuzzy_node(schema, "w1", max_edits=1), text.prefix_node(schema, "w1")):
         found, scan = (text.score(rows, schema, node, i).collect() for i in (index, None))
         assert found and {r["_doc"]: round(r["_score"], 9) for r in found} == {r["_doc"]: round(r["_score"], 9) for r in scan}
+
+
+def test_index_is_built_in_sorted_runs(spark, tmp_path, monkeypatch):
+    """No shuffle of postings: each task sorts bounded runs of its own, over batches, and cuts no row."""
+    monkeypatch.setattr(postings, "RUN_TOKENS", 5)
+    batch = lambda first, *texts: pa.RecordBatch.from_arrays([pa.array(range(first, first + len(texts))), pa.array(["f"] * len(texts)), pa.array(texts, pa.list_(pa.string()))], names=["_doc", "field", "tokens"])
+    runs = list(postings._blocks([batch(0, ["b", None, "a", "b"], None), batch(2, ["a"], ["c"] * 7, ["é", "z", "a"])]))
+    assert [r["term"] for run in runs for r in run.to_pylist()] == ["a", "b", "c", "a", "z", "é"] and [run.num_rows for run in runs] == [2, 1, 3]
+    a, b = runs[0].to_pylist()
+    assert (a["docs"], a["tf"], a["dl"], a["at"], a["positions"], a["heads"]) == ([0, 2], [1, 1], [3, 1], [1, 2], [2, 0], 1)
+    assert (b["docs"], b["df"], b["cf"], b["positions"], b["heads"]) == ([0], 1, 2, [0, 3], 1)
+    monkeypatch.undo()
+    schema = SearchSchema((Field("id", "STRING", key=True), Field("title", "STRING", searchable=True)))
+    rows = spark.createDataFrame([(str(i), f"w{i % 3} common", i) for i in range(9)], "id string, title string, _doc long")
+    assert "Exchange" not in postings.blocks(rows, schema)._jdf.queryExecution().executedPlan().toString()
+    postings.write(rows, schema, str(tmp_path / "index"))
+    index = postings.TextIndex.open(spark, [str(tmp_path / "index")])
+    assert sorted(x.name for x in tmp_path.joinpath("index").iterdir()) == ["blocks", "fields"]
+    assert index.frequencies({("title", "common"), ("title", "w1"), ("title", "none")}) == {("title", "common"): 9, ("title", "w1"): 3, ("title", "none"): 0}
