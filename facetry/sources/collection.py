@@ -112,6 +112,8 @@ class Commit:
 #: Segments above which a write is followed by a compaction.
 MAX_SEGMENTS = 64
 FILE_BYTES = 128 << 20
+#: Rows that a merge sorts in one task, at most about.
+FILE_ROWS = 250_000
 MAX_TRIES = 1000
 
 
@@ -251,7 +253,8 @@ class Collection:
         """
         self._may_write()
         schema = self.schema
-        parsed = ingest.parse(ops, schema)
+        # The last operations are found by a sort of each partition before the shuffle: dealt, since one file may be one task's.
+        parsed = ingest.parse(ops.repartition("seq"), schema)
         if report and (bad := ingest.whole_request_error(parsed).select("error").first()):
             raise ValueError(bad["error"])
         base = self.latest()
@@ -319,7 +322,7 @@ class Collection:
         return self._kill(ingest.expired(self._rows(self.latest(), self.schema), now_ms)) if self.schema.ttl_enabled else 0
 
     def compact(self, files: int | None = None, refresh: int = WAIT_FOR) -> tuple[int, int]:
-        """Merges all segments into one without dead rows, in so many files or by size; how many segments there were and are.
+        """Merges all segments into one without dead rows, in so many files or by size and rows; how many segments there were and are.
 
         Tombstones are merged too and stay, so that an operation that comes late still loses to a later one.
         """
@@ -328,7 +331,8 @@ class Collection:
         if not base.segments:
             return 0, 0
         size = sum(self.files.size(f"{self.root}/{s}/rows") for s in base.segments)
-        rows = self._rows(base, self.schema).repartitionByRange(files or max(1, size // FILE_BYTES), "_doc").sortWithinPartitions("_doc")
+        live = self._rows(base, self.schema)
+        rows = live.repartitionByRange(files or max(1, size // FILE_BYTES, -(-live.count() // FILE_ROWS)), "_doc").sortWithinPartitions("_doc")
         segment, dead = self._write_segment(rows, self.schema), self._write_tombstones(self._dead(base))
 
         def change(c: Commit) -> Commit:

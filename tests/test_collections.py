@@ -265,3 +265,16 @@ def test_index_is_built_in_sorted_runs(spark, tmp_path, monkeypatch):
     index = postings.TextIndex.open(spark, [str(tmp_path / "index")])
     assert sorted(x.name for x in tmp_path.joinpath("index").iterdir()) == ["blocks", "fields"]
     assert index.frequencies({("title", "common"), ("title", "w1"), ("title", "none")}) == {("title", "common"): 9, ("title", "w1"): 3, ("title", "none"): 0}
+
+
+def test_no_task_sorts_a_whole_batch(spark, tmp_path, monkeypatch):
+    """Operations of one file are dealt before they are sorted, and a merge sorts so many rows in a task at most."""
+    plain, plans = SearchSchema((Field("id", "STRING", key=True), Field("n", "INT32", filterable=True))), []
+    parse = ingest.parse
+    monkeypatch.setattr(ingest, "parse", lambda ops, schema: plans.append(ops._jdf.queryExecution().analyzed().toString()) or parse(ops, schema))
+    monkeypatch.setattr(C, "FILE_ROWS", 2, raising=False)
+    c = C.Collection.create(spark, f"{tmp_path}/dealt", plain)
+    c.index([{"document": doc(f"k{k}", n=k)} for k in range(9)], NOW)
+    c.compact()
+    assert "RepartitionByExpression [seq" in plans[0]
+    assert len(list(tmp_path.joinpath("dealt", c.commit.segments[0], "rows").glob("part-*.parquet"))) > 1 and c.df.count() == 9
