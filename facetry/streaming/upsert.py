@@ -17,10 +17,10 @@ from facetry.sources.collection import Collection
 def append_operations(spark: SparkSession, folder: str, ops: DataFrame) -> None:
     """Appends to the log: one file for each call, so that batches, which take files by age, keep the log's order.
 
-    A call is one request's operations; the file appears when it is whole.
+    A call is one request's operations; the file appears when it is whole.  Inside it they lie in any order, as the last one by number counts:
+    the task that writes it only passes them on, and its memory does not grow with them.
     """
-    ordered = ops.select(*[f.name for f in ingest.OPERATION]).coalesce(1).sortWithinPartitions("seq")
-    ordered.write.mode("append").json(folder)
+    ops.select(*[f.name for f in ingest.OPERATION]).repartition(1).write.mode("append").json(folder)
 
 
 def read_operations(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:

@@ -52,3 +52,12 @@ def test_entry_point(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and e.entry(spark).columns == ["doc", "score"]
+
+
+def test_the_log_is_split_and_written_without_a_sort(spark, monkeypatch, tmp_path):
+    plans = []
+    monkeypatch.setattr(queries.upsert, "append_operations", lambda spark, folder, ops: plans.append(ops._jdf.queryExecution().analyzed().toString()))
+    monkeypatch.setattr(queries.upsert, "read_operations", lambda *a: (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        queries.QUERIES["stream_out_of_order"](spark, DATA)
+    assert len(plans) == 3 and not any("Window" in p for p in plans)
